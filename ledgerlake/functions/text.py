@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 TOTAL = "decimal(38,2)"
 
-# Python's str.strip() also removes the no-break space that &nbsp; decodes to.
-_EDGE_SPACE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
+# White space as Python's str.strip() sees it (incl. the no-break space &nbsp; decodes to),
+# spelled out so Java regex and RE2 (the DuckDB oracle) agree on it.
+WS_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+EDGE_SPACE = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def col(c: Column | str) -> Column:
@@ -18,7 +20,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """White space removed at both ends (Spark's trim only removes blanks)."""
-    return F.regexp_replace(col(c), _EDGE_SPACE, "")
+    return F.regexp_replace(col(c), EDGE_SPACE, "")
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -41,13 +43,13 @@ def day_month_year(c: Column | str) -> Column:
     """'9-2-26' or '09-02-2026' -> date. A two-digit year is 20yy."""
     s = col(c)
     return F.when(
-        s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(s, F.lit("d-M-yyyy"))
-    ).when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{2}$"), F.try_to_date(s, F.lit("d-M-yy")))
+        s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(s, "d-M-yyyy")
+    ).when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{2}$"), F.try_to_date(s, "d-M-yy"))
 
 
 def slash_date(c: Column | str) -> Column:
     """Statement date 'DD/MM/YY' -> date."""
-    return F.try_to_date(col(c), F.lit("dd/MM/yy"))
+    return F.try_to_date(col(c), "dd/MM/yy")
 
 
 def urlsafe_b64_text(c: Column | str) -> Column:

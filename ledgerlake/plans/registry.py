@@ -261,3 +261,7 @@ SELECT CAST(sum(target) AS DECIMAL(38,2)) AS total_target, CAST(sum(actual) AS D
 FROM bva"""))
 def q_budget_totals(spark, sf):
     return B.budget_totals(_bva(spark, sf))
+
+
+# Further query families register themselves on import.
+from ledgerlake.plans import registry_ingest  # noqa: E402,F401

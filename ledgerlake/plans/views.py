@@ -20,7 +20,8 @@ def status_to_type(c) -> F.Column:
     return F.when(c == "F", "Debit").when(c == "O", "Credit").otherwise("Unknown")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """View E; `extra` names further orders/customer columns to carry along."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     # Equi-join on the customer key; the planner broadcasts customer only while its
@@ -32,6 +33,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.o_orderdate.cast("date").alias("txn_date"),
         customer.c_mktsegment.alias("category"),
         status_to_type(orders.o_orderstatus).alias("txn_type"),
+        *[F.col(c) for c in extra],
     )
 
 
