@@ -265,3 +265,4 @@ def q_budget_totals(spark, sf):
 
 # Further query families register themselves on import.
 from ledgerlake.plans import registry_ingest  # noqa: E402,F401
+from ledgerlake.plans import registry_statement  # noqa: E402,F401
