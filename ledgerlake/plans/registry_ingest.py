@@ -159,22 +159,7 @@ def q_html_lines(spark, sf):
 
 
 # ---------------------------------------------------------------- rules
-# Invented rules for the part-name feed, in priority order. 'old bolt' is shadowed by the
-# earlier 'bolt'; 'ol' is a two-letter keyword that matches inside words.
-PART_RULES = {
-    "Food": ["pizza", "hot plate"],
-    "Petrol": ["fuel", "bolt", "ol"],
-    "Person": ["old bolt", "ring"],
-    "Grocery": ["gizmo", "red"],
-    "Clothing": ["widget"],
-    "Salon": ["rod"],
-    "Hospital": ["anvil"],
-    "Sports": ["gear"],
-    "Rent": ["large plate"],
-    "SIP": ["fund"],
-    "Salary": ["payroll"],
-    "Others": ["misc"],
-}
+from ledgerlake.plans.sample_rules import PART_RULES  # noqa: E402
 
 
 def _rules_values_sql() -> str:

@@ -10,9 +10,14 @@ from ledgerlake.operators import load as L
 from ledgerlake.operators import monitor as MO
 from ledgerlake.operators import search as SE
 from ledgerlake.plans.registry import register, sql_str
-from ledgerlake.plans.registry_ingest import _REC_SQL, _records
+from ledgerlake.plans.registry_ingest import _REC_SQL, _records, sql_strip
 from ledgerlake.session import table
 
+
+def _fp_sql(exprs: list[str]) -> str:
+    parts = " || ".join(f"coalesce({sql_strip(f'lower(CAST({c} AS VARCHAR))')}, 'none') || '|'" for c in exprs)
+    return f"left(sha256({parts}), 32)"
+
 # ---------------------------------------------------------------- documents and search
 _VEC_SQL = _REC_SQL.replace(
     "f AS (SELECT txn_id, ", "f AS (SELECT txn_id, amount, paid_to, category, txn_type, "
@@ -225,3 +230,75 @@ SELECT conv_id, turn, role, text, recency FROM (
 WHERE recency <= 6""")
 def q_recent_messages(spark, sf):
     return MO.recent_messages(table(spark, sf, "conversations"), 6)
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_ingest", f"""
+SELECT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS amount,
+       {_fp_sql(["event_id", "user_id", "event_type", "CAST(value AS DECIMAL(18,2))"])} AS hashcode
+FROM events""")
+def q_stream_ingest(spark, sf):
+    """File stream run twice over the same files (second run with a fresh checkpoint):
+    every event is stored once."""
+    from ledgerlake.streaming import ingest as ST
+
+    base = ST.run_dir(spark, "stream_ingest")
+    for i in range(2):
+        ST.ingest_events(spark, sf, f"{base}/table", f"{base}/ckpt{i}", file_glob="events.parquet")
+    t = spark.read.parquet(f"{base}/table")
+    return t.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "amount",
+                    "hashcode")
+
+
+@register("stream_daily_totals", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
+FROM events GROUP BY 1, 2""")
+def q_stream_daily_totals(spark, sf):
+    from ledgerlake.streaming import ingest as ST
+
+    base = ST.run_dir(spark, "stream_daily_totals")
+    ST.daily_totals(spark, sf, f"{base}/table", f"{base}/ckpt", file_glob="events.parquet")
+    t = ST.latest_totals(spark, f"{base}/table")
+    return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "total")
+
+
+# ---------------------------------------------------------------- flagship
+def _flagship_sql() -> str:
+    from ledgerlake.plans import jobs as J
+    from ledgerlake.plans.registry_ingest import _rules_values_sql
+
+    b = ", ".join(f"({sql_str(g)}, CAST({t} AS DECIMAL(18,2)), {'false' if g in J.FLAG_GROSS else 'true'})"
+                  for g, t in J.FLAG_TARGETS.items())
+    m = ", ".join(f"({sql_str(g)}, {sql_str(c)})" for g, cats in J.FLAG_MAP.items() for c in cats)
+    return f"""
+WITH rules(category, keyword, priority) AS (VALUES {_rules_values_sql()}),
+r AS (SELECT CAST(l_orderkey * 100 + l_linenumber AS VARCHAR) AS reference_no,
+             CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, p_name AS paid_to, CAST(l_shipdate AS DATE) AS txn_date,
+             CASE l_returnflag WHEN 'N' THEN 'Debit' WHEN 'R' THEN 'Credit' ELSE 'Unknown' END AS txn_type
+      FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT *, CASE WHEN paid_to IS NULL OR {sql_strip('paid_to')} = '' THEN 'SIP'
+                     ELSE (SELECT arg_min(category, priority) FROM rules
+                           WHERE contains(lower({sql_strip('paid_to')}), lower(keyword))) END AS category,
+             {_fp_sql(["amount", "paid_to", "reference_no", "txn_date", "txn_type"])} AS hashcode FROM r),
+u AS (SELECT DISTINCT ON (hashcode) * FROM c),
+b(budget_group, target, net_credit) AS (VALUES {b}),
+m(budget_group, category) AS (VALUES {m}),
+pc AS (SELECT category, sum(CASE WHEN txn_type = 'Debit' THEN amount END) AS debit,
+              sum(CASE WHEN txn_type = 'Credit' THEN amount END) AS credit
+       FROM u WHERE category IS NOT NULL GROUP BY category),
+pg AS (SELECT m.budget_group, sum(debit) AS debit, sum(credit) AS credit FROM m JOIN pc USING (category) GROUP BY 1),
+x AS (SELECT b.budget_group, CAST(b.target AS DECIMAL(18,2)) AS target,
+             CAST(coalesce(pg.debit, 0) - CASE WHEN b.net_credit THEN coalesce(pg.credit, 0) ELSE 0 END AS DECIMAL(38,2)) AS actual
+      FROM b LEFT JOIN pg USING (budget_group))
+SELECT budget_group, target, actual, CAST(target - actual AS DECIMAL(38,2)) AS variance,
+       CASE WHEN target > 0 THEN round(CAST(target - actual AS DOUBLE) / CAST(target AS DOUBLE) * 100, 4) ELSE 0.0 END AS variance_pct,
+       CASE WHEN target - actual < 0 THEN 'Over Budget' ELSE 'Under Budget' END AS status
+FROM x"""
+
+
+@register("flagship_budget", _flagship_sql())
+def q_flagship_budget(spark, sf):
+    from ledgerlake.plans.jobs import flagship
+
+    return flagship(spark, sf)
