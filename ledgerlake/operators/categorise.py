@@ -1,8 +1,8 @@
 """Payee -> category: ordered keyword rules (first match wins), classifier fallback, learning.
 
 Two plans for the rule match, chosen by the (counted) size of the rules table:
-* inline  (<= INLINE_MAX rules): rules become a literal array; each row runs
-  filter(rules, contains)[1] -- a projection, no shuffle, no join.
+* inline  (<= INLINE_MAX rules): rules become a CASE chain in priority order over the
+  lower-cased payee (computed once per row) -- a projection, no shuffle, no join.
 * join    (larger): distinct payees x broadcast(rules) on containment, min_by priority,
   equi-joined back. The broadcast side is the rules table, size-checked.
 Blank or missing payees get 'SIP' and never reach rules or classifier.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import strip
 from ledgerlake.sources.rules import CATEGORY_STRIDE, LEARNED_SLOT
 
-INLINE_MAX = 2_000
+INLINE_MAX = 512
 BROADCAST_MAX = 2_000_000
 MISSING_PAYEE_CATEGORY = "SIP"
 
@@ -26,9 +26,11 @@ def _order_key() -> Column:
 
 
 def _inline_match(payee_lower: Column, rules: list[tuple[str, str]]) -> Column:
-    arr = F.array(*[F.struct(F.lit(kw.lower()).alias("kw"), F.lit(cat).alias("cat")) for cat, kw in rules])
-    hits = F.filter(arr, lambda r: payee_lower.contains(r["kw"]))
-    return F.try_element_at(hits, F.lit(1))["cat"]
+    out = None
+    for cat, kw in rules:
+        hit = payee_lower.contains(F.lit(kw.lower()))
+        out = F.when(hit, F.lit(cat)) if out is None else out.when(hit, F.lit(cat))
+    return out
 
 
 def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", out_col: str = "category",
@@ -43,8 +45,12 @@ def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", o
         ordered = rules.orderBy("priority", "keyword").select("category", "keyword").collect()
         if len(ordered) > INLINE_MAX:
             raise ValueError(f"{len(ordered)} rules is above the inline limit {INLINE_MAX}")
-        match = _inline_match(F.lower(payee), [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
-        return df.withColumn(out_col, F.when(blank, F.lit(MISSING_PAYEE_CATEGORY)).otherwise(match))
+        pl = F.col("__pl")
+        match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
+        return (df.withColumn("__pl", F.lower(payee))
+                .withColumn(out_col, F.when(F.col("__pl").isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY))
+                            .otherwise(match))
+                .drop("__pl"))
     if n_rules is None:
         n_rules = rules.count()
     if n_rules > BROADCAST_MAX:

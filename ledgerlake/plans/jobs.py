@@ -16,7 +16,7 @@ from ledgerlake.operators import categorise as C
 from ledgerlake.operators import load as L
 from ledgerlake.operators import parse_mail as PM
 from ledgerlake.plans.sample_rules import PART_RULES
-from ledgerlake.session import table
+from ledgerlake.session import spread, table
 from ledgerlake.sources.rules import rules_frame
 
 # Invented budgets over the invented part rules (see plans.sample_rules).
@@ -28,7 +28,7 @@ FLAG_GROSS = ("Eating",)
 
 def line_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part as card transactions: returned lines are credits, accepted ones unknown."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part")
     return li.join(part, li.l_partkey == part.p_partkey, "inner").select(
         (li.l_orderkey * 100 + li.l_linenumber).alias("txn_id"),

@@ -262,8 +262,3 @@ FROM bva"""))
 def q_budget_totals(spark, sf):
     return B.budget_totals(_bva(spark, sf))
 
-
-# Further query families register themselves on import.
-from ledgerlake.plans import registry_ingest  # noqa: E402,F401
-from ledgerlake.plans import registry_statement  # noqa: E402,F401
-from ledgerlake.plans import registry_more  # noqa: E402,F401

@@ -59,3 +59,18 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over the cluster's cores when the input is fewer files than cores.
+
+    For CPU-heavy row-wise text work (regex parsing, hashing long texts). On a cluster the
+    input is thousands of files and this is a no-op; a single small file would otherwise
+    be parsed by one task.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file scan
+        return df
+    return df.repartition(n) if files < n else df

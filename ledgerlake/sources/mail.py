@@ -48,7 +48,7 @@ def latest_alert_mails(mails: DataFrame, n: int = LIST_CAP_OLD, **kw) -> DataFra
 
 # ---------------------------------------------------------------- MIME body
 _MAX = 2147483647
-UNROLL_DEPTH = 6
+UNROLL_DEPTH = 8
 
 
 def _mime(v: Column) -> Column:
