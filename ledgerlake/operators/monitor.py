@@ -30,7 +30,8 @@ SUMMARY_SCHEMA = ("run_date date, emails_found int, inserted bigint, duplicates
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """Log files read whole, lines numbered in file order."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).select(
+    text = F.regexp_replace("value", "\n$", "")  # a final newline ends the last line, it adds none
+    return raw.select("file", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(
         "file", F.col("line_no").cast("bigint"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
