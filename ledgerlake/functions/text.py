@@ -39,6 +39,11 @@ def money(c: Column | str) -> Column:
     return cleaned.try_cast(MONEY)
 
 
+def money_label(c: Column | str, symbol: str = "₹") -> Column:
+    """Whole-unit amount with thousands separators, e.g. ₹1,235 (half-up rounding)."""
+    return F.concat(F.lit(symbol), F.format_number(F.round(col(c), 0), 0))
+
+
 def regex_group(c: Column | str, pattern: str, idx: int = 1) -> Column:
     """First match, group idx; null (not '') when nothing matches."""
     return F.nullif(F.regexp_extract(col(c), pattern, idx), F.lit(""))

@@ -54,6 +54,15 @@ def enrich(df: DataFrame) -> DataFrame:
     )
 
 
+def dashboard_frame(tx: DataFrame) -> DataFrame:
+    """The five dashboard columns plus derived ones, kept in memory for the many aggregates
+    computed from it (MEMORY_AND_DISK: spills instead of failing on a large table)."""
+    from pyspark import StorageLevel
+
+    return enrich(tx.select("txn_date", "amount", "category", "txn_type", "paid_to")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
 # ---------------------------------------------------------------- filters
 @dataclass(frozen=True)
 class FilterSpec:

@@ -52,18 +52,45 @@ def load_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+RECORD_COLUMNS = ["source", "source_id", "amount", "paid_to", "txn_type", "reference_no", "txn_date"]
+
+
+def union_sources(*frames: DataFrame) -> DataFrame:
+    """Mail and statement records in one frame; columns one source lacks become null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def read_transactions(spark, table_path: str) -> DataFrame:
+    """Stored table, older files included: files written before txn_type existed read it as null."""
+    t = spark.read.option("mergeSchema", "true").parquet(table_path)
+    if "txn_type" not in t.columns:
+        t = t.withColumn("txn_type", F.lit(None).cast("string"))
+    return t
+
+
 def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "hashcode",
-                 order: str = "ingest_seq", month_col: str = "txn_date") -> DataFrame:
+                 order: str = "ingest_seq", month_col: str = "txn_date",
+                 date_in_key: bool = True) -> DataFrame:
     """Insert the batch's new rows into the parquet table at table_path.
 
     Layout: partitioned by batch_id and month. A retried batch overwrites only its own
     batch_id partition and ignores its own earlier output in the anti-join, so a retry
     after a lost executor or a failed commit gives the same table as one clean run.
+    When the date is part of the fingerprint (date_in_key), a duplicate can only sit in the
+    same month, so only the batch's months are read from the stored table (partition pruning
+    on `month`); the month list is bounded by the calendar.
     Returns the rows written.
     """
     spark = batch.sparkSession
     try:
-        stored = spark.read.parquet(table_path).filter(F.col("batch_id") != F.lit(batch_id)).select(key)
+        stored = spark.read.parquet(table_path).filter(F.col("batch_id") != F.lit(batch_id))
+        if date_in_key:
+            months = [r[0] for r in batch.select(F.date_format(F.col(month_col), "yyyy-MM")).distinct().collect()]
+            stored = stored.filter(F.col("month").isin([m for m in months if m is not None]))
+        stored = stored.select(key)
     except Exception as e:  # noqa: BLE001 - first load: no table yet
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

@@ -55,3 +55,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = ingest_alert_texts(alerts, rules_frame(spark, PART_RULES))
     budgets, bmap = B.budget_tables(spark, FLAG_TARGETS, FLAG_MAP, FLAG_GROSS)
     return B.budget_vs_actual(records, budgets, bmap)
+
+
+def ingest_statement_lines(lines: DataFrame, rules: DataFrame, classifier=None) -> tuple[DataFrame, DataFrame]:
+    """Statement lines -> (unique categorised records, quarantined pages).
+
+    Pages whose text did not decode go to quarantine; the rest is assembled, typed, given
+    type/amount from the balance and a payee, categorised and fingerprinted.
+    """
+    from ledgerlake.operators import statement as S
+    from ledgerlake.sources.statement import good_and_bad_pages
+
+    good, bad = good_and_bad_pages(lines)
+    recs = S.extract_statements(good)
+    cat, _ = C.categorise(recs, rules, classifier)
+    fp = L.add_fingerprint(cat.withColumn("ingest_seq", F.hash("source_id").cast("bigint")))
+    cols = ["hashcode", "ingest_seq", "source", "source_id", "amount", "paid_to", "txn_type", "reference_no",
+            "txn_date", "category"]
+    return L.first_copy(fp.select(*cols), "hashcode", "ingest_seq"), bad

@@ -112,3 +112,27 @@ def q_narration_payee(spark, sf):
     tx = transactions(spark, sf, extra=("o_orderpriority",))
     n = _narration(F.col("o_orderpriority"), F.col("paid_to"), F.col("txn_id"))
     return tx.select("txn_id", n.alias("narration")).withColumn("paid_to", S.clean_narration(F.col("narration")))
+
+
+@register("statement_records", f"""
+WITH x AS (
+  SELECT user_id, event_id, event_type, ts,
+         CAST(value AS DECIMAL(18,2)) AS amt,
+         CAST(CAST(value AS DECIMAL(18,2)) * 100 AS DECIMAL(18,2)) AS bal,
+         CAST(date_diff('day', DATE '{EPOCH}', CAST(ts AS DATE)) AS INTEGER) AS page_no,
+         row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS txn_no,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+y AS (SELECT *, lag(bal) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM x)
+SELECT 'statement' AS source,
+       CAST(user_id AS VARCHAR) || ':' || CAST(page_no AS VARCHAR) || ':' || CAST(txn_no AS VARCHAR) AS source_id,
+       CAST(CASE WHEN rn = 1 THEN CASE WHEN amt <> 0 THEN amt END WHEN bal - p <> 0 THEN abs(bal - p) END AS DECIMAL(18,2)) AS amount,
+       upper(event_type) || ' STORE' AS paid_to,
+       CASE WHEN rn = 1 THEN CASE WHEN amt IS NOT NULL AND amt <> 0 THEN 'Debit' END
+            WHEN bal - p < 0 THEN 'Debit' WHEN bal - p > 0 THEN 'Credit' END AS txn_type,
+       lpad(CAST(event_id AS VARCHAR), 16, '0') AS reference_no,
+       CAST(ts AS DATE) AS txn_date
+FROM y""")
+def q_statement_records(spark, sf):
+    """Rendered statements -> assembled, typed, balance-derived type/amount, payee (S4..P13)."""
+    return S.extract_statements(statement_lines(table(spark, sf, "events")))

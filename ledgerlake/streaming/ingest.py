@@ -58,8 +58,9 @@ def ingest_events(spark: SparkSession, source_dir: str, table_path: str, checkpo
     tag = _tag(checkpoint)
 
     def write(batch: DataFrame, epoch: int) -> None:
+        # the event key has no timestamp, so every stored month is searched for duplicates
         append_batch(batch.withColumn("ingest_seq", F.col("event_id")), table_path, f"{tag}-{epoch}",
-                     order="ingest_seq", month_col="ts")
+                     order="ingest_seq", month_col="ts", date_in_key=False)
 
     q = (recs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
