@@ -51,14 +51,16 @@ def budget_vs_actual(tx: DataFrame, budgets: DataFrame, budget_map: DataFrame,
         .agg(F.sum(F.when(F.col("txn_type") == "Debit", amt)).alias("debit"),
              F.sum(F.when(F.col("txn_type") == "Credit", amt)).alias("credit"))
     )
+    # budgets and budget_map are parameter tables (one row per group / group-category pair,
+    # built from the caller's dicts), so broadcasting them is bounded by construction.
     per_group = (
-        budget_map.join(per_cat, "category", "inner")
+        F.broadcast(budget_map).join(per_cat, "category", "inner")
         .groupBy("budget_group")
         .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
     )
     debit = F.coalesce(F.col("debit"), F.lit(0))
     credit = F.when(F.col("net_credit"), F.coalesce(F.col("credit"), F.lit(0))).otherwise(F.lit(0))
-    out = budgets.join(per_group, "budget_group", "left").withColumn("actual", (debit - credit).cast(TOTAL))
+    out = budgets.join(F.broadcast(per_group), "budget_group", "left").withColumn("actual", (debit - credit).cast(TOTAL))
     variance = (F.col("target") - F.col("actual")).cast(TOTAL)
     return out.select(
         "budget_group",

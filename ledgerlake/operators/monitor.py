@@ -35,10 +35,12 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
         "file", F.col("line_no").cast("bigint"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def run_blocks(log: DataFrame) -> DataFrame:
+def run_blocks(log: DataFrame, block_size: int = 1 << 16) -> DataFrame:
     """Lines of the first run of each date: after its start line, up to the next line
-    containing RUN_START. Adds run_date."""
-    x = running_count(log.withColumn("__s", F.col("line").contains(RUN_MARK)), ["file"], "line_no", "__s", "segment")
+    containing RUN_START. Adds run_date. `block_size` is the line-number span of one
+    level-1 block (dense numbering: 64k lines)."""
+    x = running_count(log.withColumn("__s", F.col("line").contains(RUN_MARK)), ["file"], "line_no", "__s", "segment",
+                      block_size)
     starts = (x.filter(F.col("line").rlike(START_RE))
               .select("file", "segment", F.regexp_extract("line", START_RE, 1).cast("date").alias("run_date")))
     first = starts.groupBy("run_date").agg(F.min_by(F.struct("file", "segment"), F.struct("file", "segment")).alias("f"))
@@ -69,9 +71,9 @@ def summarise(blocks: DataFrame) -> DataFrame:
     )
 
 
-def daily_summary(log: DataFrame, day: dt.date | None = None) -> DataFrame:
+def daily_summary(log: DataFrame, day: dt.date | None = None, block_size: int = 1 << 16) -> DataFrame:
     """Summary rows (one per date, or only `day`); no row when the date has no run."""
-    s = summarise(run_blocks(log))
+    s = summarise(run_blocks(log, block_size))
     return s.filter(F.col("run_date") == F.lit(day)) if day is not None else s
 
 

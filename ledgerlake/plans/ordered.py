@@ -5,10 +5,15 @@ document (a third of all rows) would then be one task. Both helpers work in two
 1. within small blocks (a page, a day, a fixed run of line numbers) with an ordinary window;
 2. across blocks on a per-block summary (one row per block), then joined back on the block key.
 Level 2 sees rows/block-size rows per key, and the join is on (key, block), which is spread out.
+
+Both levels read the same input. Column pruning makes the two branches' plans differ, so
+Spark would not reuse the exchange and would compute the input twice; it is persisted
+(MEMORY_AND_DISK, evictable and spillable) so it is computed once.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ def prev_in_order(df: DataFrame, part: list[str], block: str, order: list[str],
                   out: str = "prev", first_flag: str = "is_first") -> DataFrame:
     """Adds `out` = `value` of the previous row in (block, *order) order within `part`,
     and `first_flag` = true on the first row of the partition."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w_in = Window.partitionBy(*part, block).orderBy(*order)
     x = df.withColumns({
         "__in_prev": F.lag(value).over(w_in),
@@ -43,7 +49,7 @@ def running_count(df: DataFrame, part: list[str], order: str, flag: str, out: st
     """Adds `out` = number of rows with `flag` true at or before this row (by the integer
     column `order`) within `part` -- i.e. a segment number that starts at every flagged row."""
     blk = F.floor(F.col(order) / F.lit(block_size))
-    x = df.withColumn("__blk", blk).withColumn("__f", F.col(flag).cast("int"))
+    x = df.withColumn("__blk", blk).withColumn("__f", F.col(flag).cast("int")).persist(StorageLevel.MEMORY_AND_DISK)
     w_in = Window.partitionBy(*part, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("__in", F.sum("__f").over(w_in))
     totals = x.groupBy(*part, "__blk").agg(F.sum("__f").alias("__t"))

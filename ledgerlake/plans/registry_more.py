@@ -197,6 +197,9 @@ def run_log_lines(events: DataFrame) -> DataFrame:
     return ev.unionByName(per_day).withColumn("file", F.lit("cron.log")).select("file", "line_no", "line")
 
 
+# Rendered log lines are numbered by microsecond x 16: one level-1 block = one hour.
+LOG_BLOCK = 16 * 3_600_000_000
+
 _SUMMARY_SQL = """
 , s AS (SELECT CAST(ts AS DATE) AS run_date, CAST(count(*) AS INTEGER) AS emails_found,
               count(*) FILTER (WHERE event_type IN ('purchase', 'click', 'view')) AS inserted,
@@ -209,7 +212,7 @@ _SUMMARY_SQL = """
 
 @register("run_summary", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + "\nSELECT * FROM s")
 def q_run_summary(spark, sf):
-    return MO.daily_summary(run_log_lines(table(spark, sf, "events")))
+    return MO.daily_summary(run_log_lines(table(spark, sf, "events")), block_size=LOG_BLOCK)
 
 
 @register("summary_message", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + f"""
@@ -221,7 +224,7 @@ SELECT run_date,
        || CASE WHEN error_found THEN chr(10) || chr(10) || 'Error:' || chr(10) || error ELSE '' END || chr(10) AS body
 FROM s""")
 def q_summary_message(spark, sf):
-    return MO.summary_message(MO.daily_summary(run_log_lines(table(spark, sf, "events"))))
+    return MO.summary_message(MO.daily_summary(run_log_lines(table(spark, sf, "events")), block_size=LOG_BLOCK))
 
 
 @register("recent_messages", """
