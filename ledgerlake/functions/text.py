@@ -39,6 +39,17 @@ def money(c: Column | str) -> Column:
     return cleaned.try_cast(MONEY)
 
 
+def with_fields_once(df, fields: dict[str, Column]):
+    """Add expensive derived columns so that each is evaluated once per row.
+
+    A later filter on such a column would otherwise be pushed below the projection with the
+    expression copied into it (a second regex/date parse per row). Columns produced by a
+    one-element generator are not pushed through, so the work stays single.
+    """
+    packed = F.inline(F.array(F.struct(*[e.alias(n) for n, e in fields.items()])))
+    return df.select("*", packed)
+
+
 def money_label(c: Column | str, symbol: str = "₹") -> Column:
     """Whole-unit amount with thousands separators, e.g. ₹1,235 (half-up rounding)."""
     return F.concat(F.lit(symbol), F.format_number(F.round(col(c), 0), 0))

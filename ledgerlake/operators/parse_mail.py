@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import day_month_year, money, regex_group, strip
+from ledgerlake.functions.text import day_month_year, money, regex_group, strip, with_fields_once
 
 # Field patterns of the bank alert text.
 AMOUNT_RE = r"Rs\.?\s?([\d.,]+)"
@@ -34,13 +34,15 @@ def parse_alert(df: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col(text_col)
     amount_text = regex_group(t, AMOUNT_RE)
     date_text = regex_group(t, DATE_RE)
-    return df.withColumns({
+    return with_fields_once(df, {
         "amount_text": amount_text,
         "paid_to": strip(regex_group(t, PAYEE_RE)),
         "txn_type": txn_type(t),
         "reference_no": regex_group(t, REFERENCE_RE),
         "date_text": date_text,
-    }).withColumns({"amount": money(F.col("amount_text")), "txn_date": day_month_year(F.col("date_text"))})
+        "amount": money(amount_text),
+        "txn_date": day_month_year(date_text),
+    })
 
 
 def with_reference(parsed: DataFrame) -> DataFrame:
