@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import TOTAL
+from ledgerlake.plans.ordered import running_sum
 
 DEBIT = "Debit"
 CREDIT = "Credit"
@@ -182,8 +183,8 @@ def box_stats(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> Dat
     """Per-category quartiles (linear interpolation), 1.5-IQR whiskers and outlier count of debits.
 
     Exact mode never gathers a category's rows: it first counts each distinct amount
-    (partial aggregation), then finds the rank positions on that histogram, whose size is
-    bounded by the number of distinct cent values, not by the row count.
+    (partial aggregation), then finds the rank positions on that histogram with a two-level
+    running count (plans.ordered.running_sum).
     """
     base = df.filter(is_debit() & F.col("category").isNotNull() & F.col("amount").isNotNull())
     if approx:
@@ -194,11 +195,12 @@ def box_stats(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> Dat
         hist = base.groupBy("category", "amount").agg(F.count(F.lit(1)).alias("c"))
     else:
         hist = base.groupBy("category", "amount").agg(F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy("category").orderBy("amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = hist.withColumns({
-            "hi_rank": F.sum("c").over(w),
-            "n": F.sum("c").over(Window.partitionBy("category")),
-        }).withColumn("lo_rank", F.col("hi_rank") - F.col("c"))
+        # Cumulative counts in two levels: within log-scale amount blocks (64 per doubling),
+        # then over one summary row per block, so no task holds a whole category.
+        a = F.col("amount").cast("double")
+        blk = (F.signum(a) * F.floor(F.log2(F.abs(a) + 1) * 64)).cast("bigint")
+        ranked = running_sum(hist.withColumn("__blk", blk), ["category"], "__blk", ["amount"], "c",
+                             "hi_rank", total_out="n").withColumn("lo_rank", F.col("hi_rank") - F.col("c"))
 
         def value_at(k: Column) -> Column:
             # amount whose 0-based rank range [lo_rank, hi_rank) holds k

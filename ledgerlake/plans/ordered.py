@@ -58,3 +58,21 @@ def running_count(df: DataFrame, part: list[str], order: str, flag: str, out: st
     return (x.join(totals, [*part, "__blk"], "left")
             .withColumn(out, (F.col("__before") + F.col("__in")).cast("bigint"))
             .drop("__blk", "__f", "__in", "__before"))
+
+
+def running_sum(df: DataFrame, part: list[str], block: str, order: list[str], value: str,
+                out: str = "running", total_out: str | None = None) -> DataFrame:
+    """Adds `out` = sum of `value` over the rows at or before this one in (block, *order) order
+    within `part` (`block` must not decrease along `order`), and optionally `total_out` = the
+    sum over the whole `part`."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    w_in = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = df.withColumn("__in", F.sum(value).over(w_in))
+    totals = df.groupBy(*part, block).agg(F.sum(value).alias("__t"))
+    w_blk = Window.partitionBy(*part).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(w_blk), F.lit(0)))
+    if total_out:
+        totals = totals.withColumn(total_out, F.sum("__t").over(Window.partitionBy(*part)))
+    return (x.join(totals.drop("__t"), [*part, block], "left")
+            .withColumn(out, F.col("__before") + F.col("__in"))
+            .drop("__in", "__before"))

@@ -72,3 +72,24 @@ def test_budgets(spark):
     assert got["Gross"].actual == Decimal("100.00")  # credits not netted
     t = B.budget_totals(B.budget_vs_actual(tx(spark), budgets, bmap)).first()
     assert t.total_actual == Decimal("500.00") and t.overspend == Decimal("190.00") and t.overall_status == "Over"
+
+
+def test_box_stats_random_against_numpy(spark):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    vals = {c: [round(rnd.lognormvariate(5, 2), 2) for _ in range(rnd.randint(1, 300))] for c in "abc"}
+    vals["c"] += [-3.5, 0.0, -3.5]
+    rows = [(D(2026, 1, 1), Decimal(str(v)), c, "Debit", "p") for c, vs in vals.items() for v in vs]
+    got = {r.category: r for r in A.box_stats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for c, vs in vals.items():
+        a = np.array(vs)
+        q1, med, q3 = (round(float(np.percentile(a, p)), 4) for p in (25, 50, 75))
+        r = got[c]
+        assert (r.n, r.q1, r.median, r.q3) == (len(vs), q1, med, q3), c
+        iqr = np.percentile(a, 75) - np.percentile(a, 25)
+        inside = a[(a >= np.percentile(a, 25) - 1.5 * iqr) & (a <= np.percentile(a, 75) + 1.5 * iqr)]
+        assert r.lower_whisker == round(float(inside.min()), 4) and r.upper_whisker == round(float(inside.max()), 4)
+        assert r.n_outliers == len(vs) - len(inside)

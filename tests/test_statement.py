@@ -80,3 +80,17 @@ def test_running_count_matches_brute_force(spark):
     for _, i, f in rows:
         acc += int(f)
         assert got[i] == acc
+
+
+def test_running_sum_matches_brute_force(spark):
+    from ledgerlake.plans.ordered import running_sum
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice("xy"), i // 7, i, rnd.randint(0, 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, blk int, seq int, v int")
+    got = {r.seq: (r.acc, r.tot) for r in running_sum(df, ["k"], "blk", ["seq"], "v", "acc", "tot").collect()}
+    for k in "xy":
+        acc, tot = 0, sum(r[3] for r in rows if r[0] == k)
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]):
+            acc += r[3]
+            assert got[r[2]] == (acc, tot)
