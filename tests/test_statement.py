@@ -94,3 +94,23 @@ def test_running_sum_matches_brute_force(spark):
         for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[2]):
             acc += r[3]
             assert got[r[2]] == (acc, tot)
+
+
+def test_ordered_helpers_multi_level(spark):
+    from ledgerlake.plans.ordered import running_sum
+
+    rnd = random.Random(21)
+    rows = [(rnd.choice("pq"), i // 3, i, rnd.randint(-3, 9)) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, blk int, seq int, v int")
+    for levels in (1, 2, 3, 4):
+        prev = {r.seq: (r.prev, r.is_first)
+                for r in prev_in_order(df, ["k"], "blk", ["seq"], "v", levels=levels, fanout=2, max_blocks=2).collect()}
+        run = {r.seq: (r.acc, r.tot) for r in running_sum(df, ["k"], "blk", ["seq"], "v", "acc", "tot", levels=levels,
+                                                         fanout=2, max_blocks=2).collect()}
+        for k in "pq":
+            ordered = sorted((r for r in rows if r[0] == k), key=lambda r: r[2])
+            acc, tot = 0, sum(r[3] for r in ordered)
+            for j, r in enumerate(ordered):
+                acc += r[3]
+                assert prev[r[2]] == ((ordered[j - 1][3] if j else None), j == 0), levels
+                assert run[r[2]] == (acc, tot), levels
