@@ -199,8 +199,9 @@ def box_stats(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> Dat
         # then over one summary row per block, so no task holds a whole category.
         a = F.col("amount").cast("double")
         blk = (F.signum(a) * F.floor(F.log2(F.abs(a) + 1) * 64)).cast("bigint")
+        # |blk| <= 64 * 64 for any amount below 2**64, so one level is provably bounded
         ranked = running_sum(hist.withColumn("__blk", blk), ["category"], "__blk", ["amount"], "c",
-                             "hi_rank", total_out="n").withColumn("lo_rank", F.col("hi_rank") - F.col("c"))
+                             "hi_rank", total_out="n", levels=1).withColumn("lo_rank", F.col("hi_rank") - F.col("c"))
 
         def value_at(k: Column) -> Column:
             # amount whose 0-based rank range [lo_rank, hi_rank) holds k

@@ -36,23 +36,21 @@ def _inline_match(payee_lower: Column, rules: list[tuple[str, str]]) -> Column:
 def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", out_col: str = "category",
                   strategy: str = "auto") -> DataFrame:
     """Adds out_col: 'SIP' for a blank payee, else the first matching rule's category, else null."""
-    n_rules = rules.count() if strategy == "auto" else None
-    if strategy == "auto":
-        strategy = "inline" if n_rules <= INLINE_MAX else "join"
     payee = strip(F.col(payee_col))
     blank = payee.isNull() | (payee == "")
-    if strategy == "inline":
-        ordered = rules.orderBy("priority", "keyword").select("category", "keyword").collect()
-        if len(ordered) > INLINE_MAX:
-            raise ValueError(f"{len(ordered)} rules is above the inline limit {INLINE_MAX}")
-        pl = F.col("__pl")
-        match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
-        return (df.withColumn("__pl", F.lower(payee))
-                .withColumn(out_col, F.when(F.col("__pl").isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY))
-                            .otherwise(match))
-                .drop("__pl"))
-    if n_rules is None:
-        n_rules = rules.count()
+    if strategy in ("auto", "inline"):
+        # one bounded fetch decides the plan: at most INLINE_MAX + 1 rules reach the driver
+        ordered = rules.orderBy("priority", "keyword").select("category", "keyword").limit(INLINE_MAX + 1).collect()
+        if len(ordered) <= INLINE_MAX:
+            pl = F.col("__pl")
+            match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
+            return (df.withColumn("__pl", F.lower(payee))
+                    .withColumn(out_col, F.when(F.col("__pl").isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY))
+                                .otherwise(match))
+                    .drop("__pl"))
+        if strategy == "inline":
+            raise ValueError(f"more than {INLINE_MAX} rules: use strategy='join'")
+    n_rules = rules.count()
     if n_rules > BROADCAST_MAX:
         raise ValueError(f"{n_rules} rules exceed the broadcast bound {BROADCAST_MAX}")
     key = "__payee"
