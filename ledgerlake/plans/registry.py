@@ -7,6 +7,7 @@ Parameters (filter spec, budgets, intents...) are module constants shared by bot
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlake.operators import analytics as A
 from ledgerlake.operators import budget as B
 from ledgerlake.plans.views import transactions, with_e
+from ledgerlake.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,8 +23,16 @@ ORACLE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query (and its oracle SQL). The registered callable first applies the
+    result-relevant session settings (UTC time zone), whatever session it is given."""
+
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
