@@ -73,3 +73,14 @@ def ingest_statement_lines(lines: DataFrame, rules: DataFrame, classifier=None)
     cols = ["hashcode", "ingest_seq", "source", "source_id", "amount", "paid_to", "txn_type", "reference_no",
             "txn_date", "category"]
     return L.first_copy(fp.select(*cols), "hashcode", "ingest_seq"), bad
+
+
+def ingest_mail(mails_raw: DataFrame, rules: DataFrame, day=None, classifier=None) -> tuple[DataFrame, DataFrame]:
+    """Landed mail (mail_id, sender, received_at, payload JSON) of one day (or all) ->
+    (unique categorised records, quarantine). Sender and day filter at the scan; the body is
+    picked from the MIME tree, turned into text lines, checked for alert words, parsed."""
+    from ledgerlake.sources import mail as M
+
+    picked = M.mime_body(M.bank_mails_on(mails_raw, day))
+    texts = M.mail_text(picked).filter(M.has_alert_words(F.col("text")))
+    return ingest_alert_texts(texts.select("mail_id", "received_at", "text"), rules, classifier)

@@ -20,6 +20,22 @@ ALERT_WORDS_RE = r"(?i)\b(debit|spent|transaction|inr)\b|rs\."
 LIST_CAP_OLD = 500  # the undated variant returns at most this many mails
 
 
+def bank_mails_on(mails: DataFrame, day: dt.date | None = None, ts_col: str = "received_at",
+                  sender_col: str = "sender", sender_text: str = BANK_SENDER) -> DataFrame:
+    """Sender and [day, day+1) part of the search: plain column predicates that reach the scan."""
+    p = F.lower(F.col(sender_col)).contains(sender_text)
+    if day is not None:
+        ts_type = dict(mails.dtypes)[ts_col]
+        lo = F.lit(dt.datetime.combine(day, dt.time())).cast(ts_type)
+        hi = F.lit(dt.datetime.combine(day + dt.timedelta(days=1), dt.time())).cast(ts_type)
+        p = p & (F.col(ts_col) >= lo) & (F.col(ts_col) < hi)
+    return mails.filter(p)
+
+
+def has_alert_words(text: Column) -> Column:
+    return text.rlike(ALERT_WORDS_RE)
+
+
 def alert_mails(mails: DataFrame, day: dt.date | None = None, ts_col: str = "received_at",
                 sender_col: str = "sender", body_col: str = "body", sender_text: str = BANK_SENDER) -> DataFrame:
     """Mails of one day [day, day+1) from the bank that look like transaction alerts.

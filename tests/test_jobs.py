@@ -49,3 +49,28 @@ def test_small_helpers(spark):
     frame = A.dashboard_frame(df.withColumns({"category": F.lit("c"), "txn_type": F.lit("Debit"), "paid_to": F.lit("p")}))
     assert frame.is_cached and set(frame.columns) >= {"month", "day_of_week", "week"}
     frame.unpersist()
+
+
+def test_ingest_landed_mail(spark):
+    import base64
+    import json
+
+    def b64(s):
+        return base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+
+    html = ("<html><body><p>Rs.1,234.50 has been debited from account to VPA shop@okbank PIZZA CORNER on 09-02-26."
+            "</p><p>Your UPI transaction reference number is 123456.</p></body></html>")
+    tree = {"mimeType": "multipart/alternative", "parts": [{"mimeType": "text/plain", "body": {"data": b64("x")}},
+                                                           {"mimeType": "text/html", "body": {"data": b64(html)}}]}
+    rows = [(1, "alerts@mybank.example", dt.datetime(2026, 2, 9, 8), json.dumps(tree)),
+            (2, "alerts@mybank.example", dt.datetime(2026, 2, 9, 9), json.dumps(tree)),        # same alert again
+            (3, "news@shop.example", dt.datetime(2026, 2, 9, 9), json.dumps(tree)),            # not the bank
+            (4, "alerts@mybank.example", dt.datetime(2026, 2, 10, 9), json.dumps(tree))]       # other day
+    raw = spark.createDataFrame(rows, "mail_id long, sender string, received_at timestamp, payload string")
+    recs, bad = J.ingest_mail(raw, rules_frame(spark, {"Food": ["pizza"]}), dt.date(2026, 2, 9))
+    got = recs.collect()
+    assert len(got) == 1 and bad.count() == 0
+    r = got[0]
+    assert (r.amount, r.paid_to, r.txn_type, r.reference_no, r.txn_date, r.category) == (
+        Decimal("1234.50"), "PIZZA CORNER", "Debit", "123456", dt.date(2026, 2, 9), "Food")
+    assert r.ingest_seq == 1
