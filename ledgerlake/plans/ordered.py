@@ -103,3 +103,36 @@ def running_count(df: DataFrame, part: list[str], order: str, flag: str, out: st
     x = df.withColumn("__blk", F.floor(F.col(order) / F.lit(block_size))).withColumn("__f", F.col(flag).cast("int"))
     return (running_sum(x, part, "__blk", [order], "__f", out, None, levels, fanout, max_blocks)
             .withColumn(out, F.col(out).cast("bigint")).drop("__blk", "__f"))
+
+
+def global_positions(df: DataFrame, order: list, weight=None, pos_out: str = "position",
+                     offset_out: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Adds `pos_out` = 1-based place of each row in the total order `order` (Columns with
+    direction; they must break every tie) and, with `weight`, `offset_out` = the sum of
+    `weight` over all rows before it.
+
+    A distributed range sort: rows are range-partitioned on the order (sampled bounds; the
+    order is unique, so a hot value cannot make a hot task), numbered inside each range, and
+    each range learns its start from one count per range -- a table of at most `partitions`
+    rows, so its broadcast is bounded by the partition count, not by the data.
+    """
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    w = F.lit(0).cast("bigint") if weight is None else weight
+    s = (df.withColumn("__w", w).repartitionByRange(n, *order)
+         .withColumn("__pid", F.spark_partition_id())
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    w_rng = Window.partitionBy("__pid").orderBy(*order)
+    x = s.withColumns({
+        "__rn": F.row_number().over(w_rng),
+        "__cw": F.sum("__w").over(w_rng.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__ws"))
+              .select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
+                      F.coalesce(F.sum("__ws").over(before), F.lit(0)).alias("__ws0")))
+    res = x.join(F.broadcast(starts), "__pid").withColumn(pos_out, F.col("__n0") + F.col("__rn"))
+    if offset_out:
+        res = res.withColumn(offset_out, F.col("__ws0") + F.col("__cw") - F.col("__w"))
+    return res.drop("__w", "__pid", "__rn", "__cw", "__n0", "__ws0")

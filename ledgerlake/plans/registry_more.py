@@ -88,8 +88,11 @@ def q_vector_search(spark, sf):
 
 
 @register("context_text", "WITH x AS (SELECT 1)" + _DIST_SQL.format(qid=QUERY_VEC_ID, label=SEARCH_FILTER["label"]) + """
-SELECT count(*) AS n_docs, string_agg(text || '.', '' ORDER BY distance DESC, vec_id DESC) AS context
-FROM r JOIN documents ON doc_id = vec_id""")
+, p AS (SELECT vec_id, text || '.' AS piece, distance FROM r JOIN documents ON doc_id = vec_id)
+SELECT vec_id, row_number() OVER (ORDER BY distance DESC, vec_id DESC) AS position, piece,
+       CAST(coalesce(sum(length(piece)) OVER (ORDER BY distance DESC, vec_id DESC
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start
+FROM p""")
 def q_context_text(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     ranked = _ranked(spark, sf).select("vec_id", "distance").join(docs, "vec_id")

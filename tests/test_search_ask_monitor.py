@@ -39,8 +39,14 @@ def test_search_ranking_and_context(spark):
     ranked = SE.search(df, [0.0, 0.0], {"g": 1})
     assert [(r.id, r.distance) for r in ranked.collect()] == [("x", 0.0), ("w", 1.0), ("z", 1.0), ("y", 25.0)]
     assert [r.id for r in SE.search(df, [0.0, 0.0], None, k=2).collect()] == ["x", "w"]
-    ctx = SE.context_text(ranked).first()
-    assert ctx.context == "far.mid.tie.near." and ctx.n_docs == 4
+    pieces = SE.context_text(ranked).orderBy("position").collect()
+    assert [p.position for p in pieces] == [1, 2, 3, 4]
+    assert "".join(p.piece for p in pieces) == "far.mid.tie.near."
+    assert [p.char_start for p in pieces] == [0, 4, 8, 12]
+    two = ranked.withColumn("q", F.lit(1)).unionByName(ranked.filter(F.col("id") != "y").withColumn("q", F.lit(2)))
+    per_q = SE.context_text(two, key=["q"]).orderBy("q", "position").collect()
+    assert "".join(p.piece for p in per_q if p.q == 2) == "mid.tie.near."
+    assert [(p.position, p.char_start) for p in per_q if p.q == 2] == [(1, 0), (2, 4), (3, 8)]
 
 
 def test_embedding_index_skips_known_ids(spark):
