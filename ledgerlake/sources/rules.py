@@ -8,8 +8,7 @@ category in the file, then its first keyword, wins. Ties never happen; ordering
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +35,12 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
     A missing file gives the default categories, which carry no keywords (no rows).
     """
-    if not os.path.exists(path) and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
+    try:
+        doc = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:  # any file system: a missing path fails at analysis
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], RULES_SCHEMA)
-    doc = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), "map<string,array<string>>")
     cats = doc.select(F.posexplode(F.map_entries(m)).alias("ci", "e"))
     kws = cats.select("ci", F.col("e.key").alias("category"), F.posexplode(F.col("e.value")).alias("ki", "keyword"))
