@@ -116,11 +116,12 @@ def global_positions(df: DataFrame, order: list, weight=None, pos_out: str = "po
     each range learns its start from one count per range -- a table of at most `partitions`
     rows, so its broadcast is bounded by the partition count, not by the data.
     """
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
     w = F.lit(0).cast("bigint") if weight is None else weight
-    s = (df.withColumn("__w", w).repartitionByRange(n, *order)
+    # Without a fixed count the range exchange uses the shuffle partitions and AQE may merge
+    # neighbouring ranges, which keeps partition ids in order.
+    x0 = df.withColumn("__w", w)
+    s = (x0.repartitionByRange(partitions, *order) if partitions else x0.repartitionByRange(*order))
+    s = (s
          .withColumn("__pid", F.spark_partition_id())
          .persist(StorageLevel.MEMORY_AND_DISK))
     w_rng = Window.partitionBy("__pid").orderBy(*order)
