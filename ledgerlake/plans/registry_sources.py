@@ -1,5 +1,6 @@
 """Registered source/sink queries: undated mail list, day slice, parameterised SQL, source
-union, schema-evolution read, rules file round trip, index append with the embedder.
+union, schema-evolution read, rules file round trip, index append with the embedder,
+currency labels and the statement ingest job.
 
 Queries that write (rules file, stored table, index) write under a fresh folder of the
 cluster's shared checkpoint dir, then read back, so they run the sink and the source.
@@ -137,3 +138,44 @@ def q_index_new(spark, sf):
     new = SE.index_new(rec, spark.read.parquet(path))
     sq = F.aggregate(F.col("embedding"), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return new.select("id", "document", F.size("embedding").alias("n_dims"), F.round(F.sqrt(sq), 4).alias("norm"))
+
+
+# ---------------------------------------------------------------- X20: currency labels
+@register("kpi_labels", f"""
+SELECT '₹' || format('{{:,}}', CAST(round(total_spent, 0) AS BIGINT)) AS spent_label,
+       '₹' || format('{{:,}}', CAST(round(total_received, 0) AS BIGINT)) AS received_label,
+       '₹' || format('{{:,}}', CAST(round(net_balance, 0) AS BIGINT)) AS net_label
+FROM ({ORACLE['kpis']}) k""")
+def q_kpi_labels(spark, sf):
+    from ledgerlake.functions.text import money_label
+    from ledgerlake.operators import analytics as A
+
+    k = A.kpis(transactions(spark, sf))
+    return k.select(money_label("total_spent").alias("spent_label"), money_label("total_received").alias("received_label"),
+                    money_label("net_balance").alias("net_label"))
+
+
+# ---------------------------------------------------------------- S17: statement ingest job
+def _statement_ingest_oracle() -> str:
+    from ledgerlake.plans.registry_ingest import _rules_values_sql, sql_strip
+    from ledgerlake.plans.registry_more import _fp_sql
+
+    return f"""
+WITH rules(category, keyword, priority) AS (VALUES {_rules_values_sql()}),
+sr AS ({ORACLE['statement_records']}),
+c AS (SELECT *, CASE WHEN paid_to IS NULL OR {sql_strip('paid_to')} = '' THEN 'SIP'
+                     ELSE (SELECT arg_min(category, priority) FROM rules
+                           WHERE contains(lower({sql_strip('paid_to')}), lower(keyword))) END AS category
+      FROM sr)
+SELECT {_fp_sql(L.HASH_KEYS)} AS hashcode, source, source_id, amount, paid_to, txn_type, reference_no, txn_date, category
+FROM c"""
+
+
+@register("statement_ingest", _statement_ingest_oracle())
+def q_statement_ingest(spark, sf):
+    """Statement lines -> good pages -> records -> rules -> fingerprint -> first copy per key."""
+    from ledgerlake.plans.jobs import ingest_statement_lines
+    from ledgerlake.sources.rules import rules_frame
+
+    recs, _ = ingest_statement_lines(statement_lines(table(spark, sf, "events")), rules_frame(spark, PART_RULES))
+    return recs.drop("ingest_seq")
