@@ -131,7 +131,7 @@ SELECT id, document, CAST(256 AS INTEGER) AS n_dims, CAST(1.0 AS DOUBLE) AS norm
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.txn_date < DATE '{INDEXED_BEFORE}' AND f.hashcode = d.id)""")
 def q_index_new(spark, sf):
     """Index the older rows, then embed only the records whose id is not in the index yet
-    (left anti join); the embedder is TF-IDF, so every vector has unit length."""
+    (left anti join); the default embedder normalises, so every vector has unit length."""
     path = run_dir(spark, "index") + "/vec_docs"
     rec = L.add_fingerprint(_records(spark, sf))
     SE.append_index(SE.index_new(rec.filter(F.col("txn_date") < F.lit(INDEXED_BEFORE)), None), path, "b1")
