@@ -6,33 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import license_scan, packing, pii, token_store
+from ledgerlake.llm import ann, decontaminate, html_main, license_scan, near_dedup, packing, pii, quality, substring_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(documents(spark, sf_dir))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2, threshold=0.8)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_license_scan": op2_license_scan,
-    "op5_token_orc": op5_token_orc,
-    "op7_pii": op7_pii,
-    "op9_packing": op9_packing,
+    f.__name__: f
+    for f in (op1_ann, op2_license_scan, op3_decontamination, op4_quality, op5_token_orc, op6_near_dedup, op7_pii,
+              op8_substring_dedup, op9_packing, op10_html_main)
+}
+ORACLE: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle(),
+    "op8_substring_dedup": substring_dedup.oracle(),
 }
-ORACLE: dict[str, str] = {"op2_license_scan": license_scan.oracle()}

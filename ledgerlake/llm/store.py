@@ -1,4 +1,4 @@
-"""Working tables in the cluster's shared folder, and joins whose small side is counted first."""
+"""Working tables in the cluster's shared folder, and joins whose small side's size is checked first."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its stored table has at most so many rows of small
-#: fixed-width columns (a few MB); beyond it the join shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its stored files hold at most so many bytes;
+#: beyond it the join shuffles both sides and adaptive execution may split hot keys.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -33,10 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(table: DataFrame) -> int:
+    """Size of a stored table's files, as the planner knows it."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """big joined with a stored table: by broadcast if its row count is within BROADCAST_ROWS,
-    else by a shuffle that adaptive execution may split."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    """big joined with a stored table: by broadcast if its files are within BROADCAST_BYTES, else by a shuffle."""
+    return big.join(F.broadcast(small) if bytes_of(small) <= BROADCAST_BYTES else small, on, how)
 
 
 def pinned(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
