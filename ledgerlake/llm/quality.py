@@ -2,8 +2,8 @@
 
 Labels give graded ratings: 0 toxic, 1 poor, 2 good. P(grade <= k) is the logistic of threshold k
 minus the document's score, with one weight vector for all grades and thresholds in ascending
-order. A document's features are the hashed words it holds (letters only, lower case) and, in a
-part of their own, the shares of its words by shape (case and signs) and of words that repeat the
+order. A document's features are the hashed words it holds (letters only, lower case), their first
+letters and, in a part of their own, the shares of its words by shape (case and signs) and of words that repeat the
 one before. Training takes at most SAMPLE labelled documents, those with the smallest hash of
 their id, and minimises the penalised likelihood by L-BFGS; Spark tasks compute the gradient over
 the sample's stored features. Every document is then scored: expected grade, probability of the
@@ -31,11 +31,12 @@ from ledgerlake.llm.store import stored
 from ledgerlake.llm.words import owners, tokens, word_hashes
 
 SAMPLE = 12_000
-WORD_BITS, SHAPES = 16, 256
+WORD_BITS, SHAPES = 17, 256
 SIZE = (1 << WORD_BITS) + SHAPES + 1
 GRADES = 3
-RIDGE = 2.0
+RIDGE = 1.0
 SHAPE_SCALE = 4.0
+STEMS = (4, 5)
 ROUNDS = 30
 KEEP = 0.5
 LETTERS = re.compile(r"[\W\d_]+")
@@ -58,11 +59,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(0), np.zeros(n + 1, np.int64)
     bare = [LETTERS.sub("", w).lower() for w in words]
-    column = (word_hashes(bare) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    column[np.array([not w for w in bare])] = -1
+    # Each word's own column and those of its first letters, as stems carry over to unseen words.
+    cut = [bare, *([w[:k] if len(w) > k else "" for w in bare] for k in STEMS)]
+    column = np.stack([(word_hashes(ws, k) >> np.uint64(64 - WORD_BITS)).astype(np.int64) for k, ws in enumerate(cut)])
+    column[np.array([[not w for w in ws] for ws in cut])] = -1
     form = (1 << WORD_BITS) + (word_hashes([shape(w) for w in words], 1) % np.uint64(SHAPES)).astype(np.int64)
     owner, total = owners(ends), np.maximum(np.diff(ends), 1)
-    held = np.unique(owner[column[codes] >= 0] * SIZE + column[codes][column[codes] >= 0])
+    pairs = np.unique(owner * len(words) + codes)  # each word once a text
+    of, columns = pairs // len(words), column[:, pairs % len(words)]
+    held = np.unique((of * SIZE + columns)[columns >= 0])
     shaped, counts = np.unique(owner * SIZE + form[codes], return_counts=True)
     same = np.flatnonzero((codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1]))
     again = np.bincount(owner[same], minlength=n)
