@@ -170,9 +170,17 @@ def star_pairs(crowd: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     return stored(joined.mapInArrow(near, "a long, b long").distinct(), "star-pairs")
 
 
-def cross_pairs(crowd: DataFrame, reps: DataFrame, roots: DataFrame, t: float) -> DataFrame:
+def overlaps(one: np.ndarray, items: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of `one` (ascending) each of the sets items[ends[i]:ends[i + 1]] (none empty) holds."""
+    at = np.minimum(np.searchsorted(one, items), len(one) - 1)
+    return np.add.reduceat((one[at] == items).astype(np.int64), ends[:-1]) if len(ends) > 1 else np.zeros(0, np.int64)
+
+
+def cross_pairs(docs: DataFrame, crowd: DataFrame, reps: DataFrame, roots: DataFrame, shingle: int, t: float) -> DataFrame:
     """Pairs across components in buckets that hold several: members outside a bucket's largest
-    component against all its members, block by block, each pair in its first common band only."""
+    component against all its members, block by block, each pair in its first common band only.
+    A pair leaves its block when the estimate and the sets, cut to 32-bit hashes, both allow a
+    link, so a family of almost-copies doesn't spread all its pairs."""
     placed = crowd.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "key", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
@@ -187,7 +195,11 @@ def cross_pairs(crowd: DataFrame, reps: DataFrame, roots: DataFrame, t: float) -
     some = rows.filter("root <> main").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("few")).cast("int")).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     cols = ["band", "key", "i", "j", "side", "rep", "root"]
-    sides = every.select(cols).unionByName(some.select(cols)).join(reps, "rep")
+    ids = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+    short = F.transform("items", lambda x: F.shiftright(x, HASH_BITS - 32).cast("long") - (1 << 31))
+    sets = sets_of(join_counted(docs, ids, ["doc_id"], "left_semi"), shingle).select(
+        F.col("doc_id").alias("rep"), short.cast("array<int>").alias("items")).dropDuplicates(["rep"])
+    sides = every.select(cols).unionByName(some.select(cols)).join(reps.join(sets, "rep"), "rep")
 
     def compare(key: tuple, g: pa.Table) -> pa.Table:
         g = g.combine_chunks()
@@ -195,6 +207,9 @@ def cross_pairs(crowd: DataFrame, reps: DataFrame, roots: DataFrame, t: float) -
         rep, root, n = (g.column(c).to_numpy() for c in ("rep", "root", "n_shingles"))
         reg = matrix(g.column("bands").combine_chunks())
         bands = reg.view(np.int64)
+        lists = g.column("items").combine_chunks()
+        items, ends = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        size = np.diff(ends)
         a_out, b_out = [], []
         all_rows = np.flatnonzero(side == 0)
         for k in np.flatnonzero(side == 1):
@@ -203,9 +218,15 @@ def cross_pairs(crowd: DataFrame, reps: DataFrame, roots: DataFrame, t: float) -
                 continue
             shared = (bands[at] == bands[k]) & (bands[k] != 0)
             at = at[shared.argmax(-1) == band]
-            ok = likely(reg[at], reg[k], n[at], np.full(len(at), n[k]), t)
-            a_out.append(np.minimum(rep[at[ok]], rep[k]))
-            b_out.append(np.maximum(rep[at[ok]], rep[k]))
+            at = at[likely(reg[at], reg[k], n[at], np.full(len(at), n[k]), t)]
+            if not len(at):
+                continue
+            mine = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in at])
+            common = overlaps(items[ends[k] : ends[k + 1]], items[mine], np.concatenate([[0], np.cumsum(size[at])]))
+            # Cutting hashes can only join elements, by a few in a set: two more or less decide nothing.
+            at = at[common + 2 >= t * (size[at] + size[k] - common - 2)]
+            a_out.append(np.minimum(rep[at], rep[k]))
+            b_out.append(np.maximum(rep[at], rep[k]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(a_out), "b": join(b_out)})
 
@@ -233,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     crowd = stored(crowd.drop("low").join(others, ["band", "key"]), "crowded-buckets")
     links = confirmed(docs, star_pairs(crowd, reps, threshold), shingle, threshold)
     roots = stored(components(links), "first-roots")
-    more = cross_pairs(crowd, reps, roots, threshold)
+    more = cross_pairs(docs, crowd, reps, roots, shingle, threshold)
     if not more.isEmpty():
         links = links.unionByName(confirmed(docs, more, shingle, threshold))
         roots = stored(components(links), "roots")
