@@ -75,15 +75,31 @@ def slash_date(c: Column | str) -> Column:
 
 def urlsafe_b64_text(c: Column | str) -> Column:
     """URL-safe base64 (padding optional) -> UTF-8 text; bad bytes become U+FFFD."""
-    raw = F.unbase64(F.translate(col(c), "-_", "+/"))
+    raw = F.try_to_binary(F.translate(col(c), "-_", "+/"), F.lit("base64"))  # null if it is cut off or no base64
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def numeric_references(h: Column) -> Column:
+    """&#8377; and &#x20B9; as their characters; numbers that are no character stay as they are."""
+    ref = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+    def char(m: Column) -> Column:
+        code = F.regexp_extract(m, ref, 1)
+        n = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        known = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        utf = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(known, utf).otherwise(m)
+
+    gaps, refs = F.split(h, ref, -1), F.regexp_extract_all(h, F.lit(ref), 0)
+    both = F.zip_with(gaps, refs, lambda g, m: F.concat(g, F.coalesce(char(m), F.lit(""))))
+    return F.when(F.contains(h, F.lit("&#")), F.array_join(both, "")).otherwise(h)
+
+
 def html_text_lines(c: Column | str) -> Column:
     """HTML -> its text, one stripped non-empty line per text run, joined by newline.
 
     Script, style, comments and declarations are removed; every tag ends a line;
-    the six common entities are decoded, &amp; last.
+    numeric character references and the six common entities are decoded, &amp; last.
     """
     h = col(c)
     h = F.regexp_replace(h, r"(?is)<script\b.*?</script>", "")
@@ -91,6 +107,7 @@ def html_text_lines(c: Column | str) -> Column:
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
     h = F.regexp_replace(h, r"<![^>]*>", "")
     h = F.regexp_replace(h, r"<[^>]+>", "\n")
+    h = F.get(F.transform(F.array(h), numeric_references), F.lit(0))  # bound once, used several times
     for ent, ch in HTML_ENTITIES:
         h = F.replace(h, F.lit(ent), F.lit(ch))
     lines = F.transform(F.split(h, "\n"), lambda x: strip(x))

@@ -12,6 +12,7 @@ count is bounded by the calendar (days, months) or the category vocabulary, neve
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -65,6 +66,11 @@ def dashboard_frame(tx: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- filters
+def exact(x) -> Column:
+    """A bound as the decimal its text says, unrounded."""
+    return F.lit(Decimal(str(x)))
+
+
 @dataclass(frozen=True)
 class FilterSpec:
     """Dashboard selection. None = no predicate; an empty list selects nothing."""
@@ -87,9 +93,9 @@ class FilterSpec:
         if self.date_to is not None:
             p = p & (F.col("txn_date") <= F.lit(self.date_to))
         if self.amount_min is not None:
-            p = p & (F.col("amount") >= F.lit(self.amount_min).cast("decimal(18,2)"))
+            p = p & (F.col("amount") >= exact(self.amount_min))
         if self.amount_max is not None:
-            p = p & (F.col("amount") <= F.lit(self.amount_max).cast("decimal(18,2)"))
+            p = p & (F.col("amount") <= exact(self.amount_max))
         return p
 
 
@@ -291,10 +297,12 @@ def txn_summary(df: DataFrame) -> DataFrame:
 
 
 def txn_detail(df: DataFrame) -> DataFrame:
-    """Display table, newest first (a distributed range sort)."""
-    return df.select(
+    """Display table, newest first, then by txn_id where there is one (a distributed range sort
+    whose key is unique, so a day with many rows is split)."""
+    tie = [F.col("txn_id")] if "txn_id" in df.columns else []
+    return df.orderBy(F.col("txn_date").desc(), *tie).select(
         F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"), "category", "txn_type", "amount", "paid_to"
-    ).orderBy(F.col("txn_date").desc())
+    )
 
 
 def top_payees(df: DataFrame, k: int = 10) -> DataFrame:

@@ -1,11 +1,10 @@
 """Payee -> category: ordered keyword rules (first match wins), classifier fallback, learning.
 
-Two plans for the rule match, chosen by the (counted) size of the rules table:
-* inline  (<= INLINE_MAX rules): rules become a CASE chain in priority order over the
-  lower-cased payee (computed once per row) -- a projection, no shuffle, no join.
-* join    (larger): distinct payees x broadcast(rules) on containment, min_by priority,
-  equi-joined back. The broadcast side is the rules table, size-checked.
-Blank or missing payees get 'SIP' and never reach rules or classifier.
+The rule match is an equi-join at any size of the rules table: every distinct payee is cut into its
+substrings of the lengths that rules have, which are joined with the lower-cased keywords; the
+match with the smallest (priority, keyword) wins and is joined back by payee. A caller that holds
+a short list of rules may ask for strategy='inline', a CASE chain without a join.
+Blank or missing payees get 'SIP' and never reach rules, classifier or a join.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import strip
 from ledgerlake.sources.rules import CATEGORY_STRIDE, LEARNED_SLOT
 
-INLINE_MAX = 512
-BROADCAST_MAX = 2_000_000
 MISSING_PAYEE_CATEGORY = "SIP"
 
 
@@ -34,86 +31,86 @@ def _inline_match(payee_lower: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", out_col: str = "category",
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "join") -> DataFrame:
     """Adds out_col: 'SIP' for a blank payee, else the first matching rule's category, else null."""
     payee = strip(F.col(payee_col))
-    blank = payee.isNull() | (payee == "")
-    if strategy in ("auto", "inline"):
-        # one bounded fetch decides the plan: at most INLINE_MAX + 1 rules reach the driver
-        ordered = rules.orderBy("priority", "keyword").select("category", "keyword").limit(INLINE_MAX + 1).collect()
-        if len(ordered) <= INLINE_MAX:
-            pl = F.col("__pl")
-            match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
-            return (df.withColumn("__pl", F.lower(payee))
-                    .withColumn(out_col, F.when(F.col("__pl").isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY))
-                                .otherwise(match))
-                    .drop("__pl"))
-        if strategy == "inline":
-            raise ValueError(f"more than {INLINE_MAX} rules: use strategy='join'")
-    n_rules = rules.count()
-    if n_rules > BROADCAST_MAX:
-        raise ValueError(f"{n_rules} rules exceed the broadcast bound {BROADCAST_MAX}")
-    key = "__payee"
-    keyed = df.withColumn(key, F.when(blank, F.lit(None)).otherwise(payee))
-    payees = keyed.select(key).where(F.col(key).isNotNull()).distinct()
-    r = F.broadcast(rules.select(F.lower("keyword").alias("kw"), "category", "priority", "keyword"))
-    best = (
-        payees.join(r, F.lower(F.col(key)).contains(F.col("kw")), "inner")
-        .groupBy(key)
-        .agg(F.min_by("category", _order_key()).alias("__cat"))
-    )
-    return (
-        keyed.join(best, key, "left")
-        .withColumn(out_col, F.when(F.col(key).isNull(), F.lit(MISSING_PAYEE_CATEGORY)).otherwise(F.col("__cat")))
-        .drop(key, "__cat")
-    )
+    if strategy == "inline":
+        ordered = rules.orderBy("priority", "keyword").select("category", "keyword").collect()
+        pl = F.col("__pl")
+        match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
+        return (df.withColumn("__pl", F.lower(payee))
+                .withColumn(out_col, F.when(pl.isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY)).otherwise(match))
+                .drop("__pl"))
+    keyed = df.withColumn("__payee", F.lower(payee))
+    blank = F.col("__payee").isNull() | (F.col("__payee") == "")
+    words = rules.filter("keyword is not null").select(F.lower("keyword").alias("__part"), "category", "priority", "keyword")
+    lengths = words.agg(F.collect_set(F.length("__part")).alias("n")).scalar()
+    last = F.length("__payee") - F.col("__n") + 1
+    places = F.when(F.col("__n") == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
+    parts = (keyed.filter(~blank).select("__payee").distinct().withColumn("__n", F.explode(lengths))
+             .withColumn("__i", F.explode(places))
+             .select("__payee", F.substring("__payee", F.col("__i"), F.col("__n")).alias("__part")))
+    best = parts.join(words, "__part").groupBy("__payee").agg(F.min_by("category", _order_key()).alias("__cat"))
+    ruled = keyed.filter(~blank).join(best, "__payee", "left").select(*df.columns, F.col("__cat").alias(out_col))
+    return ruled.unionByName(keyed.filter(blank).select(*df.columns, F.lit(MISSING_PAYEE_CATEGORY).alias(out_col)))
 
 
 # ---------------------------------------------------------------- classifier (fallback)
+NO_EVIDENCE = "Others"
+
+
 class PayeeClassifier:
     """Character-trigram naive Bayes trained on the rules' keywords (label = category).
 
-    A stand-in for an external labeller: deterministic, trained and applied as Spark ML
-    stages. Any object with fit(rules) -> self and predict(df, col) -> df[+pred] can replace it.
+    A stand-in for an external labeller, as joins and aggregates: score(label) is the log of the
+    label's share of keywords plus, for each of the payee's trigrams that any keyword has, the log
+    of its smoothed share of the label's trigrams. Scores are rounded to SCALE places, ties go to
+    the first label in the alphabet. A payee without a known trigram is NO_EVIDENCE; so is every
+    payee when there are no rules. Any object with fit(rules) -> self and predict(df, col, out)
+    -> df[+out] can replace it.
     """
 
-    def __init__(self, num_features: int = 1 << 14, smoothing: float = 1.0):
-        self.num_features = num_features
-        self.smoothing = smoothing
-        self.model = None
+    SCALE = 9
 
-    def _features(self, col: str):
-        from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+    def __init__(self, smoothing: float = 1.0):
+        self.smoothing = smoothing
+        self.rules = None
 
-        tok = RegexTokenizer(inputCol=col, outputCol="__chars", pattern=".", gaps=False, toLowercase=True)
-        ngr = NGram(n=3, inputCol="__chars", outputCol="__tri")
-        tf = HashingTF(inputCol="__tri", outputCol="features", numFeatures=self.num_features)
-        return [tok, ngr, tf]
+    @staticmethod
+    def trigrams(text: Column) -> Column:
+        padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3))
 
     def fit(self, rules: DataFrame) -> "PayeeClassifier":
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import NaiveBayes
-        from pyspark.ml.feature import StringIndexer
-
-        train = rules.select(F.concat(F.lit("  "), F.lower("keyword"), F.lit("  ")).alias("text"), "category")
-        idx = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc")
-        nb = NaiveBayes(smoothing=self.smoothing, modelType="multinomial")
-        self.model = Pipeline(stages=[idx, *self._features("text"), nb]).fit(train)
-        self.labels = self.model.stages[0].labels
+        self.rules = rules.filter("keyword is not null").select("category", "keyword")
         return self
 
     def predict(self, df: DataFrame, col: str, out_col: str = "predicted") -> DataFrame:
-        from pyspark.ml.feature import IndexToString
-
-        if self.model is None:
+        if self.rules is None:
             raise RuntimeError("fit the classifier first")
-        x = df.withColumn("text", F.concat(F.lit("  "), F.lower(F.col(col)), F.lit("  ")))
-        stages = self.model.stages[1:]
-        for s in stages:
-            x = s.transform(x)
-        conv = IndexToString(inputCol="prediction", outputCol=out_col, labels=self.labels)
-        return conv.transform(x).drop("text", "__chars", "__tri", "features", "rawPrediction", "probability",
-                                      "prediction")
+        tri = self.rules.select("category", F.explode(self.trigrams(F.col("keyword"))).alias("t"))
+        per = tri.groupBy("category", "t").agg(F.count("*").alias("n"))
+        prior = self.rules.groupBy("category").agg(F.count("*").alias("words"))
+        labels = prior.join(per.groupBy("category").agg(F.sum("n").alias("grams")), "category")
+        known = per.select("t").distinct()
+        vocabulary = known.agg(F.count("*")).scalar()
+        keywords = self.rules.agg(F.count("*")).scalar()
+        # One row per text and known trigram, then per label that has it; labels without it share a rest.
+        texts = df.select(F.col(col).alias("x")).filter("x is not null").distinct()
+        grams = texts.select("x", F.explode(self.trigrams(F.col("x"))).alias("t")).join(known, "t")
+        grams = grams.groupBy("x", "t").agg(F.count("*").alias("k"))
+        held = grams.groupBy("x").agg(F.sum("k").alias("all"))
+        seen = grams.join(per, "t").groupBy("x", "category").agg(
+            F.sum(F.col("k") * (F.log(F.col("n") + F.lit(self.smoothing)) - F.log(F.lit(self.smoothing)))).alias("gain"))
+        rest = F.log(F.lit(self.smoothing)) - F.log(F.col("grams") + F.lit(self.smoothing) * vocabulary)
+        score = F.log(F.col("words") / keywords) + F.coalesce("gain", F.lit(0.0)) + F.col("all") * rest
+        # Every text meets every label: the labels are the categories of the rules, a short list.
+        every = held.withColumn("one", F.lit(1)).join(labels.withColumn("one", F.lit(1)), "one").drop("one")
+        scored = every.join(seen, ["x", "category"], "left").select("x", "category", F.round(score, self.SCALE).alias("s"))
+        best = scored.groupBy("x").agg(F.min_by("category", F.struct((-F.col("s")).alias("s"), "category")).alias("__label"))
+        best = best.withColumnRenamed("x", "__x")
+        out = df.join(best, F.col(col) == F.col("__x"), "left").drop("__x")
+        return out.withColumn(out_col, F.coalesce("__label", F.lit(NO_EVIDENCE))).drop("__label")
 
 
 def learned_rules(unmatched_payees: DataFrame, rules: DataFrame, classifier: PayeeClassifier,
@@ -123,10 +120,11 @@ def learned_rules(unmatched_payees: DataFrame, rules: DataFrame, classifier: Pay
     distinct = (unmatched_payees.select(F.lower(strip(F.col(payee_col))).alias("keyword"))
                 .where(F.col("keyword").isNotNull() & (F.col("keyword") != "")).distinct())
     labelled = classifier.predict(distinct, "keyword", "category")
-    slots = rules.groupBy("category").agg(
-        (F.floor(F.min("priority") / CATEGORY_STRIDE) * CATEGORY_STRIDE + LEARNED_SLOT).cast("bigint").alias("priority"))
+    first_of = F.floor(F.col("priority") / CATEGORY_STRIDE) * CATEGORY_STRIDE
+    slots = rules.groupBy("category").agg(F.min(first_of + LEARNED_SLOT).cast("bigint").alias("priority"))
+    after = rules.agg(F.coalesce(F.max(first_of + CATEGORY_STRIDE), F.lit(0)).cast("bigint")).scalar()  # new labels go last
     return labelled.join(slots, "category", "left").select(
-        "category", "keyword", F.coalesce("priority", F.lit(LEARNED_SLOT).cast("bigint")).alias("priority"),
+        "category", "keyword", F.coalesce("priority", after + LEARNED_SLOT).alias("priority"),
         F.lit("learned").alias("source"), F.lit(batch_id).cast("string").alias("batch_id"),
     )
 

@@ -1,17 +1,19 @@
 """Fingerprint, in-batch first copy, anti-join against the stored table, idempotent append.
 
-Skew: 'first copy per key' is a hash aggregate (min_by over the ingest order) with map-side
-partial aggregation, so a key with millions of copies is collapsed before the shuffle;
-no window has to hold all copies of one key. The anti-join is a hash/sort-merge join on
-the fingerprint, whose values are uniformly spread.
+Skew: 'first copy per key' is row_number() = 1, which Spark limits to one row per key and task
+before the shuffle (WindowGroupLimit), so a key with millions of copies sends one row per task.
+The anti-join comes first, so rows that are stored already are never sorted. Both key on the
+fingerprint, whose values are uniformly spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.text import fingerprint
+from ledgerlake.session import path_exists
 
 # Chosen key list (the source's config file is not shipped).
 HASH_KEYS = ["amount", "paid_to", "reference_no", "txn_date", "txn_type"]
@@ -24,34 +26,55 @@ def add_fingerprint(df: DataFrame, keys: list[str] = HASH_KEYS, out_col: str = "
     return df.withColumn(out_col, fingerprint(keys))
 
 
+def _numbered(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds __n: 1 for the first copy of its key; equal (key, order) rows are told apart by their other columns."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order, *rest)))
+
+
 def first_copy(df: DataFrame, key: str = "hashcode", order: str = "ingest_seq") -> DataFrame:
     """One row per key: the one with the smallest `order` (then the row's own values)."""
-    cols = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(order), *[F.col(c) for c in cols if c != order])).alias("__r"))
-    return best.select(key, *[F.col(f"__r.{c}").alias(c) for c in cols]).select(*df.columns)
+    return _numbered(df, key, order).filter(F.col("__n") == 1).drop("__n")
 
 
 def new_rows(batch: DataFrame, stored_keys: DataFrame, key: str = "hashcode", order: str = "ingest_seq") -> DataFrame:
-    """First copy of each key in the batch, minus keys already stored (left anti join)."""
-    return first_copy(batch, key, order).join(stored_keys.select(key), key, "left_anti")
+    """Rows whose key isn't stored yet (left anti join), the first copy of each key."""
+    return first_copy(batch.join(stored_keys.select(key), key, "left_anti"), key, order)
 
 
 def load_status(batch: DataFrame, stored_keys: DataFrame, key: str = "hashcode",
                 order: str = "ingest_seq", valid: str | None = None) -> DataFrame:
-    """Per batch row: inserted | duplicate | quarantined (when `valid` column is false)."""
-    firsts = first_copy(batch.select(key, order), key, order).withColumn("__first", F.lit(True))
+    """Per batch row: inserted | duplicate | quarantined (when `valid` column is false or null).
+    Only valid rows compete for being the first copy."""
     stored = stored_keys.select(key).distinct().withColumn("__stored", F.lit(True))
-    tagged = (batch.join(firsts, [key, order], "left").join(stored, key, "left"))
-    status = F.when(F.col("__stored") | F.col("__first").isNull(), "duplicate").otherwise("inserted")
-    if valid is not None:
-        status = F.when(~F.col(valid), "quarantined").otherwise(status)
-    return tagged.withColumn("status", status).drop("__first", "__stored")
+    ok = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
+    rest = [c for c in batch.columns if c not in (key, order)]
+    w = Window.partitionBy(key, "__ok").orderBy(order, *rest)
+    tagged = batch.withColumn("__ok", ok).withColumn("__n", F.row_number().over(w)).join(stored, key, "left")
+    status = (F.when(~F.col("__ok"), "quarantined")
+              .when(F.col("__stored") | (F.col("__n") > 1), "duplicate").otherwise("inserted"))
+    return tagged.withColumn("status", status).drop("__stored", "__ok", "__n")
 
 
 def load_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_load(batch: DataFrame, stored_keys: DataFrame, key: str = "hashcode", valid: str | None = None) -> DataFrame:
+    """load_counts(load_status(...)) in one shuffle: rows and stored keys meet in one aggregate by key."""
+    ok = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
+    rows = batch.select(key, ok.alias("ok"), F.lit(False).alias("stored"))
+    rows = rows.unionByName(stored_keys.select(key, F.lit(True).alias("ok"), F.lit(True).alias("stored")))
+    per_key = rows.groupBy(key).agg(
+        F.count_if(~F.col("stored") & F.col("ok")).alias("good"), F.count_if(~F.col("ok")).alias("quarantined"),
+        F.bool_or("stored").alias("stored"))
+    first = F.when(~F.col("stored") & (F.col("good") > 0), 1).otherwise(0)
+    totals = per_key.agg(F.sum(first).alias("inserted"), F.sum(F.col("good") - first).alias("duplicate"),
+                         F.sum("quarantined").alias("quarantined"))
+    out = totals.unpivot([], ["inserted", "duplicate", "quarantined"], "status", "n")
+    return out.filter("n > 0").withColumn("n", F.col("n").cast("bigint"))
+
+
 RECORD_COLUMNS = ["source", "source_id", "amount", "paid_to", "txn_type", "reference_no", "txn_date"]
 
 
@@ -71,6 +94,16 @@ def read_transactions(spark, table_path: str) -> DataFrame:
     return t
 
 
+def stored_batches(spark: SparkSession, table_path: str, columns: T.StructType) -> DataFrame | None:
+    """The table written by append_batch, or None before the first batch. The schema is given and
+    not inferred: batch ids and months stay text whatever they look like."""
+    if not path_exists(spark, table_path):
+        return None
+    parts = ("batch_id", "month")
+    fields = [f for f in columns.fields if f.name not in parts] + [T.StructField(c, T.StringType()) for c in parts]
+    return spark.read.schema(T.StructType(fields)).parquet(table_path)
+
+
 def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "hashcode",
                  order: str = "ingest_seq", month_col: str = "txn_date",
                  date_in_key: bool = True) -> DataFrame:
@@ -80,23 +113,22 @@ def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "h
     batch_id partition and ignores its own earlier output in the anti-join, so a retry
     after a lost executor or a failed commit gives the same table as one clean run.
     When the date is part of the fingerprint (date_in_key), a duplicate can only sit in the
-    same month, so only the batch's months are read from the stored table (partition pruning
-    on `month`); the month list is bounded by the calendar.
+    same month (no month for rows without a date), so only the batch's months are read from the
+    stored table (partition pruning on `month`); the month list is bounded by the calendar.
     Returns the rows written.
     """
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(table_path).filter(F.col("batch_id") != F.lit(batch_id))
+    stored = stored_batches(spark, table_path, batch.schema)
+    fresh = batch
+    if stored is not None:
+        stored = stored.filter(F.col("batch_id") != F.lit(batch_id))
         if date_in_key:
             months = [r[0] for r in batch.select(F.date_format(F.col(month_col), "yyyy-MM")).distinct().collect()]
-            stored = stored.filter(F.col("month").isin([m for m in months if m is not None]))
-        stored = stored.select(key)
-    except Exception as e:  # noqa: BLE001 - first load: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = spark.createDataFrame([], f"{key} string")
-    fresh = new_rows(batch, stored, key, order).withColumn("batch_id", F.lit(batch_id)).withColumn(
+            stored = stored.filter(F.col("month").isin([m for m in months if m is not None])
+                                   | (F.col("month").isNull() if None in months else F.lit(False)))
+        fresh = fresh.join(stored.select(key), key, "left_anti")
+    fresh = first_copy(fresh, key, order).withColumn("batch_id", F.lit(batch_id)).withColumn(
         "month", F.date_format(F.col(month_col), "yyyy-MM"))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "month").parquet(table_path))
-    return spark.read.parquet(table_path).filter(F.col("batch_id") == F.lit(batch_id))
+    return stored_batches(spark, table_path, batch.schema).filter(F.col("batch_id") == F.lit(batch_id))

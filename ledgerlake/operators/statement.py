@@ -127,17 +127,17 @@ def clean_narration(n: Column) -> Column:
             .otherwise(F.coalesce(F.nullif(by_at, F.lit("")), F.nullif(by_tail, F.lit("")), whole)))
 
 
-def to_records(txns: DataFrame) -> DataFrame:
+def to_records(txns: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The shared 5-field record (+ provenance): amount, paid_to, txn_type, reference_no, txn_date."""
     return txns.select(
         F.lit("statement").alias("source"),
         F.concat_ws(":", F.col("doc_id").cast("string"), F.col("page_no").cast("string"),
                     F.col("txn_no").cast("string")).alias("source_id"),
         "amount", clean_narration(F.col("narration")).alias("paid_to"), "txn_type",
-        F.col("chq_no").alias("reference_no"), "txn_date",
+        F.col("chq_no").alias("reference_no"), "txn_date", *extra,
     )
 
 
-def extract_statements(lines: DataFrame) -> DataFrame:
-    """lines -> typed transactions with type, amount and payee."""
-    return to_records(balance_delta(typed(assemble(lines))))
+def extract_statements(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """lines -> typed transactions with type, amount and payee, and the raw columns named in extra."""
+    return to_records(balance_delta(typed(assemble(lines))), extra)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.text import MONEY
 from ledgerlake.operators import budget as B
@@ -16,7 +17,7 @@ from ledgerlake.operators import categorise as C
 from ledgerlake.operators import load as L
 from ledgerlake.operators import parse_mail as PM
 from ledgerlake.plans.sample_rules import PART_RULES
-from ledgerlake.session import spread, table
+from ledgerlake.session import table
 from ledgerlake.sources.rules import rules_frame
 
 # Invented budgets over the invented part rules (see plans.sample_rules).
@@ -28,7 +29,7 @@ FLAG_GROSS = ("Eating",)
 
 def line_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part as card transactions: returned lines are credits, accepted ones unknown."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     return li.join(part, li.l_partkey == part.p_partkey, "inner").select(
         (li.l_orderkey * 100 + li.l_linenumber).alias("txn_id"),
@@ -61,20 +62,61 @@ def ingest_statement_lines(lines: DataFrame, rules: DataFrame, classifier=None)
     """Statement lines -> (unique categorised records, quarantined pages).
 
     Pages whose text did not decode go to quarantine; the rest is assembled, typed, given
-    type/amount from the balance and a payee, categorised and fingerprinted.
+    type/amount from the balance and a payee, categorised and fingerprinted. Of equal records the
+    first in (document, page, transaction) order is kept.
     """
     from ledgerlake.operators import statement as S
     from ledgerlake.sources.statement import good_and_bad_pages
 
     good, bad = good_and_bad_pages(lines)
-    recs = S.extract_statements(good)
+    recs = S.extract_statements(good, ("doc_id", "page_no", "txn_no"))
     cat, _ = C.categorise(recs, rules, classifier)
-    fp = L.add_fingerprint(cat.withColumn("ingest_seq", F.hash("source_id").cast("bigint")))
+    fp = L.add_fingerprint(cat.withColumn("ingest_seq", F.struct("doc_id", "page_no", "txn_no")))
     cols = ["hashcode", "ingest_seq", "source", "source_id", "amount", "paid_to", "txn_type", "reference_no",
             "txn_date", "category"]
     return L.first_copy(fp.select(*cols), "hashcode", "ingest_seq"), bad
 
 
+def run_mail_batch(mails_raw: DataFrame, rules: DataFrame, base: str, batch_id: str, day=None) -> DataFrame:
+    """One mail run, end to end: landed mail -> body -> text -> fields -> categories -> fingerprint,
+    new rows appended to base/transactions, alerts without a readable amount or date written to
+    base/quarantine with the reason, and base/counts per batch. A repeated run of a batch replaces
+    what it wrote. Returns the batch's counts (batch_id, status, n)."""
+    from ledgerlake.sources import mail as M
+
+    spark = mails_raw.sparkSession
+    picked = M.mime_body(M.bank_mails_on(mails_raw, day))
+    texts = M.mail_text(picked).filter(M.has_alert_words(F.col("text")))
+    parsed = PM.with_reference(PM.parse_alert(texts.select("mail_id", "received_at", "text")))
+
+    def own(df: DataFrame, part: str) -> DataFrame:
+        """df as this batch's part of the table base/part, read back."""
+        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(f"{base}/{part}"))
+        t = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.StringType())])).parquet(f"{base}/{part}")
+        return t.filter(F.col("batch_id") == batch_id)
+
+    good, bad = PM.split_valid(own(parsed, "parsed").drop("batch_id"))  # mails are read and parsed once
+    quarantined = own(bad.select("mail_id", "received_at", "text", "reason"), "quarantine")
+    cat, _ = C.categorise(good, rules)
+    rec = L.add_fingerprint(cat.withColumn("ingest_seq", F.col("mail_id"))).select(
+        "hashcode", "ingest_seq", "amount", "paid_to", "txn_type", "reference_no", "txn_date", "category")
+    new = L.append_batch(rec, f"{base}/transactions", batch_id)
+    counts = (new.agg(F.count("*").alias("inserted")).join(good.agg(F.count("*").alias("read")))
+              .join(quarantined.agg(F.count("*").alias("quarantined")))
+              .select("inserted", (F.col("read") - F.col("inserted")).alias("duplicate"), "quarantined")
+              .unpivot([], ["inserted", "duplicate", "quarantined"], "status", "n"))
+    return own(counts, "counts")
+
+
+def load_statements(lines: DataFrame, rules: DataFrame, base: str, batch_id: str) -> DataFrame:
+    """Statement lines -> base/transactions; pages that did not decode -> base/quarantine_pages."""
+    records, bad = ingest_statement_lines(lines, rules)
+    (bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(f"{base}/quarantine_pages"))
+    return L.append_batch(records.drop("ingest_seq").withColumn("ingest_seq", F.col("source_id")), f"{base}/transactions", batch_id)
+
+
 def ingest_mail(mails_raw: DataFrame, rules: DataFrame, day=None, classifier=None) -> tuple[DataFrame, DataFrame]:
     """Landed mail (mail_id, sender, received_at, payload JSON) of one day (or all) ->
     (unique categorised records, quarantine). Sender and day filter at the scan; the body is

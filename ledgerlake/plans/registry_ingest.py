@@ -14,9 +14,9 @@ from ledgerlake.operators import load as L
 from ledgerlake.operators import parse_mail as PM
 from ledgerlake.plans.registry import register, sql_str
 from ledgerlake.plans.views import TRANSACTIONS_SQL, transactions, with_e
-from ledgerlake.session import spread, table
+from ledgerlake.session import table
 from ledgerlake.sources import mail as M
-from ledgerlake.sources.rules import CATEGORY_STRIDE, rules_frame
+from ledgerlake.sources.rules import CATEGORY_STRIDE, LEARNED_SLOT, read_rules, rules_frame, save_rules
 
 # ---------------------------------------------------------------- shared SQL pieces
 def sql_strip(x: str) -> str:
@@ -34,7 +34,7 @@ NO_REF_PRIORITY = "5-LOW"  # alerts of these orders are rendered without the ref
 
 
 def _alerts(spark, sf, with_ref=None):
-    tx = transactions(spark, sf, extra=("o_orderpriority",), spread_input=True)
+    tx = transactions(spark, sf, extra=("o_orderpriority",))
     cond = None if with_ref is None else (F.col("o_orderpriority") != F.lit(with_ref))
     return PM.render_alert(tx, cond)
 
@@ -138,7 +138,7 @@ def mime_payloads(pages: DataFrame) -> DataFrame:
 
 @register("mime_body", "SELECT page_id, html AS body FROM pages")
 def q_mime_body(spark, sf):
-    return M.mime_body(mime_payloads(spread(table(spark, sf, "pages")))).select(
+    return M.mime_body(mime_payloads(table(spark, sf, "pages"))).select(
         F.col("mail_id").alias("page_id"), "body")
 
 
@@ -155,7 +155,7 @@ def _html_lines_sql(x: str) -> str:
 
 @register("html_lines", f"SELECT page_id, {_html_lines_sql('html')} AS text FROM pages")
 def q_html_lines(spark, sf):
-    return spread(table(spark, sf, "pages")).select("page_id", html_text_lines(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", html_text_lines(F.col("html")).alias("text"))
 
 
 # ---------------------------------------------------------------- rules
@@ -190,18 +190,65 @@ def q_rule_category_join(spark, sf):
     return C.rule_category(part, rules_frame(spark, PART_RULES), "p_name", strategy="join")
 
 
-@register("learn_rules")
-def q_learn_rules(spark, sf):
-    """Unmatched part names -> classifier labels -> learned rules merged after the file rules
-    (no oracle: labels come from a trained model)."""
+def _learned_sql() -> str:
+    """Naive Bayes over character trigrams as plain aggregates, for unmatched part names."""
+    tri = lambda x: f"unnest([substr('  ' || lower({x}) || '  ', i, 3) for i in range(1, length({x}) + 3)])"
+    return f"""
+WITH rules(category, keyword, priority) AS (VALUES {_rules_values_sql()}),
+u AS (SELECT DISTINCT lower({sql_strip('p_name')}) AS x FROM part
+      WHERE {sql_strip('p_name')} <> '' AND NOT EXISTS (SELECT 1 FROM rules WHERE contains(lower({sql_strip('p_name')}), lower(keyword)))),
+tr AS (SELECT category, {tri('keyword')} AS t FROM rules),
+per AS (SELECT category, t, count(*) AS n FROM tr GROUP BY ALL),
+v AS (SELECT count(DISTINCT t) AS v FROM per),
+lab AS (SELECT category, count(*) AS words, any_value(g) AS grams, min(priority) AS p
+        FROM rules JOIN (SELECT category, sum(n) AS g FROM per GROUP BY 1) USING (category) GROUP BY 1),
+g AS (SELECT x, t, count(*) AS k FROM (SELECT x, {tri('x')} AS t FROM u) WHERE t IN (SELECT t FROM per) GROUP BY ALL),
+gain AS (SELECT x, category, sum(k * (ln(n + 1) - ln(1))) AS gain FROM g JOIN per USING (t) GROUP BY ALL),
+sc AS (SELECT x, category, round(ln(words / (SELECT count(*) FROM rules)) + coalesce(gain, 0)
+              + a * (ln(1) - ln(grams + (SELECT v FROM v))), {C.PayeeClassifier.SCALE}) AS s
+       FROM (SELECT x, sum(k) AS a FROM g GROUP BY x) CROSS JOIN lab LEFT JOIN gain USING (x, category)),
+best AS (SELECT x, category FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, category) AS rn FROM sc) WHERE rn = 1),
+learned AS (SELECT coalesce(best.category, '{C.NO_EVIDENCE}') AS category, u.x AS keyword FROM u LEFT JOIN best USING (x))"""
+
+
+_LEARNED_PRIORITY = f"""coalesce((SELECT CAST(p // {CATEGORY_STRIDE} * {CATEGORY_STRIDE} + {LEARNED_SLOT} AS BIGINT) FROM lab WHERE lab.category = l.category),
+         (SELECT CAST(max(priority) // {CATEGORY_STRIDE} * {CATEGORY_STRIDE} + {CATEGORY_STRIDE} + {LEARNED_SLOT} AS BIGINT) FROM rules))"""
+
+
+def _learned(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     rules = rules_frame(spark, PART_RULES)
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     ruled = C.rule_category(part, rules, "p_name")
     clf = C.PayeeClassifier().fit(rules)
-    learned = C.learned_rules(ruled.filter(F.col("category").isNull()), rules, clf, "p_name", "b1")
+    return part, rules, C.learned_rules(ruled.filter(F.col("category").isNull()), rules, clf, "p_name", "b1")
+
+
+@register("learn_rules", _learned_sql() + f"""
+SELECT category, keyword, {_LEARNED_PRIORITY} AS priority, 'learned' AS source, 'b1' AS batch_id FROM learned l
+WHERE keyword NOT IN (SELECT keyword FROM rules)""")
+def q_learn_rules(spark, sf):
+    """Unmatched part names -> classifier labels -> learned rules merged after the file rules."""
+    _, rules, learned = _learned(spark, sf)
     return C.merge_rules(rules, learned).filter(F.col("source") == "learned")
 
 
+@register("learn_two_batches", _learned_sql() + f""",
+m AS (SELECT category, keyword, priority FROM rules
+      UNION ALL SELECT category, keyword, {_LEARNED_PRIORITY} FROM learned l WHERE keyword NOT IN (SELECT keyword FROM rules))
+SELECT p_partkey, p_name,
+       CASE WHEN p_name IS NULL OR {sql_strip('p_name')} = '' THEN 'SIP'
+            ELSE (SELECT arg_min(category, (priority, keyword)) FROM m WHERE contains(lower({sql_strip('p_name')}), lower(keyword))) END AS category
+FROM part""")
+def q_learn_two_batches(spark, sf):
+    """The first batch's learned rules are saved with the file's, read back and label the second batch."""
+    from ledgerlake.streaming.ingest import run_dir
+
+    part, rules, learned = _learned(spark, sf)
+    path = run_dir(spark, "learned") + "/rules"
+    save_rules(C.merge_rules(rules, learned), path, "b1")
+    return C.rule_category(part, read_rules(spark, path), "p_name")
+
+
 # ---------------------------------------------------------------- fingerprint and load
 def _records(spark, sf) -> DataFrame:
     """Parsed-transaction records from E (reference = txn id)."""
@@ -224,7 +271,7 @@ SELECT doc_id, hashcode FROM (
   SELECT doc_id, sha256(text) AS hashcode, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn
   FROM documents) WHERE rn = 1""")
 def q_dedup_first(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select("doc_id", F.sha2(F.col("text"), 256).alias("hashcode"))
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("hashcode"))
     return L.first_copy(docs, "hashcode", "doc_id").select("doc_id", "hashcode")
 
 
@@ -260,4 +307,4 @@ t AS (SELECT CASE WHEN hashcode IN (SELECT hashcode FROM s)
 SELECT status, count(*) AS n FROM t GROUP BY status""")
 def q_load_counts(spark, sf):
     batch, stored = _load_batch(spark, sf)
-    return L.load_counts(L.load_status(batch, stored))
+    return L.count_load(batch, stored)

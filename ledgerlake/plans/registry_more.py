@@ -11,6 +11,7 @@ from ledgerlake.operators import monitor as MO
 from ledgerlake.operators import search as SE
 from ledgerlake.plans.registry import register, sql_str
 from ledgerlake.plans.registry_ingest import _REC_SQL, _records, sql_strip
+from ledgerlake.plans.views import TRANSACTIONS_SQL
 from ledgerlake.session import table
 
 
@@ -24,7 +25,7 @@ _VEC_SQL = _REC_SQL.replace(
 ) + """,
 v AS (SELECT hashcode AS id, coalesce(strftime(txn_date, '%Y-%m-%d'), 'Unknown') AS txn_date,
              coalesce(category, 'Unknown') AS category, coalesce(txn_type, 'Unknown') AS txn_type,
-             CAST(trunc(amount) AS INTEGER) AS amount, coalesce(paid_to, 'Unknown') AS paid_to,
+             CAST(trunc(amount) AS BIGINT) AS amount, coalesce(paid_to, 'Unknown') AS paid_to,
              coalesce(strftime(txn_date, '%B'), 'Unknown') AS txn_month, CAST(year(txn_date) AS INTEGER) AS txn_year
       FROM f),
 d AS (SELECT *, 'On ' || txn_date || ' you made a ' || txn_type || ' transaction of ₹' ||
@@ -138,7 +139,31 @@ def _intent_oracle() -> str:
 def q_intent_answers(spark, sf):
     from ledgerlake.plans.views import transactions
 
-    return Q.answer_intents(transactions(spark, sf), Q.intents_frame(spark, INTENTS), INTENTS)
+    return Q.answer_intents(transactions(spark, sf), Q.intents_frame(spark, INTENTS))
+
+
+@register("intent_many", """
+WITH e AS (""" + TRANSACTIONS_SQL + """),
+i AS (SELECT c_custkey AS intent_id, c_mktsegment AS category, c_name AS payee, 1992 + c_custkey % 7 AS y,
+             c_custkey % 3 AS k FROM customer),
+by_category AS (SELECT category, year(txn_date) AS y, sum(amount) AS s FROM e GROUP BY ALL),
+by_payee AS (SELECT paid_to AS payee, sum(amount) AS s FROM e GROUP BY ALL),
+by_year AS (SELECT paid_to AS payee, year(txn_date) AS y, sum(amount) AS s FROM e GROUP BY ALL),
+r AS (SELECT intent_id, s FROM i LEFT JOIN by_category USING (category, y) WHERE k = 0
+      UNION ALL SELECT intent_id, s FROM i LEFT JOIN by_payee USING (payee) WHERE k = 1
+      UNION ALL SELECT intent_id, s FROM i LEFT JOIN by_year USING (payee, y) WHERE k = 2)
+SELECT CAST(intent_id AS INTEGER) AS intent_id, 'sum' AS metric, CAST(s AS DECIMAL(38,2)) AS result FROM r""")
+def q_intent_many(spark, sf):
+    """An intent per customer: by category and year, by payee, or by payee and year."""
+    from ledgerlake.plans.views import transactions
+
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey") % 3
+    intents = c.select(
+        F.col("c_custkey").cast("int").alias("intent_id"), F.lit("sum").alias("metric"), F.lit("amount").alias("field"),
+        F.when(k == 0, F.col("c_mktsegment")).alias("category"), F.lit("").alias("txn_type"), F.lit(None).cast("string").alias("month"),
+        F.when(k != 1, (1992 + F.col("c_custkey") % 7).cast("int")).alias("year"), F.when(k != 0, F.col("c_name")).alias("paid_to"))
+    return Q.answer_intents(transactions(spark, sf), intents)
 
 
 def _month_sql(x: str) -> str:
@@ -169,7 +194,7 @@ def q_question_route(spark, sf):
 
 # ---------------------------------------------------------------- monitoring
 def run_log_lines(events: DataFrame) -> DataFrame:
-    """Events rendered as a cron log: one run per day (RUN_START, mail count, one line per
+    """Events rendered as two cron logs (by user): one run per day (RUN_START, mail count, one line per
     event, a closing line) and a second, empty run on days that had errors."""
     day = F.col("ts").cast("date")
     et = F.col("event_type")
@@ -177,8 +202,9 @@ def run_log_lines(events: DataFrame) -> DataFrame:
     ev_line = (F.when(et.isin("purchase", "click", "view"), F.concat(F.lit("Inserted: "), h))
                .when(et == "signup", F.concat(F.lit("Duplicate skipped: "), h))
                .otherwise(F.concat(F.lit("RuntimeError: insert failed for event "), F.col("event_id").cast("string"))))
-    ev = events.select((F.unix_micros(F.col("ts").cast("timestamp")) * 16 + 8).alias("line_no"), ev_line.alias("line"))
-    days = events.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(et == "error").alias("err"))
+    log = F.concat(F.lit("cron"), F.pmod("user_id", F.lit(2)).cast("string"), F.lit(".log"))
+    ev = events.select(log.alias("file"), (F.unix_micros(F.col("ts").cast("timestamp")) * 16 + 8).alias("line_no"), ev_line.alias("line"))
+    days = events.groupBy(log.alias("file"), day.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(et == "error").alias("err"))
     b0 = F.unix_micros(F.col("d").cast("timestamp")) * 16
     b1 = F.unix_micros(F.date_add("d", 1).cast("timestamp")) * 16
     ds, dslash = F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "yyyy/MM/dd")
@@ -196,21 +222,21 @@ def run_log_lines(events: DataFrame) -> DataFrame:
         ln(b1 - 5, F.concat(F.lit("Total emails found for "), dslash, F.lit(": 0")), F.col("err")),
         ln(b1 - 4, F.lit("Run finished: 0 events"), F.col("err")),
     )
-    per_day = days.select(F.explode(F.filter(lines, lambda s: s.isNotNull())).alias("s")).select("s.*")
-    return ev.unionByName(per_day).withColumn("file", F.lit("cron.log")).select("file", "line_no", "line")
+    per_day = days.select("file", F.explode(F.filter(lines, lambda s: s.isNotNull())).alias("s")).select("file", "s.*")
+    return ev.unionByName(per_day).select("file", "line_no", "line")
 
 
 # Rendered log lines are numbered by microsecond x 16: one level-1 block = one hour.
 LOG_BLOCK = 16 * 3_600_000_000
 
 _SUMMARY_SQL = """
-, s AS (SELECT CAST(ts AS DATE) AS run_date, CAST(count(*) AS INTEGER) AS emails_found,
+, s AS (SELECT 'cron' || CAST(user_id % 2 AS VARCHAR) || '.log' AS file, CAST(ts AS DATE) AS run_date, CAST(count(*) AS INTEGER) AS emails_found,
               count(*) FILTER (WHERE event_type IN ('purchase', 'click', 'view')) AS inserted,
               count(*) FILTER (WHERE event_type = 'signup') AS duplicates,
               bool_or(event_type = 'error') AS error_found,
               CASE WHEN bool_or(event_type = 'error') THEN 'Run finished: ' || CAST(count(*) AS VARCHAR) || ' events'
                    ELSE '' END AS error
-       FROM events GROUP BY 1)"""
+       FROM events GROUP BY 1, 2)"""
 
 
 @register("run_summary", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + "\nSELECT * FROM s")
@@ -219,7 +245,7 @@ def q_run_summary(spark, sf):
 
 
 @register("summary_message", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + f"""
-SELECT run_date,
+SELECT file, run_date,
        CASE WHEN error_found THEN '❌ ERROR' ELSE '✅ SUCCESS' END || ' | {MO.SUBJECT_PREFIX} | ' || strftime(run_date, '%Y-%m-%d') AS subject,
        '📌 Summary for ' || strftime(run_date, '%Y-%m-%d') || chr(10) || chr(10) || 'Emails found: ' || CAST(emails_found AS VARCHAR)
        || chr(10) || 'Inserted: ' || CAST(inserted AS VARCHAR) || chr(10) || 'Duplicate skipped: ' || CAST(duplicates AS VARCHAR)
@@ -256,6 +282,43 @@ def q_stream_ingest(spark, sf):
                     "hashcode")
 
 
+def _late_files(spark, sf, base: str) -> None:
+    """events in four files, out of time order, with a fifth of the rows in two files."""
+    ev = table(spark, sf, "events")
+    for i in (2, 0, 3, 1):
+        again = (F.pmod("event_id", F.lit(5)) == 0) & (F.pmod(F.col("event_id") + 4, F.lit(16)) == i)
+        ev.filter((F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) | again).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+
+
+def _late_run(spark, sf) -> str:
+    from ledgerlake.streaming import ingest as ST
+
+    base = ST.run_dir(spark, "stream_late")
+    _late_files(spark, sf, base)
+    for i in range(2):  # a second checkpoint over the same files adds nothing
+        ST.ingest_events(spark, f"{base}/landed", f"{base}/table", f"{base}/ckpt{i}", file_glob="*.parquet",
+                         max_files_per_trigger=1 if i == 0 else None, totals_path=f"{base}/totals")
+    return base
+
+
+@register("stream_ingest_late", """
+SELECT DISTINCT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS amount FROM events""")
+def q_stream_ingest_late(spark, sf):
+    """Several micro-batches out of time order with repeats: no row lost, none doubled."""
+    t = spark.read.parquet(f"{_late_run(spark, sf)}/table")
+    return t.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "amount")
+
+
+@register("stream_month_type", """
+SELECT strftime(ts, '%Y-%m') AS month, event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total,
+       count(*) AS n FROM events GROUP BY 1, 2""")
+def q_stream_month_type(spark, sf):
+    """Month and type sums kept current by the same stream, late rows included."""
+    from ledgerlake.streaming import ingest as ST
+
+    return ST.stored_totals(spark, f"{_late_run(spark, sf)}/totals")
+
+
 @register("stream_daily_totals", """
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
@@ -265,7 +328,7 @@ def q_stream_daily_totals(spark, sf):
 
     base = ST.run_dir(spark, "stream_daily_totals")
     ST.daily_totals(spark, sf, f"{base}/table", f"{base}/ckpt", file_glob="events.parquet")
-    t = ST.latest_totals(spark, f"{base}/table")
+    t = ST.latest_totals(spark, f"{base}/table", f"{base}/ckpt")
     return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "total")
 
 

@@ -30,7 +30,7 @@ from ledgerlake.operators import parse_mail as PM
 from ledgerlake.operators import statement as S
 from ledgerlake.session import table
 from ledgerlake.sources import mail as M
-from ledgerlake.sources.rules import load_rules, save_rules
+from ledgerlake.sources.rules import load_rules, read_rules, save_rules
 from ledgerlake.streaming.ingest import run_dir
 
 # ---------------------------------------------------------------- S3 / O5: undated mail list
@@ -117,7 +117,7 @@ def q_rules_file_category(spark, sf):
     doc = spark.createDataFrame([(json.dumps(PART_RULES),)], "value string")
     doc.coalesce(1).write.text(f"{base}/rules_json")
     save_rules(load_rules(spark, f"{base}/rules_json"), f"{base}/rules_table", "b1")
-    stored = spark.read.parquet(f"{base}/rules_table").filter(F.col("batch_id") == "b1")
+    stored = read_rules(spark, f"{base}/rules_table").filter(F.col("batch_id") == "b1")
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     return C.rule_category(part, stored, "p_name")
 
@@ -179,3 +179,76 @@ def q_statement_ingest(spark, sf):
 
     recs, _ = ingest_statement_lines(statement_lines(table(spark, sf, "events")), rules_frame(spark, PART_RULES))
     return recs.drop("ingest_seq")
+
+
+@register("statement_load", _statement_ingest_oracle())
+def q_statement_load(spark, sf):
+    """The same chain from statement text (one text per statement) into the stored table, read back;
+    a second load of the same statements adds nothing."""
+    from ledgerlake.plans.jobs import load_statements
+    from ledgerlake.sources.rules import rules_frame
+    from ledgerlake.sources.statement import text_to_lines
+
+    lines = statement_lines(table(spark, sf, "events"))
+    pages = lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("page"))
+    gaps = pages.groupBy("doc_id").agg(F.max("page_no").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page_no"))
+    texts = gaps.join(pages, ["doc_id", "page_no"], "left").groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("page", F.lit("")).alias("page")))), lambda x: x.page), "\f").alias("text"))
+    base = run_dir(spark, "statement_load")
+    rules = rules_frame(spark, PART_RULES)
+    for batch in ("20240101", "20240102-retry"):
+        load_statements(text_to_lines(texts), rules, base, batch)
+    cols = ["hashcode", "source", "source_id", "amount", "paid_to", "txn_type", "reference_no", "txn_date", "category"]
+    return spark.read.parquet(f"{base}/transactions").select(*cols)
+
+
+# ---------------------------------------------------------------- S18 / T1 / A16: the mail run into the stored table
+def _landed_payloads(spark, sf):
+    """Orders as landed alert mails: HTML in a MIME tree; every 50th payload is no JSON, every 51st
+    body is cut-off base64, every 53rd alert has a bad date, every 59th a bad amount."""
+    from ledgerlake.plans.registry_ingest import _b64url
+
+    a = _alerts(spark, sf)
+    i = F.col("mail_id")
+    text = F.when(i % 53 == 0, F.regexp_replace("text", r" on \d\d-\d\d-", " on 31-02-")).when(
+        i % 59 == 0, F.regexp_replace("text", r"Rs\. ?[\d,.]+", "Rs. 1.2.3")).otherwise(F.col("text"))
+    html = F.concat(F.lit("<html><body><p>INR &#8377; debit transaction</p><p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"))
+    data = F.when(i % 51 == 0, F.lit("A")).otherwise(_b64url(html))
+    tree = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":[{"mimeType":"text/plain","body":{}},{"mimeType":"text/html","body":{"data":"'), data, F.lit('"}}]}'))
+    return a.select("mail_id", F.lit("alerts@mybank.example").alias("sender"), "received_at",
+                    F.when(i % 50 == 0, F.lit('{"mimeType":')).otherwise(tree).alias("payload"))
+
+
+_MAIL_ROWS = with_e("""
+, r AS (SELECT txn_id, CAST(txn_id AS VARCHAR) AS reference_no, amount, paid_to, txn_type, txn_date FROM e
+        WHERE txn_id % 50 <> 0 AND txn_id % 51 <> 0),
+g AS (SELECT * FROM r WHERE txn_id % 53 <> 0 AND txn_id % 59 <> 0)""")
+
+
+@register("mail_ingest", _MAIL_ROWS + "\nSELECT reference_no, amount, paid_to, txn_type, txn_date FROM g")
+def q_mail_ingest(spark, sf):
+    """The mail run in two overlapping batches; the stored table read back."""
+    from ledgerlake.plans.jobs import run_mail_batch
+    from ledgerlake.sources.rules import rules_frame
+
+    base = run_dir(spark, "mail_ingest")
+    mails, rules = _landed_payloads(spark, sf), rules_frame(spark, PART_RULES)
+    for k, batch in enumerate(("20240101", "20240102-retry")):
+        run_mail_batch(mails.filter(F.col("mail_id") % 4 >= k), rules, base, batch)
+    return spark.read.parquet(f"{base}/transactions").select("reference_no", "amount", "paid_to", "txn_type", "txn_date")
+
+
+@register("mail_ingest_counts", _MAIL_ROWS + """
+, b AS (SELECT unnest(['20240101', '20240102']) AS batch_id, unnest([0, 1]) AS k)
+SELECT batch_id, 'inserted' AS status, (SELECT count(*) FROM g WHERE txn_id % 4 >= k AND k = 0) AS n FROM b
+UNION ALL SELECT batch_id, 'duplicate', (SELECT count(*) FROM g WHERE txn_id % 4 >= k AND k > 0) FROM b
+UNION ALL SELECT batch_id, 'quarantined', (SELECT count(*) FROM r WHERE (txn_id % 53 = 0 OR txn_id % 59 = 0) AND txn_id % 4 >= k) FROM b""")
+def q_mail_ingest_counts(spark, sf):
+    """What each batch of the mail run inserted, skipped and set aside."""
+    from ledgerlake.plans.jobs import run_mail_batch
+    from ledgerlake.sources.rules import rules_frame
+
+    base = run_dir(spark, "mail_counts")
+    mails, rules = _landed_payloads(spark, sf), rules_frame(spark, PART_RULES)
+    outs = [run_mail_batch(mails.filter(F.col("mail_id") % 4 >= k), rules, base, batch) for k, batch in enumerate(("20240101", "20240102"))]
+    return outs[0].unionByName(outs[1]).select("batch_id", "status", "n")

@@ -35,12 +35,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def configure(spark: SparkSession) -> None:
     """Settings that change results; applied to any session we are handed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Deep MIME trees are walked by a recursive query; neither their depth nor their number may end it.
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
 
 
 def shared_dir(spark: SparkSession, sub: str) -> str:
     """A folder under the cluster's shared checkpoint dir (spark.checkpoint.dir).
 
-    Only when the session names none (local tests) do we make and register one.
+    Only a local session that names none gets (and registers) a folder of its own.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
@@ -50,6 +53,8 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
         except Exception:  # noqa: BLE001 - unset key
             base = None
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
@@ -61,16 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin over the cluster's cores when the input is fewer files than cores.
-
-    For CPU-heavy row-wise text work (regex parsing, hashing long texts). On a cluster the
-    input is thousands of files and this is a no-op; a single small file would otherwise
-    be parsed by one task.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file scan
-        return df
-    return df.repartition(n) if files < n else df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

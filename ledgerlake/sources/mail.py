@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.text import urlsafe_b64_text
+from ledgerlake.functions.text import urlsafe_b64_text, with_fields_once
 
 # The bank-alert search = sender contains this text, and the body has any of
 # these words (case-insensitive): debit, spent, transaction, "Rs.", INR.
@@ -64,7 +64,7 @@ def latest_alert_mails(mails: DataFrame, n: int = LIST_CAP_OLD, **kw) -> DataFra
 
 # ---------------------------------------------------------------- MIME body
 _MAX = 2147483647
-UNROLL_DEPTH = 8
+UNROLL_DEPTH = 4
 
 
 def _mime(v: Column) -> Column:
@@ -144,8 +144,8 @@ def mime_body(mails: DataFrame, id_col: str = "mail_id", payload_col: str = "pay
     Trees up to `depth` levels are resolved by a per-row expression (no shuffle); the rare
     deeper trees go through a recursive CTE with the same ordering rule.
     """
-    v = F.parse_json(F.col(payload_col))
-    keyed = mails.withColumn("__v", v).withColumn("__deep", _deeper_than(F.col("__v"), depth))
+    v = F.try_parse_json(F.col(payload_col))  # null for a payload that is no JSON: no body
+    keyed = with_fields_once(mails, {"__v": v}).withColumn("__deep", F.coalesce(_deeper_than(F.col("__v"), depth), F.lit(False)))
     shallow = keyed.filter(~F.col("__deep")).withColumn(
         "__pick", F.array_min(_candidates(F.col("__v"), F.array().cast("array<int>"), depth))
     ).withColumn("body", F.coalesce(urlsafe_b64_text(F.col("__pick.d")), F.lit(""))).drop("__v", "__deep", "__pick")
@@ -159,7 +159,8 @@ def mime_body(mails: DataFrame, id_col: str = "mail_id", payload_col: str = "pay
 
 
 def mail_text(mails: DataFrame, html_col: str = "body") -> DataFrame:
-    """HTML body -> stripped non-empty text lines joined by newline (as `text`)."""
+    """HTML body -> stripped non-empty text lines joined by newline (as `text`), built once per mail
+    however often later steps read it."""
     from ledgerlake.functions.text import html_text_lines
 
-    return mails.withColumn("text", html_text_lines(F.col(html_col)))
+    return with_fields_once(mails, {"text": html_text_lines(F.col(html_col))})

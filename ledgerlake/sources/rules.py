@@ -8,10 +8,11 @@ category in the file, then its first keyword, wins. Ties never happen; ordering
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.session import path_exists
+
 RULES_SCHEMA = "category string, keyword string, priority bigint, source string, batch_id string"
 CATEGORY_STRIDE = 1_000_000
 LEARNED_SLOT = CATEGORY_STRIDE - 1  # learned keywords sort after a category's file keywords
@@ -35,12 +36,9 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
     A missing file gives the default categories, which carry no keywords (no rows).
     """
-    try:
-        doc = spark.read.text(path, wholetext=True)
-    except AnalysisException as e:  # any file system: a missing path fails at analysis
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], RULES_SCHEMA)
+    doc = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), "map<string,array<string>>")
     cats = doc.select(F.posexplode(F.map_entries(m)).alias("ci", "e"))
     kws = cats.select("ci", F.col("e.key").alias("category"), F.posexplode(F.col("e.value")).alias("ki", "keyword"))
@@ -51,6 +49,21 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rule_labels(spark: SparkSession, path: str) -> DataFrame:
+    """label, position of every category in the file's order, those without keywords included; the
+    default categories if there is no file."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame(list(zip(DEFAULT_CATEGORIES, range(len(DEFAULT_CATEGORIES)), strict=True)), "label string, position int")
+    m = F.from_json(F.col("value"), "map<string,array<string>>")
+    cats = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(m)).alias("position", "e"))
+    return cats.select(F.col("e.key").alias("label"), "position")
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """All versions save_rules() wrote; batch ids are text."""
+    return spark.read.schema(RULES_SCHEMA).parquet(path)
+
+
 def save_rules(rules: DataFrame, path: str, batch_id: str) -> None:
     """Append one version of the rules table (a directory per batch; re-running a batch replaces it)."""
     (rules.withColumn("batch_id", F.lit(batch_id))

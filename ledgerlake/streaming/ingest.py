@@ -1,12 +1,15 @@
 """Incremental ingest with Structured Streaming.
 
-* ingest_events: file stream -> records + fingerprint -> watermark-bounded duplicate drop
-  -> foreachBatch(anti-join against the stored table, append). Exactly once per file via the
+* ingest_events: file stream -> records + fingerprint -> foreachBatch(anti-join against the
+  stored table, first copy per key, append). Duplicates are found in the stored table and never
+  by a watermark, so a row is loaded however late it comes. Exactly once per file via the
   checkpoint; a replayed micro-batch rewrites only its own batch partition (see
   operators.load.append_batch), and a second run over the same files (even with a new
-  checkpoint) adds nothing.
+  checkpoint) adds nothing. With totals_path, each micro-batch also writes the sums of the rows
+  it inserted by month and type: stored_totals() over them always equals the stored table.
 * daily_totals: windowed (1 day, tumbling) sums with a watermark, update mode, each
-  micro-batch's changed rows appended under its epoch; readers take the latest per key.
+  micro-batch's changed rows appended under its run and epoch; readers take a run's latest
+  per key, so a new checkpoint neither overwrites nor outranks another run's epochs.
   Rows older than the watermark do not change streaming sums (they are still loaded by
   ingest_events, so batch results stay complete).
 
@@ -50,17 +53,19 @@ def _tag(path: str) -> str:
 
 
 def ingest_events(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
-                  watermark: str = "1 day", file_glob: str = "events*.parquet") -> None:
+                  file_glob: str = "events*.parquet", max_files_per_trigger: int | None = None,
+                  totals_path: str | None = None) -> None:
     """Run the ingest stream over everything available now, then stop."""
-    recs = (event_records(event_stream(spark, source_dir, file_glob))
-            .withWatermark("ts", watermark)
-            .dropDuplicatesWithinWatermark(["hashcode"]))
+    recs = event_records(event_stream(spark, source_dir, file_glob, max_files_per_trigger))
     tag = _tag(checkpoint)
 
     def write(batch: DataFrame, epoch: int) -> None:
         # the event key has no timestamp, so every stored month is searched for duplicates
-        append_batch(batch.withColumn("ingest_seq", F.col("event_id")), table_path, f"{tag}-{epoch}",
-                     order="ingest_seq", month_col="ts", date_in_key=False)
+        new = append_batch(batch.withColumn("ingest_seq", F.col("event_id")), table_path, f"{tag}-{epoch}",
+                           order="ingest_seq", month_col="ts", date_in_key=False)
+        if totals_path:
+            (new.groupBy("batch_id", "month", "event_type").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(totals_path))
 
     q = (recs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -70,23 +75,33 @@ def ingest_events(spark: SparkSession, source_dir: str, table_path: str, checkpo
 def daily_totals(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                  watermark: str = "1 day", file_glob: str = "events*.parquet") -> None:
     recs = event_records(event_stream(spark, source_dir, file_glob)).withWatermark("ts", watermark)
+    tag = _tag(checkpoint)
     sums = recs.groupBy(F.window("ts", "1 day"), "event_type").agg(F.sum("amount").alias("total"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         (batch.select(F.col("window.start").alias("window_start"), "event_type", "total",
-                      F.lit(epoch).cast("bigint").alias("epoch"))
+                      F.lit(tag).alias("run"), F.lit(epoch).cast("bigint").alias("epoch"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(table_path))
+         .partitionBy("run", "epoch").parquet(table_path))
 
     q = (sums.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_totals(spark: SparkSession, table_path: str) -> DataFrame:
-    t = spark.read.parquet(table_path)
+def latest_totals(spark: SparkSession, table_path: str, checkpoint: str) -> DataFrame:
+    """The latest sums of the run that `checkpoint` belongs to."""
+    schema = "window_start timestamp, event_type string, total decimal(28,2), run string, epoch bigint"
+    t = spark.read.schema(schema).parquet(table_path).filter(F.col("run") == _tag(checkpoint))
     return t.groupBy("window_start", "event_type").agg(F.max_by("total", "epoch").alias("total"))
 
 
+def stored_totals(spark: SparkSession, totals_path: str) -> DataFrame:
+    """month, event_type, total, n over all micro-batches of all runs into one table."""
+    schema = "month string, event_type string, total decimal(28,2), n bigint, batch_id string"
+    t = spark.read.schema(schema).parquet(totals_path)
+    return t.groupBy("month", "event_type").agg(F.sum("total").cast("decimal(28,2)").alias("total"), F.sum("n").alias("n"))
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"ledgerlake/{name}/{uuid.uuid4().hex}")

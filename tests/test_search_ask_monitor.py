@@ -31,6 +31,8 @@ def test_filter_language_prompt_examples(spark):
         SE.compile_filter({"amount": {"$near": 3}})
     with pytest.raises(ValueError):
         SE.compile_filter({"$xor": []})
+    with pytest.raises(ValueError):
+        SE.compile_filter({"amount": {}})
 
 
 def test_search_ranking_and_context(spark):
@@ -75,10 +77,12 @@ def test_intents_against_brute_force(spark):
         {"intent_id": 4, "metric": "count", "filters": {"category": "None"}},
         {"intent_id": 5, "metric": "min", "filters": {"category": "None"}},
     ]
-    got = {r.intent_id: r.result for r in Q.answer_intents(tx, Q.intents_frame(spark, intents), intents).collect()}
+    got = {r.intent_id: r.result for r in Q.answer_intents(tx, Q.intents_frame(spark, intents)).collect()}
     assert got == {1: Decimal("30.00"), 2: Decimal("109.00"), 3: Decimal("46.33"), 4: Decimal("0.00"), 5: None}
     sql, args = Q.intent_sql(intents[0])
-    assert ":category" in sql and args["month"] == 1 and "Petrol" not in sql
+    assert ":category" in sql and args["date_to"] == dt.date(2026, 2, 1) and "Petrol" not in sql
+    with pytest.raises(ValueError):
+        Q.intent_sql({"metric": "sum", "field": "amount) FROM x --", "filters": {}})
     assert Q.run_sql(spark, tx, sql, args).first().result == Decimal("30.00")
 
 
@@ -132,6 +136,32 @@ def test_run_summaries(spark, tmpdir_path):
 def test_recent_messages(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "bot", f"m{t}") for t in range(20)] + [(2, 0, "user", "only")]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.recency): r.turn for r in MO.recent_messages(conv, 6, salt_buckets=4).collect()}
+    got = {(r.conv_id, r.recency): r.turn for r in MO.recent_messages(conv, 6).collect()}
     assert [got[(1, i)] for i in range(1, 7)] == [19, 18, 17, 16, 15, 14]
     assert got[(2, 1)] == 0 and len(got) == 7
+
+
+def test_runs_are_kept_apart_by_file_and_bad_dates_pass(spark, tmpdir_path):
+    import os
+
+    for name, n in (("a.log", 2), ("b.log", 3)):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write("===== RUN_START 2026-01-19 06:00:01 =====\n" + "Inserted: x\n" * n + "===== RUN_START 2026-13-45 1 =====\nInserted: y\n")
+    got = MO.daily_summary(MO.read_run_log(spark, tmpdir_path)).collect()
+    assert sorted((r.file[-5:], r.run_date, r.inserted) for r in got) == [
+        ("a.log", dt.date(2026, 1, 19), 2), ("b.log", dt.date(2026, 1, 19), 3)]
+
+
+def test_search_ranks_unusable_vectors_last(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [1.0]), ("e", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    assert [r.id for r in SE.search(df, [1.0, 0.0], metric="cosine").collect()] == ["a", "e", "b", "c", "d"]
+    assert [r.id for r in SE.search(df, [1.0, 0.0]).collect()] == ["a", "c", "e", "b", "d"]
+
+
+def test_words_of_any_script_and_large_amounts(spark):
+    docs = SE.embed_hashed(spark.createDataFrame([("नमस्ते दुनिया",)], "document string"))
+    assert any(docs.first().embedding)
+    recs = spark.createDataFrame([("h", None, None, None, Decimal("9999999999.50"), None)],
+                                 "hashcode string, txn_date date, category string, txn_type string, amount decimal(18,2), paid_to string")
+    assert SE.clean_metadata(recs).first().amount == 9999999999

@@ -73,3 +73,11 @@ def test_fingerprint_missing_column(spark):
 
     with pytest.raises(ValueError):
         add_fingerprint(spark.createDataFrame([(1,)], "a int"), ["a", "b"])
+
+
+def test_numeric_references(spark):
+    from ledgerlake.functions.text import html_text_lines
+
+    rows = [("<p>&#8377;5 &#x20B9; &#65;&#x1F600; &#0; &#xD800; &#9999999; &#x; &amp;#65;</p>",), ("plain",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "h string").select(html_text_lines("h")).collect()]
+    assert got == ["₹5 ₹ A😀 &#0; &#xD800; &#9999999; &#x; &#65;", "plain", None]
