@@ -12,11 +12,13 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 400_000
+MEMO = 600_000
+SPACE = re.compile(r"\s")
 RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
 WIDTH = 4  # bytes of an id, little-endian
@@ -29,26 +31,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-
-    def learn(self, keys: list[str], texts: list[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        import numpy as np
-
-        for key, e in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.memo[key] = np.asarray(e.ids, dtype="<u4").tobytes()
+        line = self.ids_of(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: dict[str, str]) -> None:
+        """Fills the memo for new, texts by key. Texts that hold no white space but a leading space
+        are encoded as lines of one text: a line end is a token of its own between them."""
+        joint = {k: t for k, t in new.items() if t.strip(" ") and not SPACE.search(t, 1)} if self.line is not None else {}
+        if joint:
+            ids = np.asarray(self.ids_of(["\n".join(joint.values())])[0], dtype="<u4")
+            cut = np.flatnonzero(ids == self.line)
+            if len(cut) == len(joint) - 1:
+                raw, ends = ids.tobytes(), [-1, *cut.tolist(), len(ids)]
+                for k, key in enumerate(joint):
+                    self.memo[key] = raw[WIDTH * (ends[k] + 1) : WIDTH * ends[k + 1]]
+            else:
+                joint = {}
+        rest = {k: t for k, t in new.items() if k not in joint}
+        for key, ids in zip(rest, self.ids_of(list(rest.values())), strict=True):
+            self.memo[key] = np.asarray(ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         head, *tail = CUT.split(text) if RUN.search(text) else text.split(" ")
         first = "\0" + head  # apart from the same piece after a space
         memo = self.memo
-        new = [p for p in {first, *tail} if p not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO:
-                new = list({first, *tail})
-            self.learn(new, [head if p is first else " " + p for p in new])
-        return memo[first] + b"".join([memo[p] for p in tail])
+        found = [memo.get(first), *map(memo.get, tail)]
+        if None in found:
+            new = {p: " " + p for p, ids in zip(tail, found[1:], strict=True) if ids is None}
+            if len(memo) + len(new) >= MEMO:
+                memo.clear()
+                new = {p: " " + p for p in tail}
+            self.learn({first: head, **new})
+            found = [memo[first], *map(memo.__getitem__, tail)]
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -71,8 +90,6 @@ def vocabulary(path: str | None = None) -> str:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of batches in runs of at most `most` bytes of `column` (a longer text runs alone)."""
-    import numpy as np
-
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
         at = 0
