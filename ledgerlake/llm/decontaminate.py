@@ -1,14 +1,15 @@
 """Benchmark leaks by latent semantic retrieval.
 
-Texts are cut into passages of PASSAGE words, one every STRIDE. Terms are hashed words; their
-document frequencies come from all passages. A randomised SVD finds RANK directions of the
-TF-IDF rows of all corpus passages and benchmark items together: each task multiplies its
-passages with the present basis and back, and partial products are summed by Spark. Corpus and
-items weigh BENCH to one whatever their sizes, so the items' own terms keep their place beside a
-corpus of any size. A passage is a candidate for an item when it holds enough of the item's
-latent vector (projection and cosine). A candidate counts as a leak when the longest common
-subsequence of words covers VERBATIM of the item, or PARAPHRASE of it with the answer (the item's
-last sentence) also in order. Items shorter than SHORT words must stand whole, word after word.
+Texts are cut into blocks of STRIDE words; a passage is a block and the next one. One pass over
+all texts counts in how many blocks each term (hashed word) stands and folds the blocks' term
+counts into SKETCH rows by random signs, the range finder of a randomised SVD of the blocks' rows:
+each task folds its own, Spark adds them up. With the IDF weights, these rows and the benchmark
+items' TF-IDF rows (BENCH to one in energy, whatever their numbers, so the items' own terms keep
+their place beside a corpus of any size) are factored into RANK directions. A second pass projects
+every passage. It is a candidate for an item when it holds enough of the item's latent vector
+(projection and cosine). A candidate counts as a leak when, in a stretch WIDER times
+the item's length, the longest common subsequence of words covers VERBATIM of the item, or
+PARAPHRASE of it with the answer (the item's last sentence) also in order. Items shorter than SHORT words must stand whole, word after word.
 
 Nulls and edge cases: null or empty texts hold no leak; null or empty items match nothing;
 repeated rows each count alone and give their pairs once; null ids stay; an empty benchmark or
@@ -22,32 +23,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import slices
-from ledgerlake.llm.words import mixed, owners, tokens, word_hashes
+from ledgerlake.llm.words import mixed, tokens, word_hashes
 
 PASSAGE, STRIDE = 64, 32
-BITS, RANK, STEPS = 13, 64, 1
-BENCH = 1.0
+BITS, RANK, SKETCH = 13, 64, 64
+BENCH = 2.0
+MEMO = 500_000
 HOLDS, COSINE = 0.4, 0.25
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.7
 SHORT = 8
+WIDER = 1.75
 ITEMS = 4096  # items searched in one pass; more go in further passes
 SEED = 3
 BARE = re.compile(r"[^\w]+")
 
 
+_HASHES: dict[str, int] = {}
+
+
+def bare(word: str) -> str:
+    low = word.lower()
+    return low if low.isalnum() else BARE.sub("", low)
+
+
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends) of each text's words: lower case, without punctuation."""
-    codes, ends, words = tokens(pc.utf8_lower(pc.fill_null(texts, "")))
-    bare = [BARE.sub("", w) for w in words]
-    keep = np.array([bool(w) for w in bare], bool)[codes] if words else np.zeros(0, bool)
-    hashes = word_hashes(bare)[codes] if words else np.zeros(0, np.uint64)
+    """(hashes, ends) of each text's words: lower case, without punctuation. A worker keeps the
+    hashes of words it has met (at most MEMO, then it starts anew); 0 marks a word of signs alone."""
+    codes, ends, words = tokens(texts)
+    found = list(map(_HASHES.get, words))
+    if None in found:
+        if len(_HASHES) > MEMO:
+            _HASHES.clear()
+        new = [w for w, h in zip(words, found, strict=True) if h is None]
+        plain = [bare(w) for w in new]
+        _HASHES.update(zip(new, (h if w else 0 for w, h in zip(plain, word_hashes(plain).tolist(), strict=True)), strict=True))
+        found = [_HASHES[w] if h is None else h for w, h in zip(words, found, strict=True)]
+    hashes = np.array(found, np.uint64)[codes] if words else np.zeros(0, np.uint64)
+    keep = hashes != 0
+    if keep.all():
+        return hashes, ends
     return hashes[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
@@ -80,73 +100,42 @@ def latent(term: np.ndarray, ends: np.ndarray, basis: np.ndarray) -> tuple[np.nd
     return passage_sums(basis[term], starts, last), text, starts
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(passages that hold each term, passages) over all of docs(text): at most 2^BITS rows come back."""
+def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(blocks that hold each term, the blocks' counts folded into SKETCH rows, blocks) over all of
+    docs(text): one row a term comes back, at most 2^BITS."""
+    size = 1 << BITS
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(1 << BITS, np.int64)
+        random = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        out, total = np.zeros((size, SKETCH + 1)), 0
         for b in slices(batches, "text"):
             hashes, ends = coded(b.column("text"))
-            starts, _, last = halves(ends)
+            starts, _, _ = halves(ends)
             if not len(starts):
                 continue
-            block = np.searchsorted(starts, np.arange(len(hashes)), side="right") - 1
+            block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
             term = terms(hashes)
-            before = np.flatnonzero(block > 0)  # words that also stand in the passage one block before
-            before = before[~last[block[before] - 1]]
-            keys = np.concatenate([block << BITS | term, (block[before] - 1) << BITS | term[before]])
-            df += np.bincount(np.unique(keys) & ((1 << BITS) - 1), minlength=1 << BITS)
+            held = np.unique(block << BITS | term)
+            out[:, 0] += np.bincount(held & (size - 1), minlength=size)
+            row, sign = random.integers(1, SKETCH + 1, len(starts)), random.choice((-1.0, 1.0), len(starts))
+            out += np.bincount(term * (SKETCH + 1) + row[block], sign[block], size * (SKETCH + 1)).reshape(out.shape)
             total += len(starts)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["term", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(1 << BITS), 0
+        at = np.flatnonzero(out[:, 0])
+        flat = pa.array(np.append(out[at].reshape(-1), [total]).astype(np.float64))
+        bounds = np.append(np.arange(len(at) + 1) * (SKETCH + 1), len(at) * (SKETCH + 1) + 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.ListArray.from_arrays(pa.array(bounds), flat)], ["term", "row"])
+
+    parts = docs.select("text").mapInArrow(fold, "term long, row array<double>")
+    rows = parts.groupBy("term").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
+    out, total = np.zeros((size, SKETCH + 1)), 0
     for r in rows:
         if r.term < 0:
-            total = r.n
-        else:
-            df[r.term] = r.n
-    return df, total
-
-
-def sketch(docs: DataFrame, basis: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """(A^T A basis, |A basis|^2) of all passages' TF-IDF rows A: partial products, summed by Spark."""
-    rank = basis.shape[1]
-    weighted = (basis * weight[:, None]).astype(np.float32)
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, energy = np.zeros((1 << BITS, rank)), 0.0
-        for b in slices(batches, "text"):
-            hashes, ends = coded(b.column("text"))
-            term = terms(hashes)
-            y, _, starts = latent(term, ends, weighted)
-            if not len(y):
-                continue
-            _, _, last = halves(ends)
-            y /= passage_sums(weight[term] ** 2, starts, last)[:, None]  # twice the row's length
-            energy += len(y)
-            both = y.copy()  # a word belongs to its block's passage and to the one before
-            both[1:][~last[:-1]] += y[:-1][~last[:-1]]
-            block = np.searchsorted(starts, np.arange(len(term)), side="right") - 1
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) != 0]))
-            out[term[order][first]] += np.add.reduceat(both[block[order]], first, axis=0)
-        out *= weight[:, None]
-        at = np.flatnonzero(np.abs(out).sum(1))
-        flat = pa.array(np.append(out[at].reshape(-1), [energy]))
-        ends = np.append(np.arange(len(at) + 1) * rank, len(at) * rank + 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["term", "row"])
-
-    parts = docs.select("text").mapInArrow(multiply, "term long, row array<double>")
-    rows = parts.groupBy("term").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()  # at most 2^BITS rows
-    out, energy = np.zeros((1 << BITS, rank)), 0.0
-    for r in rows:
-        if r.term < 0:
-            energy = r.row[0]
+            total = int(r.row[0])
         else:
             out[r.term] = r.row.toArray()
-    return out, energy
+    return out[:, 0], out[:, 1:].T, total
 
 
 class Items:
@@ -181,6 +170,14 @@ def stands(item: list[int], words: list[int]) -> bool:
     return any(words[i : i + len(item)] == item for i in range(len(words) - len(item) + 1))
 
 
+def nearest(masks: dict[int, int], n: int, words: list[int]) -> tuple[float, list[int]]:
+    """(share, words) of the stretch of words that holds most of an item of n words in order. A
+    stretch is WIDER times as long, so common words far apart don't add up to an item."""
+    long, step = int(WIDER * n) + 4, max(1, n // 2)
+    stretches = [words[i : i + long] for i in range(0, max(1, len(words) - long + step), step)]
+    return max(((common(masks, n, x) / n, x) for x in stretches), key=lambda x: x[0])
+
+
 def masks_of(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for j, w in enumerate(words.tolist()):
@@ -188,25 +185,22 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def basis_for(docs: DataFrame, items: Items) -> np.ndarray:
-    """(terms, RANK): IDF weights times the leading right singular vectors."""
-    df, total = document_frequencies(docs)
+def basis_for(corpus: tuple[np.ndarray, np.ndarray, int], items: Items) -> np.ndarray:
+    """(terms, RANK): IDF weights times the leading right singular vectors of corpus and items."""
+    df, folded, total = corpus
     weight = np.log((total + 1) / (df + 1)) + 0.1
     rows = np.zeros((len(items.ids), 1 << BITS))
     for k, w in enumerate(items.words):
         np.add.at(rows[k], terms(w), 1)
     rows *= weight
     rows /= np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
-    rank = min(RANK, 1 << BITS)
-    basis = np.linalg.qr(rows.T @ np.random.default_rng(SEED).standard_normal((len(rows), rank)) if len(rows) >= rank
-                         else np.random.default_rng(SEED).standard_normal((1 << BITS, rank)))[0]
-    for _ in range(STEPS):
-        product, energy = sketch(docs, basis, weight)
-        own = rows.T @ (rows @ basis)
-        basis = np.linalg.qr(product / max(energy, 1) + BENCH * own / max(1, len(rows)) * rank)[0]
-    # The singular directions inside the basis, from the small factor of the items' part.
-    _, _, vt = np.linalg.svd(rows @ basis, full_matrices=False)
-    return ((basis @ vt.T) * weight[:, None]).astype(np.float32)
+    if len(rows) > 8 * RANK:  # the items' own range finder
+        rows = np.random.default_rng(SEED).choice((-1.0, 1.0), (8 * RANK, len(rows))) @ rows
+    energy = lambda x: max(float((x * x).sum()), 1e-9)
+    folded = folded * weight
+    stacked = np.concatenate([folded / energy(folded) ** 0.5, rows * (BENCH / energy(rows)) ** 0.5])
+    _, _, right = np.linalg.svd(stacked, full_matrices=False)
+    return (right[:RANK].T * weight[:, None]).astype(np.float32)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,13 +209,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").dropDuplicates()
     out = spark.createDataFrame([], "doc_id long, item_id long, share double")
-    count = bench.count()
-    blocks = -(-count // ITEMS)
+    blocks = -(-bench.count() // ITEMS)
+    corpus = statistics(docs) if blocks else None
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else bench
         items = Items([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])  # about ITEMS rows
         if items.ids:
-            out = out.unionByName(search(docs, items, basis_for(docs, items)))
+            out = out.unionByName(search(docs, items, basis_for(corpus, items)))
     return out.distinct()
 
 
@@ -254,10 +248,11 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
                         continue
                     if n < SHORT and not stands(items.words[k].tolist(), words):
                         continue
-                    share = common(masks[k], n, words) / n
-                    answer = common(answers[k], len(items.answers[k]), words) / len(items.answers[k])
-                    good = share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER
-                    if good:
+                    if common(masks[k], n, words) < PARAPHRASE * n:
+                        continue
+                    share, near = nearest(masks[k], n, words)
+                    answer = common(answers[k], len(items.answers[k]), near) / len(items.answers[k])
+                    if share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER:
                         best[t, k] = max(best.get((t, k), 0), share)
             docs_ = b.column("doc_id").to_pylist()
             found = [(docs_[t], items.ids[k], s) for (t, k), s in best.items()]
