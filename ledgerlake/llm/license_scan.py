@@ -114,7 +114,7 @@ def oracle() -> str:
     return f"""
 WITH t(template, base, label, grams, j, w0, w1) AS (VALUES {values}),
 w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
-             '{SEPARATORS}'), x -> x <> '') AS words FROM documents),
+             '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
 g AS (SELECT doc_id, i - 1 AS i, words[i] AS a, words[i + 1] AS b
       FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w)),
 v AS (SELECT doc_id, template, base, label, grams, i - j AS diagonal, bit_or(1::BIGINT << j) AS seen

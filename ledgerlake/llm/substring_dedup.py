@@ -190,7 +190,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The contract as DuckDB SQL over documents."""
     return f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) AS win
       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 1))) AS i FROM w)),
 f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS rn FROM g),
