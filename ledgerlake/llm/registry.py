@@ -65,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
+    "op6_near_dedup": near_dedup.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
 }
