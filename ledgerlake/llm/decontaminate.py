@@ -32,10 +32,10 @@ from ledgerlake.llm.bpe import slices
 from ledgerlake.llm.words import mixed, tokens, word_hashes
 
 PASSAGE, STRIDE = 64, 32
-BITS, RANK, SKETCH = 13, 64, 64
-BENCH = 2.0
+BITS, RANK, SKETCH = 13, 96, 64
+BENCH = 20.0
 MEMO = 500_000
-HOLDS, COSINE = 0.4, 0.25
+HOLDS, COSINE = 0.5, 0.35
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.7
 SHORT = 8
 WIDER = 1.75
@@ -84,20 +84,18 @@ def halves(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends[text] + nth * STRIDE, text, nth == blocks[text] - 1
 
 
-def passage_sums(rows: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Sums of rows (one per word) over each passage."""
-    block = np.add.reduceat(rows, starts, axis=0)
-    out = block.copy()
-    out[:-1][~last[:-1]] += block[1:][~last[:-1]]
-    return out
-
-
 def latent(term: np.ndarray, ends: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, text, starts): each passage's TF-IDF row times basis (which holds the weights)."""
     starts, text, last = halves(ends)
     if not len(starts):
         return np.zeros((0, basis.shape[1]), np.float32), text, starts
-    return passage_sums(basis[term], starts, last), text, starts
+    bounds = np.append(starts, len(term)).tolist()
+    block = np.empty((len(starts), basis.shape[1]), np.float32)
+    for i in range(len(starts)):  # a block's rows at a time stay in cache
+        basis.take(term[bounds[i] : bounds[i + 1]], axis=0).sum(0, out=block[i])
+    out = block.copy()
+    out[:-1][~last[:-1]] += block[1:][~last[:-1]]
+    return out, text, starts
 
 
 def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -117,8 +115,10 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 continue
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
             term = terms(hashes)
-            held = np.unique(block << BITS | term)
-            out[:, 0] += np.bincount(held & (size - 1), minlength=size)
+            key = block << BITS | term
+            held = np.sort(key if len(starts) >> (31 - BITS) else key.astype(np.int32))
+            fresh = np.append(True, held[1:] != held[:-1])
+            out[:, 0] += np.bincount(held[fresh] & (size - 1), minlength=size)
             row, sign = random.integers(1, SKETCH + 1, len(starts)), random.choice((-1.0, 1.0), len(starts))
             out += np.bincount(term * (SKETCH + 1) + row[block], sign[block], size * (SKETCH + 1)).reshape(out.shape)
             total += len(starts)
@@ -199,8 +199,11 @@ def basis_for(corpus: tuple[np.ndarray, np.ndarray, int], items: Items) -> np.nd
     energy = lambda x: max(float((x * x).sum()), 1e-9)
     folded = folded * weight
     stacked = np.concatenate([folded / energy(folded) ** 0.5, rows * (BENCH / energy(rows)) ** 0.5])
-    _, _, right = np.linalg.svd(stacked, full_matrices=False)
-    return (right[:RANK].T * weight[:, None]).astype(np.float32)
+    # The stack is short: its right singular vectors come from the small matrix of its rows' products.
+    values, left = np.linalg.eigh(stacked @ stacked.T)
+    top = np.argsort(-values)[: min(RANK, int((values > 1e-9 * values.max()).sum()))]
+    right = (left[:, top] / np.sqrt(values[top])).T @ stacked
+    return np.ascontiguousarray(right.T * weight[:, None], np.float32)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -225,11 +228,13 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [masks_of(w) for w in items.words]
+        times = [{w: m.bit_count() for w, m in x.items()} for x in masks]
         answers = [masks_of(w) for w in items.answers]
         for b in slices(batches, "text"):
             hashes, ends = coded(b.column("text"))
             y, text, starts = latent(terms(hashes), ends, basis)
             best: dict[tuple[int, int], float] = {}
+            now, words, there = -1, [], set()
             for at in range(0, len(y), 8192):
                 part = y[at : at + 8192]
                 dots = part @ vectors.T
@@ -240,11 +245,12 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
                     t, n = int(text[p]), len(items.words[k])
                     if best.get((t, k), 0) >= 1:
                         continue
-                    a, z = max(ends[t], starts[p] - STRIDE), min(ends[t + 1], starts[p] + PASSAGE + STRIDE)
-                    words = hashes[a:z].tolist()
+                    if p != now:
+                        a, z = max(ends[t], starts[p] - STRIDE), min(ends[t + 1], starts[p] + PASSAGE + STRIDE)
+                        now, words = p, hashes[a:z].tolist()
+                        there = set(words)
                     # No more of the item can stand in order than stands at all.
-                    held = sum(m.bit_count() for w in set(words) if (m := masks[k].get(w))) / n
-                    if held < PARAPHRASE:
+                    if sum(c for w, c in times[k].items() if w in there) < PARAPHRASE * n:
                         continue
                     if n < SHORT and not stands(items.words[k].tolist(), words):
                         continue
