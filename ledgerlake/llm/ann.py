@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES, SHARE, GROW = 64, 0.6, 1.25
-LEAST, MOST = 60, 0.08
-ROWS, QUERIES = 1024, 1024  # aimed at, per block
+LINES, SHARE = 64, 0.65
+FIRST, GROW = 0.6, 1.2  # radius: a unit vector's projections have a standard deviation of 1
+APART = 1024.0
+LEAST, MOST = 100, 0.15
+ROWS, QUERIES = 4096, 1024  # aimed at, per block
 SEED = 20
 
 
@@ -36,26 +38,31 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(-1, keepdims=True))
 
 
-def collide(index: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
-    """Rows of a block to verify for a query whose projections are at."""
-    ids, places = index  # (LINES, n): row numbers by projection, projections ascending
-    n = ids.shape[1]
+def sorted_lines(unit_rows: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ranks): each line's projections in ascending order, as one ascending array in which line
+    j is moved by j * APART, and every row's place in each line's order."""
+    places = (unit_rows @ axes).T.astype(np.float64) + APART * np.arange(LINES)[:, None]
+    order = np.argsort(places, axis=1, kind="stable")
+    ranks = np.empty_like(order)
+    np.put_along_axis(ranks, order, np.arange(order.shape[1])[None, :], 1)
+    return np.take_along_axis(places, order, 1).ravel(), ranks.astype(np.uint32)
+
+
+def collide(index: tuple[np.ndarray, np.ndarray], n: int, at: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block of n rows to verify for a query whose projections are at."""
+    places, ranks = index
     need, enough = int(np.ceil(SHARE * LINES)), max(k, LEAST, int(np.ceil(MOST * n)))
     if n <= enough:
         return np.arange(n)
-    counts = np.zeros(n, np.int32)
-    middle = np.array([np.searchsorted(p, a) for p, a in zip(places, at, strict=True)])
-    low, high = middle.copy(), middle.copy()
-    # The first radius holds about a tenth of the rows on a line.
-    radius = float(np.median(places[:, n - 1 - n // 20] - places[:, n // 20])) / 16
+    line = np.arange(LINES)
+    at = at + APART * line
+    radius = FIRST
     while True:
-        for j in range(LINES):
-            a, z = np.searchsorted(places[j], (at[j] - radius, at[j] + radius))
-            a, z = min(a, low[j]), max(z, high[j])
-            counts[ids[j, a : low[j]]] += 1
-            counts[ids[j, high[j] : z]] += 1
-            low[j], high[j] = a, z
-        found = np.flatnonzero(counts >= need)
+        # The window of each line is a run of its sorted array; a row collides if its place is in the run.
+        low = np.searchsorted(places, at - radius)
+        size = (np.searchsorted(places, at + radius) - low).astype(np.uint32)
+        inside = ranks - (low - line * n).astype(np.uint32)[:, None] < size[:, None]
+        found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
         if len(found) >= enough:
             return found
         radius *= GROW
@@ -67,14 +74,12 @@ def search_block(rows: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray,
     x = x.astype(np.float64)
     lengths = np.sqrt((x * x).sum(-1))
     axes = lines(x.shape[1])
-    places = (unit(x).astype(np.float32) @ axes).T
-    order = np.argsort(places, axis=1, kind="stable")
-    index = order, np.take_along_axis(places, order, 1)
+    index = sorted_lines(unit(x).astype(np.float32), axes)
     out = []
     for q, v in zip(*queries, strict=True):
         v = v.astype(np.float64)
-        at = (unit(v).astype(np.float32) @ axes).astype(np.float32)
-        near = collide(index, at, k + 1)
+        at = (unit(v[None]).astype(np.float32) @ axes)[0].astype(np.float64)
+        near = collide(index, len(ids), at, k + 1)
         near = near[ids[near] != q]
         score = (x[near] * v).sum(-1) / (lengths[near] * np.sqrt((v * v).sum(-1)))
         best = np.lexsort((ids[near], -score))[:k]
