@@ -5,11 +5,14 @@ all texts counts in how many blocks each term (hashed word) stands and folds the
 counts into SKETCH rows by random signs, the range finder of a randomised SVD of the blocks' rows:
 each task folds its own, Spark adds them up. With the IDF weights, these rows and the benchmark
 items' TF-IDF rows (BENCH to one in energy, whatever their numbers, so the items' own terms keep
-their place beside a corpus of any size) are factored into RANK directions. A second pass projects
-every passage. It is a candidate for an item when it holds enough of the item's latent vector
-(projection and cosine). A candidate counts as a leak when, in a stretch WIDER times
-the item's length, the longest common subsequence of words covers VERBATIM of the item, or
-PARAPHRASE of it with the answer (the item's last sentence) also in order. Items shorter than SHORT words must stand whole, word after word.
+their place beside a corpus of any size) are factored into RANK directions. Items are cut into equal
+pieces of at most PASSAGE words. A second pass projects every passage. It is a candidate for an item
+when it holds enough of the latent vector of one of its pieces (projection and cosine): where
+PARAPHRASE of an item stands, PARAPHRASE of one of its pieces does. The words around a candidate that
+a copy may reach are searched, whatever the item's length. It counts as a leak when, in a stretch
+WIDER times the item's length, the longest common subsequence of words covers VERBATIM of the item, or
+PARAPHRASE of it with the answer (the item's last sentence) also in order. Items shorter than SHORT
+words must stand whole, word after word.
 
 Nulls and edge cases: null or empty texts hold no leak; null or empty items match nothing;
 repeated rows each count alone and give their pairs once; null ids stay; an empty benchmark or
@@ -39,7 +42,7 @@ HOLDS, COSINE = 0.5, 0.35
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.7
 SHORT = 8
 WIDER = 1.75
-ITEMS = 4096  # items searched in one pass; more go in further passes
+ITEMS = 4096  # pieces of items searched in one pass, about; more go in further passes
 SEED = 3
 BARE = re.compile(r"[^\w]+")
 
@@ -139,10 +142,11 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Items:
-    """Benchmark items as word hashes, with their last sentence as the answer."""
+    """Benchmark items as word hashes, with their last sentence as the answer, and their pieces."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.answers = [], [], []
+        self.pieces, self.owner = [], []
         for i, text in rows:
             hashes, _ = coded(pa.array([text]))
             if len(hashes):
@@ -151,9 +155,12 @@ class Items:
                 self.ids.append(i)
                 self.words.append(hashes)
                 self.answers.append(tail)
+                parts = np.array_split(hashes, -(-len(hashes) // PASSAGE))
+                self.pieces += parts
+                self.owner += [len(self.ids) - 1] * len(parts)
 
     def vectors(self, basis: np.ndarray) -> np.ndarray:
-        return np.array([basis[terms(w)].sum(0) for w in self.words], np.float32).reshape(len(self.ids), basis.shape[1])
+        return np.array([basis[terms(w)].sum(0) for w in self.pieces], np.float32).reshape(len(self.pieces), basis.shape[1])
 
 
 def common(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -170,12 +177,20 @@ def stands(item: list[int], words: list[int]) -> bool:
     return any(words[i : i + len(item)] == item for i in range(len(words) - len(item) + 1))
 
 
-def nearest(masks: dict[int, int], n: int, words: list[int]) -> tuple[float, list[int]]:
-    """(share, words) of the stretch of words that holds most of an item of n words in order. A
-    stretch is WIDER times as long, so common words far apart don't add up to an item."""
-    long, step = int(WIDER * n) + 4, max(1, n // 2)
-    stretches = [words[i : i + long] for i in range(0, max(1, len(words) - long + step), step)]
-    return max(((common(masks, n, x) / n, x) for x in stretches), key=lambda x: x[0])
+def reach(n: int) -> int:
+    """Words of the stretch in which an item of n words must stand, so that common words far apart don't add up to it."""
+    return int(WIDER * n) + 4
+
+
+def held(item: dict[int, int], n: int, answer: dict[int, int], m: int, words: list[int]) -> float:
+    """The largest share of an item of n words, its answer of m, that stands in order in a stretch of words and makes it a leak, or 0."""
+    best, step = 0.0, max(1, n // 4)
+    for i in range(0, max(1, len(words) - reach(n) + step), step):
+        stretch = words[i : i + reach(n)]
+        share = common(item, n, stretch) / n
+        if share > best and (share >= VERBATIM or share >= PARAPHRASE and common(answer, m, stretch) >= ANSWER * m):
+            best = share
+    return best
 
 
 def masks_of(words: np.ndarray) -> dict[int, int]:
@@ -189,13 +204,13 @@ def basis_for(corpus: tuple[np.ndarray, np.ndarray, int], items: Items) -> np.nd
     """(terms, RANK): IDF weights times the leading right singular vectors of corpus and items."""
     df, folded, total = corpus
     weight = np.log((total + 1) / (df + 1)) + 0.1
-    rows = np.zeros((len(items.ids), 1 << BITS))
-    for k, w in enumerate(items.words):
-        np.add.at(rows[k], terms(w), 1)
-    rows *= weight
-    rows /= np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
-    if len(rows) > 8 * RANK:  # the items' own range finder
-        rows = np.random.default_rng(SEED).choice((-1.0, 1.0), (8 * RANK, len(rows))) @ rows
+    random, rows = np.random.default_rng(SEED), np.zeros((0, 1 << BITS))
+    for at in range(0, len(items.pieces), 8 * RANK):
+        part = np.array([np.bincount(terms(w), minlength=1 << BITS) for w in items.pieces[at : at + 8 * RANK]]) * weight
+        part /= np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-9)
+        if len(items.pieces) > 8 * RANK:  # the items' own range finder
+            part = random.choice((-1.0, 1.0), (8 * RANK, len(part))) @ part
+        rows = rows + part if len(rows) else part
     energy = lambda x: max(float((x * x).sum()), 1e-9)
     folded = folded * weight
     stacked = np.concatenate([folded / energy(folded) ** 0.5, rows * (BENCH / energy(rows)) ** 0.5])
@@ -212,11 +227,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").dropDuplicates()
     out = spark.createDataFrame([], "doc_id long, item_id long, share double")
-    blocks = -(-bench.count() // ITEMS)
+    words = F.size(F.split("text", r"\s+"))
+    pieces = bench.agg(F.sum(F.ceil(words / PASSAGE))).first()[0] or 0
+    blocks = -(-pieces // ITEMS)
     corpus = statistics(docs) if blocks else None
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        items = Items([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])  # about ITEMS rows
+        items = Items([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])  # about ITEMS pieces
         if items.ids:
             out = out.unionByName(search(docs, items, basis_for(corpus, items)))
     return out.distinct()
@@ -225,30 +242,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
     vectors = items.vectors(basis)
     size = np.sqrt((vectors * vectors).sum(1))
+    owner = np.array(items.owner)
+    most = np.array([len(w) for w in items.pieces])
+    # The terms of each piece; the places after its end hold a term that no text has.
+    inside = np.full((len(most), PASSAGE), 1 << BITS, np.int32)
+    for k, w in enumerate(items.pieces):
+        inside[k, : len(w)] = terms(w)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [masks_of(w) for w in items.words]
         times = [{w: m.bit_count() for w, m in x.items()} for x in masks]
         answers = [masks_of(w) for w in items.answers]
+        step = max(64, min(8192, 8192 * ITEMS // len(most)))
         for b in slices(batches, "text"):
             hashes, ends = coded(b.column("text"))
-            y, text, starts = latent(terms(hashes), ends, basis)
-            best: dict[tuple[int, int], float] = {}
-            now, words, there = -1, [], set()
-            for at in range(0, len(y), 8192):
-                part = y[at : at + 8192]
+            term = terms(hashes)
+            y, text, starts = latent(term, ends, basis)
+            places: dict[tuple[int, int], list[int]] = {}
+            for at in range(0, len(y), step):
+                part = y[at : at + step]
                 dots = part @ vectors.T
                 lengths = np.sqrt((part * part).sum(1))[:, None]
                 hit = (dots >= HOLDS * size * size) & (dots >= COSINE * lengths * size)
-                for p, k in zip(*np.nonzero(hit), strict=True):
-                    p, k = int(p) + at, int(k)
-                    t, n = int(text[p]), len(items.words[k])
-                    if best.get((t, k), 0) >= 1:
-                        continue
-                    if p != now:
-                        a, z = max(ends[t], starts[p] - STRIDE), min(ends[t + 1], starts[p] + PASSAGE + STRIDE)
-                        now, words = p, hashes[a:z].tolist()
-                        there = set(words)
+                passage, piece = np.nonzero(hit)
+                for p, k in zip(*standing(passage + at, piece, term, ends, text, starts, inside, most), strict=True):
+                    places.setdefault((int(text[p]), int(owner[k])), []).append(int(starts[p]))
+            best: dict[tuple[int, int], float] = {}
+            for (t, k), at in places.items():
+                n, far = len(items.words[k]), reach(len(items.words[k]))
+                for a, z in joined(sorted(set(at)), far, int(ends[t]), int(ends[t + 1])):
+                    words = hashes[a:z].tolist()
+                    there = set(words)
                     # No more of the item can stand in order than stands at all.
                     if sum(c for w, c in times[k].items() if w in there) < PARAPHRASE * n:
                         continue
@@ -256,10 +280,9 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
                         continue
                     if common(masks[k], n, words) < PARAPHRASE * n:
                         continue
-                    share, near = nearest(masks[k], n, words)
-                    answer = common(answers[k], len(items.answers[k]), near) / len(items.answers[k])
-                    if share >= VERBATIM or share >= PARAPHRASE and answer >= ANSWER:
-                        best[t, k] = max(best.get((t, k), 0), share)
+                    share = held(masks[k], n, answers[k], len(items.answers[k]), words)
+                    if share > best.get((t, k), 0):
+                        best[t, k] = share
             docs_ = b.column("doc_id").to_pylist()
             found = [(docs_[t], items.ids[k], s) for (t, k), s in best.items()]
             cols = list(zip(*found, strict=True)) or [[], [], []]
@@ -267,3 +290,35 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["doc_id", "item_id", "share"])
 
     return docs.mapInArrow(find, "doc_id long, item_id long, share double")
+
+
+def standing(passage, piece, term, ends, text, starts, inside, most) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of passage and piece that can hold PARAPHRASE of the piece: so many of its terms
+    stand in the passage and the words around it that a copy of a piece may reach."""
+    far, keep = reach(PASSAGE), np.zeros(len(passage), bool)
+    own, row = np.unique(passage, return_inverse=True)
+    for i in range(0, len(own), 512):
+        here = own[i : i + 512]
+        a = np.maximum(ends[text[here]], starts[here] - far)
+        z = np.minimum(ends[text[here] + 1], starts[here] + PASSAGE + far)
+        n = z - a
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        there = np.zeros((len(here), (1 << BITS) + 1), bool)
+        there[np.repeat(np.arange(len(here)), n), term[at]] = True
+        first, last = np.searchsorted(passage, here[0]), np.searchsorted(passage, here[-1], side="right")
+        for x in range(first, last, 65536):  # passage ascends
+            q = slice(x, min(last, x + 65536))
+            keep[q] = there[row[q, None] - i, inside[piece[q]]].sum(1) >= PARAPHRASE * most[piece[q]]
+    return passage[keep], piece[keep]
+
+
+def joined(at: list[int], far: int, first: int, last: int) -> list[tuple[int, int]]:
+    """The stretches from first to last that reach far around passages at ascending places, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s in at:
+        a, z = max(first, s - far), min(last, s + PASSAGE + far)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
+    return out

@@ -180,6 +180,24 @@ def test_leaks_survive_edits_and_places(spark):
     assert len(got) <= len(want) + 6
 
 
+def test_leaks_of_long_items(spark):
+    texts = [r.text for r in registry.documents(spark, SF01).collect() if r.text and len(r.text.split()) > 2300]
+    rnd, rows, bench, want = random.Random(5), [], [], set()
+    vocab = sorted({w for t in texts for w in t.split()})
+    for k, n in enumerate((150, 300, 2000, 150, 300, 2000)):
+        words = rnd.choice(texts).split()
+        at = rnd.randrange(len(words) - n)
+        item, host = words[at : at + n], rnd.choices(vocab, k=700)
+        bench.append((k, " ".join(item)))
+        copy = [w if k < 3 or i % 10 else "altered" for i, w in enumerate(item)]
+        rows.append((k, " ".join(host[:333] + copy + host[333:])))
+        rows.append((100 + k, " ".join(host + item[: n // 3])))  # a third of the item is no leak
+        want.add((k, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert want <= got.keys() and all(got[k, k] == 1 for k in range(3)) and not any(d >= 100 for d, _ in got)
+
+
 def test_quality_learns_the_grades(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = registry.documents(spark, sf), registry.table(spark, sf, "labels")
