@@ -198,6 +198,27 @@ def test_leaks_of_long_items(spark):
     assert want <= got.keys() and all(got[k, k] == 1 for k in range(3)) and not any(d >= 100 for d, _ in got)
 
 
+def test_leaks_of_loose_copies(spark):
+    """30 to 45 % of the words outside the answer, the longest, are replaced: what the operator's own rule accepts is found."""
+    items = [r.text for r in registry.table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    vocab = [w for r in registry.documents(spark, SF01).orderBy("doc_id").limit(300).collect() for w in (r.text or "").split()]
+    rnd, rows, want = random.Random(7), [], set()
+    plain = lambda x: decontaminate.coded(pa.array([x]))[0]
+    for k, item in enumerate(items):
+        words, tail = item.split(), max(1, len(decontaminate.Items([(0, item)]).answers[0]))
+        front = sorted(range(len(words) - tail), key=lambda i, w=words: -len(w[i]))
+        for i in front[: int(len(front) * rnd.choice((0.3, 0.45)))]:
+            words[i] = rnd.choice(vocab)
+        host, at = rnd.choices(vocab, k=300), rnd.randrange(300)
+        rows.append((k, " ".join(host[:at] + words + host[at:])))
+        mine, copy = plain(item).tolist(), plain(" ".join(words)).tolist()
+        if in_order(mine, copy) >= decontaminate.PARAPHRASE * len(mine):
+            want.add((k, k))
+    docs, bench = (spark.createDataFrame(x, y) for x, y in ((rows, "doc_id long, text string"), ([*enumerate(items)], "item_id long, text string")))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert len(want) > 150 and len(want - got) <= 0.02 * len(want), (len(want), len(want - got))
+
+
 def test_quality_learns_the_grades(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = registry.documents(spark, sf), registry.table(spark, sf, "labels")
