@@ -1,17 +1,18 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its elements, named by their path, and its text blocks within their path. Over
-the pages of a host, Spark sums for every token a signature of its occurrence vector (which page
+A page's tokens are its elements, named by their path, and its text blocks within their path. Pages
+of a host with the same text blocks are copies and count as one. Over a host's distinct pages, Spark sums for every token a signature of its occurrence vector (which page
 holds it how often); tokens with one vector form a class. Classes of two or more tokens that
 enough pages hold are the host's template, nested by path. The innermost template element around
 a block is its slot. Slots inside article or main elements are extracted whole; on hosts whose
 template has none, all slots outside menus, headers, footers, sidebars, notices, adverts, forms
-and comments, less the blocks that are template tokens themselves. A page that shows none of its
-host's slots is judged by its own elements. No page's html is shuffled: the templates are joined
-to the pages, by broadcast if they are small.
+and comments, less the blocks that are template tokens themselves on TEXT_PAGES distinct pages or
+more. A page most of whose text would go that way is a copy with few changes and keeps it all. A page
+that shows none of its host's slots is judged by its own elements. No page's html is shuffled, only
+its tokens: the templates are joined to the pages, by broadcast if they are small.
 
 Nulls and edge cases: null or empty html gives an empty text; a null url is a host of its own;
-repeated rows are pages each; hosts with one page have no template; unclosed tags, stray closing
+repeated rows give their text each; hosts with one distinct page have no template; unclosed tags, stray closing
 tags and cut-off pages are read as far as they go; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.bpe import slices
 from ledgerlake.llm.store import join_counted, stored
 
-SUPPORT, LEAST_PAGES = 0.5, 2
+SUPPORT, LEAST_PAGES, TEXT_PAGES = 0.5, 2, 4
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)|[^<]+|<""",
@@ -156,36 +157,59 @@ def host(url: str = "url"):
 FOUND = "host string, token long, element boolean, main boolean, dropped boolean, low long, high long, pages long"
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """FOUND rows: per token its summed signature and pages, folded over each run of pages. Token 0 counts a host's pages."""
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host, tokens, kinds (bits: element, main, dropped), counts and key of one page of each text of a
+    host, that of the smallest key. Token 0 stands on each."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            sums: dict[tuple, list[int]] = {}
+            kept: dict[tuple[str, int], tuple[int, Counter]] = {}
             for where, page, key in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("page").to_pylist(), strict=True):
                 texts, elements = blocks(page or "")
-                seen = Counter((e.token, True, e.main, e.dropped) for e in elements)
-                seen.update((hash64(around[-1].path if around else "", t), False, False, False) for t, around in texts)
-                seen[0, True, False, False] = 1
-                for k, n in seen.items():
-                    sign = hash64(str(key), str(n))
-                    s = sums.setdefault((where, *k), [0, 0, 0])
-                    s[0] += sign & 0x7FFFFFFF
-                    s[1] += sign >> 32 & 0x7FFFFFFF
+                digest = hash64(*[t for t, _ in texts])
+                if (where, digest) in kept and kept[where, digest][0] <= key:
+                    continue
+                seen = Counter((e.token, 1 | e.main << 1 | e.dropped << 2) for e in elements)
+                seen.update((hash64(around[-1].path if around else "", t), 0) for t, around in texts)
+                seen[0, 1] = 1
+                kept[where, digest] = key, seen
+            cols = [[h for h, _ in kept], [d for _, d in kept], [k for k, _ in kept.values()],
+                    *[[[t[i] for t in seen] for _, seen in kept.values()] for i in (0, 1)], [list(seen.values()) for _, seen in kept.values()]]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                             ["host", "digest", "key", "tokens", "kinds", "counts"])
+
+    rows = pages.mapInArrow(read, "host string, digest long, key long, tokens array<long>, kinds array<tinyint>, counts array<int>")
+    page = F.min(F.struct("key", "tokens", "kinds", "counts")).alias("page")
+    return rows.groupBy("host", "digest").agg(page).select("host", "page.*")
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """FOUND rows: per token its summed signature and pages, folded over each run of distinct pages. Token 0 counts a host's pages."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple, list[int]] = {}
+            for where, key, tokens, kinds, counts in zip(*[b.column(c).to_pylist() for c in ("host", "key", "tokens", "kinds", "counts")], strict=True):
+                signs = {n: hash64(str(key), str(n)) for n in set(counts)}
+                for token, kind, n in zip(tokens, kinds, counts, strict=True):
+                    s = sums.setdefault((where, token, bool(kind & 1), bool(kind & 2), bool(kind & 4)), [0, 0, 0])
+                    s[0] += signs[n] & 0x7FFFFFFF
+                    s[1] += signs[n] >> 32 & 0x7FFFFFFF
                     s[2] += 1
-            cols = list(zip(*[(*k, *v) for k, v in sums.items()], strict=True))
+            cols = list(zip(*[(*k, *v) for k, v in sums.items()], strict=True)) or [[]] * 8
             types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                              ["host", "token", "element", "main", "dropped", "low", "high", "pages"])
 
-    rows = pages.mapInArrow(count, FOUND)
+    rows = distinct_pages(pages).mapInArrow(count, FOUND)
     return rows.groupBy("host", "token", "element", "main", "dropped").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages")])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, elements, slots, texts: the template's elements, those extracted, and its text tokens.
 
-    A template token stands on at least SUPPORT of a host's pages, so a host's arrays are at most
+    A template token stands on at least SUPPORT of a host's distinct pages, so a host's arrays are at most
     1 / SUPPORT times an average page's tokens."""
     found = stored(occurrences(pages), "tokens")
     sizes = stored(found.filter("token = 0").select("host", F.col("pages").alias("all")), "hosts")
@@ -195,10 +219,10 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = common.groupBy("host", "low", "high", "pages").agg(F.count("*").alias("size")).filter("size > 1")
     valid = common.join(classes, ["host", "low", "high", "pages"], "left_semi")
     kept = lambda on: F.collect_set(F.when(on, F.col("token")))
-    element, free = F.col("element"), ~F.col("dropped")
+    element, free, often = F.col("element"), ~F.col("dropped"), F.col("pages") >= TEXT_PAGES
     per_host = valid.groupBy("host").agg(
         kept(element).alias("elements"), kept(element & free & F.col("main")).alias("mains"),
-        kept(element & free).alias("open"), kept(~element).alias("texts"))
+        kept(element & free).alias("open"), kept(~element & often).alias("texts"))
     slots = F.when(F.size("mains") > 0, F.col("mains")).otherwise(F.col("open"))
     return stored(per_host.select("host", "elements", slots.alias("slots"), "texts"), "templates")
 
@@ -211,13 +235,20 @@ def text_of(page: str, elements: set[int], slots: set[int], constant: set[int])
         slot = next((e for e in reversed(around) if e.token in elements), None)
         if slot is not None and slot.token in slots:
             shown = True
-            if slot.main or hash64(around[-1].path, t) not in constant:
-                chosen.append(t)
+            chosen.append((t, slot.main or hash64(around[-1].path, t) not in constant))
     if shown or not found:
-        return "\n".join(chosen)
+        return "\n".join(own_text(chosen))
     if any(e.main and not e.dropped for e in own):
         return "\n".join(t for t, around in found if around and around[-1].main)
-    return "\n".join(t for t, around in found if hash64(around[-1].path if around else "", t) not in constant)
+    return "\n".join(own_text([(t, hash64(around[-1].path if around else "", t) not in constant) for t, around in found]))
+
+
+def own_text(found: list[tuple[str, bool]]) -> list[str]:
+    """The blocks that are the page's own; all of them if most, in number and length, are the template's."""
+    own = [t for t, mine in found if mine]
+    if 2 * len(own) < len(found) and 2 * sum(map(len, own)) < sum(len(t) for t, _ in found):
+        return [t for t, _ in found]
+    return own
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -281,6 +281,26 @@ def test_html_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_copies_on_hosts_of_divs(spark):
+    page = "<html><body><div class='top'><p>Welcome to the site</p></div><div class='wrap'><h1>Title {i}</h1>{body}<p>Share</p></div></body></html>"
+    body = lambda i: "".join(f"<p>Line {j} of text {i} in full</p>" for j in range(5))
+    text = lambda i: [f"Title {i}", *(f"Line {j} of text {i} in full" for j in range(5))]
+    one = lambda i, more="": page.format(i=i, body=body(i) + more)
+    hosts = {"same.org": [one(1)] * 3, "two.org": [one(1), one(1), one(2)], "four.org": [one(1), one(1), one(2), one(3)],
+             "dated.org": [one(1, f"<p>Posted {k}</p>") for k in range(5)] + [one(2), one(3), one(4), one(5)],
+             "half.org": [one(1)] * 6 + [one(i) for i in range(2, 8)]}
+    number = {"same.org": [1] * 3, "two.org": [1, 1, 2], "four.org": [1, 1, 2, 3], "dated.org": [1] * 5 + [2, 3, 4, 5], "half.org": [1] * 6 + [*range(2, 8)]}
+    rows = [(1000 * h + k, f"http://{name}/{k}", x) for h, (name, xs) in enumerate(hosts.items()) for k, x in enumerate(xs)]
+    rows.append(rows[0])  # a repeated row
+    want = {1000 * h + k: text(i) for h, name in enumerate(hosts) for k, i in enumerate(number[name])}
+    got = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert set(want[r.page_id]) <= set(r.text.split("\n")), r
+        if r.url.startswith("http://half.org/"):
+            assert "Share" not in r.text.split("\n")  # seven distinct pages show the template's text
+
+
 def test_html_pages_of_the_tables(spark):
     """The tables' pages: everything in the article element, by a separate reading."""
     import html
