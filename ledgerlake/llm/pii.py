@@ -80,6 +80,21 @@ def spaced(t: Column) -> Column:
     return F.regexp_replace(one, "(?<=[0-9])-(?=[0-9])", DASH)
 
 
+#: Countries by the length of their IBAN.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """A run of its country's length, whatever capitals or digits follow after a space, or else the longest run."""
+    known = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{known})|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -101,7 +116,7 @@ KINDS = (
          luhn, 0.7, "card|visa|credit|pay", prepare=spaced),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")),
          phone_length, 0.6, "phone|call|tel|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    Kind("iban", iban_pattern(),
          lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), mod97, 0.65, "iban|bank|account", base=False),
     Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
          always, 0.35, "ssn|social security|tax", base=False),

@@ -75,6 +75,16 @@ def test_pii_own_kinds_and_redaction(spark):
     assert text[8] == "write [EMAIL] or [PHONE], [IP]" and text[3] == 'token = "[SECRET]"'
 
 
+def test_iban_before_capitals_and_digits(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    rows = [(i, f"IBAN {x} {more}") for i, (x, more) in enumerate((x, m) for x in ibans for m in ("BIC COBADEFF", "EUR 100", "2024", "and so on", ""))]
+    rows.append((99, "IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFF"))  # wrong check digits
+    text = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:-1]:
+        assert text[i] == "IBAN [IBAN] " + t.split(ibans[i // 5] + " ")[1]
+    assert text[99] == rows[-1][1]
+
+
 def test_long_runs_stay_linear(spark):
     long = ["1.2.3.4 " * 30000, "a" * 300000, "a@" + "b." * 100000, "1 " * 200000, "+1" + "(" * 200000, "1." * 150000]
     df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
