@@ -177,8 +177,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of at most `sample` labelled documents, or None if they show fewer than two grades."""
-    chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """The model of at most `sample` labelled documents, or None if they show fewer than two grades.
+    Labels without a document take no place of the sample."""
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = graded(labels).join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = stored(chosen, "label-sample")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

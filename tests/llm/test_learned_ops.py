@@ -244,6 +244,13 @@ def test_quality_without_labels(spark, odd):
     assert len(got) == len(ODD) and all(r.keep and r.tail is None for r in got)
 
 
+def test_quality_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, ("fine words in a row " if i % 2 else "BAD!!! $$$ ") * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    rated = quality.score(docs, quality.fit(docs, labels, sample=40)).collect()
+    assert [r._keep for r in sorted(rated, key=lambda r: r.doc_id)] == [i % 2 == 1 for i in range(40)]
+
+
 def test_gradient():
     rnd = np.random.default_rng(0)
     s, y, cuts = rnd.standard_normal(20), rnd.integers(0, 3, 20), np.array([-0.5, 0.7])
