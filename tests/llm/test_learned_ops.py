@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from brute import cut_repeats, in_order, near_groups, nearest
-from conftest import ODD
+from odd_rows import ODD
 
 from ledgerlake.llm import ann, components, decontaminate, html_main, near_dedup, quality, registry, substring_dedup
 

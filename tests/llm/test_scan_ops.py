@@ -3,7 +3,7 @@ import re
 
 import public_tokenizers
 from brute import crc, license_row, pii_base
-from conftest import ODD
+from odd_rows import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
