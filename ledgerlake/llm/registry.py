@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import ann, decontaminate, html_main, license_scan, near_dedup, packing, pii, quality, substring_dedup, token_store
+from ledgerlake.llm import ann, decontaminate, html_main, license_scan, near_dedup, online_packing, packing, pii, quality, substring_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,14 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ann, op2_license_scan, op3_decontamination, op4_quality, op5_token_orc, op6_near_dedup, op7_pii,
-              op8_substring_dedup, op9_packing, op10_html_main)
+              op8_substring_dedup, op9_packing, op10_html_main, op13_online_packing)
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
