@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, decontaminate, html_main, license_scan, near_dedup, online_packing, packing, pii, quality, substring_dedup, token_store
+from ledgerlake.llm import ann, decontaminate, hard_negatives, html_main, license_scan, near_dedup, online_packing, packing, pii, quality, substring_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,12 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(vectors.withColumn("label", label)), F.col("vec_id") % 50 == 0)
+
+
 def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack(documents(spark, sf_dir))
 
@@ -65,10 +72,11 @@ def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ann, op2_license_scan, op3_decontamination, op4_quality, op5_token_orc, op6_near_dedup, op7_pii,
-              op8_substring_dedup, op9_packing, op10_html_main, op13_online_packing)
+              op8_substring_dedup, op9_packing, op10_html_main, op11_hard_negatives, op13_online_packing)
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op6_near_dedup": near_dedup.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
 }
