@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann, decontaminate, hard_negatives, html_main, license_scan, near_dedup, online_packing, packing, pii, quality, substring_dedup, token_store
+from ledgerlake.llm import ann, decontaminate, hard_negatives, html_main, license_scan, near_dedup, online_packing, packing, pii, prefix_trie, quality, substring_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.quantised(vectors.withColumn("label", label)), F.col("vec_id") % 50 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack(documents(spark, sf_dir))
 
@@ -72,11 +76,12 @@ def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_ann, op2_license_scan, op3_decontamination, op4_quality, op5_token_orc, op6_near_dedup, op7_pii,
-              op8_substring_dedup, op9_packing, op10_html_main, op11_hard_negatives, op13_online_packing)
+              op8_substring_dedup, op9_packing, op10_html_main, op11_hard_negatives, op12_prefix_trie, op13_online_packing)
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op6_near_dedup": near_dedup.oracle(),
     "op8_substring_dedup": substring_dedup.oracle(),
     "op11_hard_negatives": hard_negatives.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
 }
