@@ -1,14 +1,14 @@
 """Payee -> category: ordered keyword rules (first match wins), classifier fallback, learning.
 
-The rule match is an equi-join at any size of the rules table: every distinct payee is cut into its
-substrings of the lengths that rules have, which are joined with the lower-cased keywords; the
-match with the smallest (priority, keyword) wins and is joined back by payee. A caller that holds
-a short list of rules may ask for strategy='inline', a CASE chain without a join.
-Blank or missing payees get 'SIP' and never reach rules, classifier or a join.
+A short list of rules is a CASE chain in the plan. A longer one is an equi-join: every distinct payee
+is cut into its substrings of the lengths that rules have, which are joined with the lower-cased
+keywords; the match with the smallest (priority, keyword) wins and is joined back by payee.
+Blank or missing payees get 'SIP' and never reach rules or classifier.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +30,47 @@ def _inline_match(payee_lower: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", out_col: str = "category",
-                  strategy: str = "join") -> DataFrame:
-    """Adds out_col: 'SIP' for a blank payee, else the first matching rule's category, else null."""
-    payee = strip(F.col(payee_col))
-    if strategy == "inline":
-        ordered = rules.orderBy("priority", "keyword").select("category", "keyword").collect()
-        pl = F.col("__pl")
-        match = _inline_match(pl, [(r[0], r[1]) for r in ordered]) if ordered else F.lit(None).cast("string")
-        return (df.withColumn("__pl", F.lower(payee))
-                .withColumn(out_col, F.when(pl.isNull() | (pl == ""), F.lit(MISSING_PAYEE_CATEGORY)).otherwise(match))
-                .drop("__pl"))
-    keyed = df.withColumn("__payee", F.lower(payee))
-    blank = F.col("__payee").isNull() | (F.col("__payee") == "")
+#: A list of at most so many rules is written into the plan; a longer one is joined.
+INLINE_RULES = 64
+SALTS = 1024
+
+
+def _first_match(payees: DataFrame, rules: DataFrame) -> DataFrame:
+    """__payee, __cat: for every distinct payee (lower case) that a rule matches, the first rule's category."""
     words = rules.filter("keyword is not null").select(F.lower("keyword").alias("__part"), "category", "priority", "keyword")
     lengths = words.agg(F.collect_set(F.length("__part")).alias("n")).scalar()
     last = F.length("__payee") - F.col("__n") + 1
     places = F.when(F.col("__n") == 0, F.array(F.lit(1))).when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-    parts = (keyed.filter(~blank).select("__payee").distinct().withColumn("__n", F.explode(lengths))
-             .withColumn("__i", F.explode(places))
-             .select("__payee", F.substring("__payee", F.col("__i"), F.col("__n")).alias("__part")))
-    best = parts.join(words, "__part").groupBy("__payee").agg(F.min_by("category", _order_key()).alias("__cat"))
-    ruled = keyed.filter(~blank).join(best, "__payee", "left").select(*df.columns, F.col("__cat").alias(out_col))
-    return ruled.unionByName(keyed.filter(blank).select(*df.columns, F.lit(MISSING_PAYEE_CATEGORY).alias(out_col)))
+    parts = (payees.distinct().withColumn("__n", F.explode(lengths)).withColumn("__i", F.explode(places))
+             .select("__payee", F.substring("__payee", F.col("__i"), F.col("__n")).alias("__part")).distinct())
+    return parts.join(words, "__part").groupBy("__payee").agg(F.min_by("category", _order_key()).alias("__cat"))
+
+
+def rule_category(df: DataFrame, rules: DataFrame, payee_col: str = "paid_to", out_col: str = "category",
+                  strategy: str = "auto") -> DataFrame:
+    """Adds out_col: 'SIP' for a blank payee, else the first matching rule's category, else null.
+
+    strategy 'inline' writes the rules as a CASE chain into the plan (one pass, no shuffle), 'join'
+    meets distinct payees and rules in an equi-join and joins the result back once; 'auto' takes
+    at most INLINE_RULES + 1 rules to the driver and inlines them if there are no more."""
+    payee = F.lower(strip(F.col(payee_col)))
+    blank = F.col("__payee").isNull() | (F.col("__payee") == "")
+    out = lambda match: F.when(blank, F.lit(MISSING_PAYEE_CATEGORY)).otherwise(match)
+    if strategy != "join":
+        some = rules.filter("keyword is not null").select("category", "keyword", "priority")
+        found = (some.limit(INLINE_RULES + 1) if strategy == "auto" else some).collect()
+        if strategy == "inline" or len(found) <= INLINE_RULES:
+            ordered = sorted(found, key=lambda r: (r.priority, r.keyword))
+            match = _inline_match(F.col("__payee"), [(r.category, r.keyword) for r in ordered]) if ordered else F.lit(None).cast("string")
+            return df.withColumn("__payee", payee).withColumn(out_col, out(match)).drop("__payee")
+    # Read twice: for its distinct payees and for the join back. Blank payees get keys of their own,
+    # spread over SALTS, so that they match nothing and don't meet in one task.
+    keyed = df.withColumn("__payee", payee).persist(StorageLevel.MEMORY_AND_DISK)
+    best = _first_match(keyed.filter(~blank).select("__payee"), rules)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]), F.lit(SALTS)).cast("string")
+    left = keyed.withColumn("__key", F.when(blank, F.concat(F.lit("\x00"), salt)).otherwise(F.col("__payee")))
+    joined = left.join(best.withColumnRenamed("__payee", "__key"), "__key", "left")
+    return joined.withColumn(out_col, out(F.col("__cat"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out_col], out_col)
 
 
 # ---------------------------------------------------------------- classifier (fallback)
@@ -144,6 +162,7 @@ def categorise(df: DataFrame, rules: DataFrame, classifier: PayeeClassifier | No
     ruled = rule_category(df, rules, payee_col)
     if classifier is None:
         return ruled, rules.limit(0)
+    ruled = ruled.persist(StorageLevel.MEMORY_AND_DISK)  # read for what to learn and for the result
     unmatched = ruled.filter(F.col("category").isNull())
     learned = learned_rules(unmatched, rules, classifier, payee_col, batch_id)
     lk = learned.select(F.col("keyword").alias("__k"), F.col("category").alias("__c"))

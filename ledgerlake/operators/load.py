@@ -8,6 +8,7 @@ fingerprint, whose values are uniformly spread.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,6 +120,8 @@ def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "h
     """
     spark = batch.sparkSession
     stored = stored_batches(spark, table_path, batch.schema)
+    if stored is not None and date_in_key:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read for its months and for its rows
     fresh = batch
     if stored is not None:
         stored = stored.filter(F.col("batch_id") != F.lit(batch_id))
@@ -131,4 +134,5 @@ def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "h
         "month", F.date_format(F.col(month_col), "yyyy-MM"))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "month").parquet(table_path))
+    batch.unpersist()
     return stored_batches(spark, table_path, batch.schema).filter(F.col("batch_id") == F.lit(batch_id))

@@ -94,10 +94,12 @@ def typed(raw: DataFrame) -> DataFrame:
 
 def balance_delta(df: DataFrame, doc: list[str] | None = None, block: str = "page_no",
                   order: list[str] | None = None, balance: str = "balance",
-                  printed: str = "amount_printed") -> DataFrame:
+                  printed: str = "amount_printed", reason: bool = False) -> DataFrame:
     """txn_type/amount from the running balance: the first row of a document is a Debit of its
     printed amount; later rows compare with the previous row's balance (down = Debit,
-    up = Credit, equal or a balance missing = null). A balance of 0 is a value."""
+    up = Credit, equal or a balance missing = null). A balance of 0 is a value. With `reason`, a
+    column says which of the values that a row needs is missing: balance, amount (the printed one
+    of a first row) or previous (the balance before it); null if none is."""
     doc = doc or ["doc_id"]
     order = order or ["txn_no"]
     x = prev_in_order(df, doc, block, order, balance, "__prev", "__first")
@@ -107,7 +109,11 @@ def balance_delta(df: DataFrame, doc: list[str] | None = None, block: str = "pag
          .when(delta < 0, F.lit("Debit")).when(delta > 0, F.lit("Credit")))
     amt = (F.when(first, F.when(F.col(printed) != 0, F.col(printed)))
            .when(delta != 0, F.abs(delta)))
-    return x.withColumn("txn_type", t).withColumn("amount", amt.cast("decimal(18,2)")).drop("__prev", "__first")
+    out = x.withColumn("txn_type", t).withColumn("amount", amt.cast("decimal(18,2)"))
+    if reason:
+        out = out.withColumn("reason", F.when(F.col(balance).isNull(), "balance").when(first & F.col(printed).isNull(), "amount")
+                             .when(~first & F.col("__prev").isNull(), "previous"))
+    return out.drop("__prev", "__first")
 
 
 def clean_narration(n: Column) -> Column:
@@ -141,3 +147,15 @@ def to_records(txns: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def extract_statements(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """lines -> typed transactions with type, amount and payee, and the raw columns named in extra."""
     return to_records(balance_delta(typed(assemble(lines))), extra)
+
+
+RAW_TEXTS = ("date_text", "amount_text", "balance_text", "narration")
+
+
+def routed_records(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """extract_statements' rows with their raw texts and a status: 'good', or what could not be read
+    (date, balance, amount, previous). A row set aside for its date still gives its balance to the
+    row after it; after an unreadable balance the next amount is unknown ('previous')."""
+    x = balance_delta(typed(assemble(lines)), reason=True)
+    status = F.coalesce(F.when(F.col("txn_date").isNull(), "date"), F.col("reason"), F.lit("good"))
+    return to_records(x.withColumn("status", status), ("status", *RAW_TEXTS, *extra))

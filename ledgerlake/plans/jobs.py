@@ -17,8 +17,8 @@ from ledgerlake.operators import categorise as C
 from ledgerlake.operators import load as L
 from ledgerlake.operators import parse_mail as PM
 from ledgerlake.plans.sample_rules import PART_RULES
-from ledgerlake.session import table
-from ledgerlake.sources.rules import rules_frame
+from ledgerlake.session import spread, table
+from ledgerlake.sources.rules import commit_rules, rules_before, rules_frame
 
 # Invented budgets over the invented part rules (see plans.sample_rules).
 FLAG_TARGETS = {"Eating": 5_000_000, "Fuel": 5_000_000, "Home": 5_000_000, "Fun": 2_000_000, "Empty": 0}
@@ -29,7 +29,7 @@ FLAG_GROSS = ("Eating",)
 
 def line_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part as card transactions: returned lines are credits, accepted ones unknown."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part")
     return li.join(part, li.l_partkey == part.p_partkey, "inner").select(
         (li.l_orderkey * 100 + li.l_linenumber).alias("txn_id"),
@@ -58,6 +58,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.budget_vs_actual(records, budgets, bmap)
 
 
+def categorise_and_learn(records: DataFrame, rules: DataFrame, base: str, batch_id: str, learner) -> tuple[DataFrame, DataFrame | None]:
+    """(categorised records, the rules to commit after the batch is stored, None without a learner).
+
+    A batch starts from the version of base/rules that was current before it (`rules` before the
+    first), payees that no rule matches are labelled by learner().fit(rules), and their labels are
+    rules of the next version."""
+    if learner is None:
+        return C.categorise(records, rules)[0], None
+    known = rules_before(records.sparkSession, f"{base}/rules", batch_id)
+    rules = rules if known is None else known
+    out, learned = C.categorise(records, rules, learner().fit(rules), batch_id=batch_id)
+    return out, C.merge_rules(rules, learned)
+
+
 def ingest_statement_lines(lines: DataFrame, rules: DataFrame, classifier=None) -> tuple[DataFrame, DataFrame]:
     """Statement lines -> (unique categorised records, quarantined pages).
 
@@ -70,18 +84,23 @@ def ingest_statement_lines(lines: DataFrame, rules: DataFrame, classifier=None)
 
     good, bad = good_and_bad_pages(lines)
     recs = S.extract_statements(good, ("doc_id", "page_no", "txn_no"))
-    cat, _ = C.categorise(recs, rules, classifier)
+    return _statement_records(C.categorise(recs, rules, classifier)[0]), bad
+
+
+def _statement_records(cat: DataFrame) -> DataFrame:
     fp = L.add_fingerprint(cat.withColumn("ingest_seq", F.struct("doc_id", "page_no", "txn_no")))
     cols = ["hashcode", "ingest_seq", "source", "source_id", "amount", "paid_to", "txn_type", "reference_no",
             "txn_date", "category"]
-    return L.first_copy(fp.select(*cols), "hashcode", "ingest_seq"), bad
+    return L.first_copy(fp.select(*cols), "hashcode", "ingest_seq")
 
 
-def run_mail_batch(mails_raw: DataFrame, rules: DataFrame, base: str, batch_id: str, day=None) -> DataFrame:
+def run_mail_batch(mails_raw: DataFrame, rules: DataFrame, base: str, batch_id: str, day=None, learner=None) -> DataFrame:
     """One mail run, end to end: landed mail -> body -> text -> fields -> categories -> fingerprint,
     new rows appended to base/transactions, alerts without a readable amount or date written to
-    base/quarantine with the reason, and base/counts per batch. A repeated run of a batch replaces
-    what it wrote. Returns the batch's counts (batch_id, status, n)."""
+    base/quarantine with the reason, and base/counts per batch. With a learner (a classifier class,
+    as C.PayeeClassifier), the rules are kept in versions under base/rules and `rules` is where they
+    begin. A repeated run of a batch replaces what it wrote. Returns the batch's counts (batch_id,
+    status, n)."""
     from ledgerlake.sources import mail as M
 
     spark = mails_raw.sparkSession
@@ -98,10 +117,12 @@ def run_mail_batch(mails_raw: DataFrame, rules: DataFrame, base: str, batch_id:
 
     good, bad = PM.split_valid(own(parsed, "parsed").drop("batch_id"))  # mails are read and parsed once
     quarantined = own(bad.select("mail_id", "received_at", "text", "reason"), "quarantine")
-    cat, _ = C.categorise(good, rules)
+    cat, learned = categorise_and_learn(good, rules, base, batch_id, learner)
     rec = L.add_fingerprint(cat.withColumn("ingest_seq", F.col("mail_id"))).select(
         "hashcode", "ingest_seq", "amount", "paid_to", "txn_type", "reference_no", "txn_date", "category")
     new = L.append_batch(rec, f"{base}/transactions", batch_id)
+    if learned is not None:
+        commit_rules(learned, f"{base}/rules", batch_id)
     counts = (new.agg(F.count("*").alias("inserted")).join(good.agg(F.count("*").alias("read")))
               .join(quarantined.agg(F.count("*").alias("quarantined")))
               .select("inserted", (F.col("read") - F.col("inserted")).alias("duplicate"), "quarantined")
@@ -109,12 +130,37 @@ def run_mail_batch(mails_raw: DataFrame, rules: DataFrame, base: str, batch_id:
     return own(counts, "counts")
 
 
-def load_statements(lines: DataFrame, rules: DataFrame, base: str, batch_id: str) -> DataFrame:
-    """Statement lines -> base/transactions; pages that did not decode -> base/quarantine_pages."""
-    records, bad = ingest_statement_lines(lines, rules)
-    (bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(f"{base}/quarantine_pages"))
-    return L.append_batch(records.drop("ingest_seq").withColumn("ingest_seq", F.col("source_id")), f"{base}/transactions", batch_id)
+def load_statements(lines: DataFrame, rules: DataFrame, base: str, batch_id: str, learner=None) -> DataFrame:
+    """Statement lines -> base/transactions. What can't be loaded is set aside: pages that did not
+    decode in base/quarantine_pages, and every assembled row in base/rows under its status, 'good' or
+    what could not be read (see statement.routed_records); good rows go on from there. With a
+    learner, the rules are kept under base/rules as in run_mail_batch. Returns the rows written."""
+    from ledgerlake.operators import statement as S
+    from ledgerlake.sources.statement import good_and_bad_pages
+
+    def keep(df: DataFrame, part: str, *by: str) -> DataFrame:
+        (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", *by).parquet(f"{base}/{part}"))
+        schema = T.StructType([*[f for f in df.schema if f.name not in by], T.StructField("batch_id", T.StringType()),
+                               *[f for f in df.schema if f.name in by]])
+        return df.sparkSession.read.schema(schema).parquet(f"{base}/{part}").filter(F.col("batch_id") == batch_id)
+
+    pages, bad = good_and_bad_pages(lines)
+    keep(bad, "quarantine_pages")
+    rows = keep(S.routed_records(pages, ("doc_id", "page_no", "txn_no")), "rows", "status")  # routed and written in one pass
+    good = rows.filter("status = 'good'").drop("batch_id", "status", *S.RAW_TEXTS)
+    cat, learned = categorise_and_learn(good, rules, base, batch_id, learner)
+    records = _statement_records(cat).drop("ingest_seq").withColumn("ingest_seq", F.col("source_id"))
+    new = L.append_batch(records, f"{base}/transactions", batch_id)
+    if learned is not None:
+        commit_rules(learned, f"{base}/rules", batch_id)
+    return new
+
+
+def statement_counts(spark: SparkSession, base: str) -> DataFrame:
+    """batch_id, status, n: the rows of every batch by what became of them."""
+    t = spark.read.schema("batch_id string, status string").parquet(f"{base}/rows")
+    return t.groupBy("batch_id", "status").agg(F.count("*").alias("n"))
 
 
 def ingest_mail(mails_raw: DataFrame, rules: DataFrame, day=None, classifier=None) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from ledgerlake.operators import load as L
 from ledgerlake.operators import parse_mail as PM
 from ledgerlake.plans.registry import register, sql_str
 from ledgerlake.plans.views import TRANSACTIONS_SQL, transactions, with_e
-from ledgerlake.session import table
+from ledgerlake.session import spread, table
 from ledgerlake.sources import mail as M
 from ledgerlake.sources.rules import CATEGORY_STRIDE, LEARNED_SLOT, read_rules, rules_frame, save_rules
 
@@ -34,7 +34,7 @@ NO_REF_PRIORITY = "5-LOW"  # alerts of these orders are rendered without the ref
 
 
 def _alerts(spark, sf, with_ref=None):
-    tx = transactions(spark, sf, extra=("o_orderpriority",))
+    tx = transactions(spark, sf, extra=("o_orderpriority",), dealt=True)
     cond = None if with_ref is None else (F.col("o_orderpriority") != F.lit(with_ref))
     return PM.render_alert(tx, cond)
 
@@ -138,7 +138,7 @@ def mime_payloads(pages: DataFrame) -> DataFrame:
 
 @register("mime_body", "SELECT page_id, html AS body FROM pages")
 def q_mime_body(spark, sf):
-    return M.mime_body(mime_payloads(table(spark, sf, "pages"))).select(
+    return M.mime_body(mime_payloads(spread(table(spark, sf, "pages")))).select(
         F.col("mail_id").alias("page_id"), "body")
 
 
@@ -155,7 +155,7 @@ def _html_lines_sql(x: str) -> str:
 
 @register("html_lines", f"SELECT page_id, {_html_lines_sql('html')} AS text FROM pages")
 def q_html_lines(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_text_lines(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", html_text_lines(F.col("html")).alias("text"))
 
 
 # ---------------------------------------------------------------- rules
@@ -271,7 +271,7 @@ SELECT doc_id, hashcode FROM (
   SELECT doc_id, sha256(text) AS hashcode, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn
   FROM documents) WHERE rn = 1""")
 def q_dedup_first(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("hashcode"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.sha2(F.col("text"), 256).alias("hashcode"))
     return L.first_copy(docs, "hashcode", "doc_id").select("doc_id", "hashcode")
 
 

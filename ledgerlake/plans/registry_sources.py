@@ -252,3 +252,76 @@ def q_mail_ingest_counts(spark, sf):
     mails, rules = _landed_payloads(spark, sf), rules_frame(spark, PART_RULES)
     outs = [run_mail_batch(mails.filter(F.col("mail_id") % 4 >= k), rules, base, batch) for k, batch in enumerate(("20240101", "20240102"))]
     return outs[0].unionByName(outs[1]).select("batch_id", "status", "n")
+
+
+# ---------------------------------------------------------------- S5: statement rows set aside one by one
+def _spoilt_lines(spark, sf) -> DataFrame:
+    """Statement lines of which every 41st row has a bad date, every 43rd a bad balance, every 47th a bad amount."""
+    line = F.col("line")
+    i = F.when(line.rlike(r"^\d\d/\d\d/\d\d "), F.regexp_extract(line, r" (\d{16}) ", 1).try_cast("long"))
+    spoilt = F.when(i % 41 == 0, F.concat(F.lit("99"), F.substring(line, 3, 1 << 30))).otherwise(line)
+    spoilt = F.when(i % 43 == 0, F.regexp_replace(spoilt, " [^ ]+$", " 1.2.3")).otherwise(spoilt)
+    spoilt = F.when(i % 47 == 0, F.regexp_replace(spoilt, " [^ ]+( [^ ]+)$", " -$1")).otherwise(spoilt)
+    return statement_lines(table(spark, sf, "events")).withColumn("line", spoilt)
+
+
+@register("statement_quarantine", """
+WITH x AS (SELECT event_id, row_number() OVER w AS rn, lag(event_id) OVER w AS before FROM events
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT unnest(['20240101', '20240102']) AS batch_id)
+SELECT batch_id, CASE WHEN event_id % 41 = 0 THEN 'date' WHEN event_id % 43 = 0 THEN 'balance'
+                      WHEN rn = 1 AND event_id % 47 = 0 THEN 'amount' WHEN rn > 1 AND before % 43 = 0 THEN 'previous' ELSE 'good' END AS status,
+       count(*) AS n FROM x CROSS JOIN b GROUP BY ALL""")
+def q_statement_quarantine(spark, sf):
+    """Rows of two statement batches by what became of them; the second batch is loaded twice."""
+    from ledgerlake.plans.jobs import load_statements, statement_counts
+    from ledgerlake.sources.rules import rules_frame
+
+    base = run_dir(spark, "statement_quarantine")
+    lines, rules = _spoilt_lines(spark, sf), rules_frame(spark, PART_RULES)
+    for batch in ("20240101", "20240102", "20240102"):
+        load_statements(lines, rules, base, batch)
+    return statement_counts(spark, base)
+
+
+# ---------------------------------------------------------------- S7, C3: rules learned and kept by the mail run
+def _landed(alerts: DataFrame) -> DataFrame:
+    """Alert texts as landed mail: HTML in a MIME tree."""
+    from ledgerlake.plans.registry_ingest import _b64url
+
+    html = F.concat(F.lit("<html><body><p>INR &#8377; debit transaction</p><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"))
+    tree = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":[{"mimeType":"text/html","body":{"data":"'), _b64url(html), F.lit('"}}]}'))
+    return alerts.select("mail_id", F.lit("alerts@mybank.example").alias("sender"), "received_at", tree.alias("payload"))
+
+
+def _mail_learns_oracle() -> str:
+    from ledgerlake.plans.registry_ingest import _LEARNED_PRIORITY, _learned_sql
+
+    return _learned_sql() + f""",
+m AS (SELECT category, keyword, priority FROM rules
+      UNION ALL SELECT category, keyword, {_LEARNED_PRIORITY} FROM learned l WHERE keyword NOT IN (SELECT keyword FROM rules)),
+o AS (SELECT p_partkey, lower(p_name) AS x FROM part),
+f AS (SELECT p_partkey, x, (SELECT arg_min(category, priority) FROM rules WHERE contains(x, lower(keyword))) AS first,
+             (SELECT arg_min(category, (priority, keyword)) FROM m WHERE contains(x, lower(keyword))) AS later FROM o)
+SELECT CAST(p_partkey AS VARCHAR) AS reference_no, x AS paid_to,
+       CASE WHEN p_partkey % 2 = 0 THEN coalesce(first, (SELECT category FROM learned WHERE keyword = x)) ELSE later END AS category
+FROM f"""
+
+
+@register("mail_learns", _mail_learns_oracle())
+def q_mail_learns(spark, sf):
+    """Two mail batches of one alert per part, the second run twice: what the first one's classifier
+    labels is a rule of the second, and the rules table has a version per batch."""
+    from ledgerlake.operators.categorise import PayeeClassifier
+    from ledgerlake.operators.parse_mail import render_alert
+    from ledgerlake.plans.jobs import run_mail_batch
+    from ledgerlake.sources.rules import rules_frame
+
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("txn_id"), F.col("p_retailprice").cast("decimal(18,2)").alias("amount"), F.lower("p_name").alias("paid_to"),
+        F.lit(dt.date(2024, 1, 1)).alias("txn_date"), F.lit("Debit").alias("txn_type"))
+    base = run_dir(spark, "mail_learns")
+    mails = _landed(render_alert(part))
+    for batch, odd in (("20240101", 0), ("20240102", 1), ("20240102", 1)):
+        run_mail_batch(mails.filter(F.col("mail_id") % 2 == odd), rules_frame(spark, PART_RULES), base, batch, learner=PayeeClassifier)
+    return spark.read.parquet(f"{base}/transactions").select("reference_no", "paid_to", "category")

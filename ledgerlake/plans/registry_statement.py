@@ -109,7 +109,7 @@ SELECT txn_id,
                WHEN '5-LOW' THEN 'IMPS ' || paid_to ELSE paid_to END AS paid_to
 FROM x"""))
 def q_narration_payee(spark, sf):
-    tx = transactions(spark, sf, extra=("o_orderpriority",))
+    tx = transactions(spark, sf, extra=("o_orderpriority",), dealt=True)
     n = _narration(F.col("o_orderpriority"), F.col("paid_to"), F.col("txn_id"))
     return tx.select("txn_id", n.alias("narration")).withColumn("paid_to", S.clean_narration(F.col("narration")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import MONEY
-from ledgerlake.session import table
+from ledgerlake.session import spread, table
 
 TXN_COLUMNS = ["txn_id", "amount", "paid_to", "txn_date", "category", "txn_type"]
 
@@ -20,9 +20,12 @@ def status_to_type(c) -> F.Column:
     return F.when(c == "F", "Debit").when(c == "O", "Credit").otherwise("Unknown")
 
 
-def transactions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """View E; `extra` names further orders/customer columns to carry along."""
+def transactions(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """View E; `extra` names further orders/customer columns to carry along; `dealt` spreads a small
+    orders table over all cores, ahead of work on texts."""
     orders = table(spark, sf_dir, "orders")
+    if dealt:
+        orders = spread(orders)
     customer = table(spark, sf_dir, "customer")
     # Equi-join on the customer key; the planner broadcasts customer only while its
     # measured size is under spark.sql.autoBroadcastJoinThreshold, else sort-merges.

@@ -70,3 +70,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, asked of its own file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for row-wise text work (regexes, decoding, hashing).
+
+    A scan is cut by bytes, so a table of less than one scan partition per core leaves cores idle
+    however much work a row is; dealing it costs a shuffle of at most that many bytes. A larger
+    table has a partition for every core already and is returned as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    full = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * full else df

@@ -69,3 +69,48 @@ def save_rules(rules: DataFrame, path: str, batch_id: str) -> None:
     (rules.withColumn("batch_id", F.lit(batch_id))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(path))
+
+
+# ---------------------------------------------------------------- versions kept by the landing jobs
+def _commits(spark: SparkSession, base: str):
+    """(number, batch_id) of every committed version, ascending: one small file each."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_commits")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if n[:1].isdigit())
+
+
+def rules_before(spark: SparkSession, base: str, batch_id: str) -> DataFrame | None:
+    """The rules that `batch_id` starts from: the latest version that was committed before its own.
+    A retried batch so reads what its first run read. None before the first version."""
+    done = _commits(spark, base)
+    own = next((n for n, b in done if b == batch_id), None)
+    earlier = [n for n, _ in done if own is None or n < own]
+    return spark.read.schema(RULES_SCHEMA).parquet(f"{base}/version={earlier[-1]}") if earlier else None
+
+
+def current_rules(spark: SparkSession, base: str) -> DataFrame | None:
+    """The latest committed version."""
+    done = _commits(spark, base)
+    return spark.read.schema(RULES_SCHEMA).parquet(f"{base}/version={done[-1][0]}") if done else None
+
+
+def commit_rules(rules: DataFrame, base: str, batch_id: str) -> int:
+    """Writes the next version and then names it in one file, which makes it current. Readers see the
+    old version or the new one, never a part; a batch that has a version already keeps it. Batches
+    of one table are run one after the other: of two that name one number, the second fails."""
+    spark = rules.sparkSession
+    done = _commits(spark, base)
+    own = next((n for n, b in done if b == batch_id), None)
+    if own is not None:
+        return own
+    number = done[-1][0] + 1 if done else 1
+    rules.select("category", "keyword", "priority", "source", "batch_id").write.mode("overwrite").parquet(f"{base}/version={number}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_commits/{number}-{batch_id}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(n == number for n, _ in _commits(spark, base)):
+        raise RuntimeError(f"version {number} of {base} was committed by another batch")
+    fs.create(path, False).close()
+    return number

@@ -74,3 +74,70 @@ def test_ingest_landed_mail(spark):
     assert (r.amount, r.paid_to, r.txn_type, r.reference_no, r.txn_date, r.category) == (
         Decimal("1234.50"), "PIZZA CORNER", "Debit", "123456", dt.date(2026, 2, 9), "Food")
     assert r.ingest_seq == 1
+
+
+def _mails(spark, payees, first_id=1):
+    import base64
+    import json
+
+    rows = []
+    for k, p in enumerate(payees):
+        html = (f"<html><body><p>Rs.{k + 1}.00 has been debited from account to VPA shop@okbank {p} on 09-02-26.</p>"
+                f"<p>Your UPI transaction reference number is {first_id + k}.</p></body></html>")
+        tree = {"mimeType": "text/html", "body": {"data": base64.urlsafe_b64encode(html.encode()).decode().rstrip("=")}}
+        rows.append((first_id + k, "alerts@mybank.example", dt.datetime(2026, 2, 9, 8), json.dumps(tree)))
+    return spark.createDataFrame(rows, "mail_id long, sender string, received_at timestamp, payload string")
+
+
+def test_a_batch_learns_for_the_next_and_a_retry_leaves_one_version(spark, tmpdir_path):
+    from ledgerlake.operators.categorise import PayeeClassifier
+    from ledgerlake.sources.rules import _commits, current_rules, rules_before
+
+    base = os.path.join(tmpdir_path, "run")
+    rules = rules_frame(spark, {"Food": ["pizza hut"], "Petrol": ["fuel station"]})
+
+    class Spy(PayeeClassifier):
+        asked = []
+
+        def predict(self, df, col, out_col="predicted"):
+            Spy.asked.append(sorted(r[0] for r in df.select(col).collect()))
+            return super().predict(df, col, out_col)
+
+    run = lambda mails, batch: J.run_mail_batch(mails, rules, base, batch, learner=Spy)
+    run(_mails(spark, ["PIZZA HUT", "pizza huts", "pizzeria", "fuels"]), "b1")
+    assert Spy.asked[-1] == ["fuels", "pizzeria"]
+    run(_mails(spark, ["PIZZERIA", "fuels", "stations"], 10), "b2")
+    assert Spy.asked[-1] == ["stations"]  # the others are matched by what the first batch learned
+    before = sorted(map(tuple, current_rules(spark, base + "/rules").collect()), key=str)
+    stored = spark.read.parquet(base + "/transactions").count()
+    for batch in ("b2", "b1"):
+        run(_mails(spark, ["PIZZERIA", "fuels", "stations"], 10) if batch == "b2" else _mails(spark, ["PIZZA HUT", "pizza huts", "pizzeria", "fuels"]), batch)
+    assert Spy.asked[-2:] == [["stations"], ["fuels", "pizzeria"]]  # a retry starts from the rules its first run had
+    assert [b for _, b in _commits(spark, base + "/rules")] == ["b1", "b2"]
+    assert sorted(map(tuple, current_rules(spark, base + "/rules").collect()), key=str) == before
+    assert spark.read.parquet(base + "/transactions").count() == stored == 7
+    got = {r.paid_to: r.category for r in spark.read.parquet(base + "/transactions").collect()}
+    assert got["PIZZERIA"] == got["pizzeria"] == "Food" and got["fuels"] == got["stations"] == "Petrol"
+    assert rules_before(spark, base + "/rules", "b1") is None and rules_before(spark, base + "/none", "x") is None
+
+
+def test_statement_rows_are_set_aside_one_by_one(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "run")
+    ref = "1234567890123456"
+    text = "\n".join([
+        f"01/02/26 UPI-A-h@ok {ref} 01/02/26 - 900.00",            # first row without a printed amount
+        f"99/02/26 UPI-B-h@ok {ref} 02/02/26 100.00 800.00",       # no date; its balance still counts
+        f"03/02/26 UPI-C-h@ok {ref} 03/02/26 100.00 700.00",
+        f"04/02/26 UPI-D-h@ok {ref} 04/02/26 100.00 1.2.3",        # no balance
+        f"05/02/26 UPI-E-h@ok {ref} 05/02/26 100.00 500.00",       # so this amount is unknown
+        f"06/02/26 UPI-F-h@ok {ref} 06/02/26 x 650.00"])
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    rules = rules_frame(spark, {"Food": ["c"]})
+    for _ in range(2):
+        J.load_statements(text_to_lines(docs), rules, base, "b1")
+    counts = {(r.batch_id, r.status): r.n for r in J.statement_counts(spark, base).collect()}
+    assert counts == {("b1", "amount"): 1, ("b1", "date"): 1, ("b1", "balance"): 1, ("b1", "previous"): 1, ("b1", "good"): 2}
+    got = sorted((r.paid_to, r.amount, r.txn_type) for r in spark.read.parquet(base + "/transactions").collect())
+    assert got == [("C", Decimal("100.00"), "Debit"), ("F", Decimal("150.00"), "Credit")]
+    aside = spark.read.parquet(base + "/rows").filter("status = 'balance'").first()
+    assert aside.narration.startswith("UPI-D") and aside.balance_text is None

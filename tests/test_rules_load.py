@@ -25,7 +25,7 @@ EXPECTED = ["Petrol", "Food", "SIP", "SIP", None, "Grocery", "Petrol"]
 
 
 def test_first_rule_wins_both_plans(spark):
-    for strategy in ("inline", "join"):
+    for strategy in ("auto", "inline", "join"):
         assert _run(spark, PAYEES, strategy) == dict(enumerate(EXPECTED)), strategy
 
 
@@ -132,3 +132,13 @@ def test_equal_key_and_order_count_once(spark):
     assert {r.status: r.n for r in L.load_counts(L.load_status(batch, stored, valid="ok")).collect()} == want
     assert {r.status: r.n for r in L.count_load(batch, stored, valid="ok").collect()} == want
     assert L.first_copy(batch).count() == 3
+
+
+def test_blank_payees_are_spread_and_the_input_is_scanned_once(spark):
+    """The join's blank payees don't share a key; a short list of rules is one pass."""
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, concat('pizza ', id), ' ') as paid_to")
+    out = C.rule_category(df, rules_frame(spark, RULES), strategy="join")
+    assert {(r.category, r.n) for r in out.groupBy("category").agg(F.count("*").alias("n")).collect()} == {("Food", 1000), ("SIP", 2000)}
+    assert out.columns == ["id", "paid_to", "category"]
+    plan = C.rule_category(df, rules_frame(spark, RULES))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Range") == 1
