@@ -95,16 +95,49 @@ def read_transactions(spark, table_path: str) -> DataFrame:
     return t
 
 
-def stored_batches(spark: SparkSession, table_path: str, columns: T.StructType) -> DataFrame | None:
-    """The table written by append_batch, or None before the first batch. The schema is given and
-    not inferred: batch ids and months stay text whatever they look like."""
+def stored_batches(spark: SparkSession, table_path: str, columns: T.StructType,
+                   parts: tuple[str, ...] = ("batch_id", "month")) -> DataFrame | None:
+    """The table written by append_batch or append_by_prefix, or None before the first batch. The schema
+    is given and not inferred: batch ids, months and prefixes stay text whatever they look like."""
     if not path_exists(spark, table_path):
         return None
-    parts = ("batch_id", "month")
     fields = [f for f in columns.fields if f.name not in parts] + [T.StructField(c, T.StringType()) for c in parts]
     return spark.read.schema(T.StructType(fields)).parquet(table_path)
 
 
+#: Hex digits of the fingerprint that name a partition of append_by_prefix: 16 ** PREFIX folders.
+PREFIX = 1
+
+
+def append_by_prefix(batch: DataFrame, table_path: str, batch_id: str, key: str = "hashcode", order: str = "ingest_seq",
+                     month_col: str = "txn_date", prefix: int = PREFIX) -> DataFrame:
+    """append_batch for keys that no date bounds: the table is laid out by the first `prefix` hex digits
+    of the fingerprint, then by batch, with the month as a column, and its files have a Bloom filter
+    on the key. Only the prefixes that occur in the batch are read from the stored table (partition
+    pruning; their list is bounded by 16 ** prefix); for a batch of less rows than that, most of the
+    table is left alone. A retried batch replaces its own partitions. Returns the rows written."""
+    spark = batch.sparkSession
+    parts = ("prefix", "batch_id")
+    batch = batch.withColumn("prefix", F.substring(key, 1, prefix)).withColumn(
+        "month", F.date_format(F.col(month_col), "yyyy-MM")).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = stored_batches(spark, table_path, batch.schema, parts)
+    fresh = batch
+    if stored is not None:
+        prefixes = [r[0] for r in batch.select("prefix").distinct().collect()]
+        fresh = fresh.join(stored_keys(stored, key, prefixes, batch_id), key, "left_anti")
+    fresh = first_copy(fresh, key, order).withColumn("batch_id", F.lit(batch_id))
+    (fresh.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy(*parts).parquet(table_path))
+    out = stored_batches(spark, table_path, batch.schema, parts).filter(F.col("batch_id") == F.lit(batch_id))
+    batch.unpersist()
+    return out
+
+
+def stored_keys(stored: DataFrame, key: str, prefixes: list[str], batch_id: str) -> DataFrame:
+    """Keys of all other batches under the given prefixes."""
+    return stored.filter(F.col("prefix").isin(prefixes) & (F.col("batch_id") != F.lit(batch_id))).select(key)
+
+
 def append_batch(batch: DataFrame, table_path: str, batch_id: str, key: str = "hashcode",
                  order: str = "ingest_seq", month_col: str = "txn_date",
                  date_in_key: bool = True) -> DataFrame:

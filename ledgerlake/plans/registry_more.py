@@ -309,6 +309,19 @@ def q_stream_ingest_late(spark, sf):
     return t.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "amount")
 
 
+@register("stream_suppressed", """
+SELECT DISTINCT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS amount FROM events""")
+def q_stream_suppressed(spark, sf):
+    """The same files with repeats dropped by keyed state first: late rows still come once."""
+    from ledgerlake.streaming import ingest as ST
+
+    base = ST.run_dir(spark, "stream_suppressed")
+    _late_files(spark, sf, base)
+    ST.ingest_events(spark, f"{base}/landed", f"{base}/table", f"{base}/ckpt", "*.parquet", 1, suppress="1 hour")
+    t = spark.read.parquet(f"{base}/table")
+    return t.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "amount")
+
+
 @register("stream_month_type", """
 SELECT strftime(ts, '%Y-%m') AS month, event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total,
        count(*) AS n FROM events GROUP BY 1, 2""")

@@ -1,11 +1,12 @@
 """Incremental ingest with Structured Streaming.
 
 * ingest_events: file stream -> records + fingerprint -> foreachBatch(anti-join against the
-  stored table, first copy per key, append). Duplicates are found in the stored table and never
-  by a watermark, so a row is loaded however late it comes. Exactly once per file via the
-  checkpoint; a replayed micro-batch rewrites only its own batch partition (see
-  operators.load.append_batch), and a second run over the same files (even with a new
-  checkpoint) adds nothing. With totals_path, each micro-batch also writes the sums of the rows
+  stored table, first copy per key, append). Duplicates are found in the stored table, of which a
+  micro-batch reads only its keys' prefixes; with `suppress`, bounded state drops those that arrive
+  soon after the first. Neither goes by the row's own time, so a row is loaded however late it
+  comes. Exactly once per file via the checkpoint; a replayed micro-batch rewrites only its own
+  batch partition (see operators.load.append_by_prefix), and a second run over the same files (even
+  with a new checkpoint) adds nothing. With totals_path, each micro-batch also writes the sums of the rows
   it inserted by month and type: stored_totals() over them always equals the stored table.
 * daily_totals: windowed (1 day, tumbling) sums with a watermark, update mode, each
   micro-batch's changed rows appended under its run and epoch; readers take a run's latest
@@ -20,13 +21,14 @@ Event timestamps arrive as TIMESTAMP_NTZ; watermarks need TIMESTAMP, so they are
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import MONEY
-from ledgerlake.operators.load import add_fingerprint, append_batch
+from ledgerlake.operators.load import add_fingerprint, append_by_prefix
 from ledgerlake.session import shared_dir
 
 EVENT_KEYS = ["event_id", "user_id", "event_type", "amount"]
@@ -52,24 +54,49 @@ def _tag(path: str) -> str:
     return hashlib.sha1(path.encode()).hexdigest()[:12]
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def first_arrivals(records: DataFrame, within: str, key: str = "hashcode") -> DataFrame:
+    """Drops repeats of a key that arrive within `within` of its first arrival. The watermark is on the
+    time of arrival and not on the row's own time, so a row is never late, however old it is; the
+    state holds the keys of the last `within` only. It spares the stored table most look-ups, the
+    anti-join behind it decides. (Arrival is the cluster's clock: it must not go back by more than
+    `within` between two runs of one checkpoint.)"""
+    arrived = records.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", within)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("arrived_at")
+
+
 def ingest_events(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                   file_glob: str = "events*.parquet", max_files_per_trigger: int | None = None,
-                  totals_path: str | None = None) -> None:
-    """Run the ingest stream over everything available now, then stop."""
+                  totals_path: str | None = None, suppress: str | None = None) -> list[dict]:
+    """Run the ingest stream over everything available now, then stop. With `suppress` (an interval),
+    repeats that arrive within it are dropped by keyed state in RocksDB ahead of the stored table.
+    Returns the progress of each micro-batch."""
     recs = event_records(event_stream(spark, source_dir, file_glob, max_files_per_trigger))
+    if suppress:
+        recs = first_arrivals(recs, suppress)
     tag = _tag(checkpoint)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # the event key has no timestamp, so every stored month is searched for duplicates
-        new = append_batch(batch.withColumn("ingest_seq", F.col("event_id")), table_path, f"{tag}-{epoch}",
-                           order="ingest_seq", month_col="ts", date_in_key=False)
+        # the event key has no timestamp, so a duplicate may be stored in any month: looked up by prefix
+        new = append_by_prefix(batch.withColumn("ingest_seq", F.col("event_id")), table_path, f"{tag}-{epoch}", month_col="ts")
         if totals_path:
             (new.groupBy("batch_id", "month", "event_type").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(totals_path))
 
-    q = (recs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    if suppress:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = (recs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if suppress:
+            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return [json.loads(p.json) if not isinstance(p, dict) else p for p in q.recentProgress]
 
 
 def daily_totals(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
