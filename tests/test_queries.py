@@ -11,8 +11,9 @@ import __spark_entry__ as entry
 from ledgerlake.plans.catalog import ORACLE, QUERIES
 from tools.oracle_check import digest
 
-NESTED_LOOP_OK = {"learn_rules", "learn_two_batches", "mail_ingest", "mail_ingest_counts"}  # labels, one-row counts
-STREAMING = {"stream_ingest", "stream_ingest_late", "stream_month_type", "stream_daily_totals"}
+NESTED_LOOP_OK = {"learn_rules", "learn_two_batches", "mail_ingest", "mail_ingest_counts", "mail_learns"}  # labels, one-row counts
+STREAMING = {"stream_ingest", "stream_ingest_late", "stream_suppressed", "stream_month_type", "stream_daily_totals"}
+PYTHON_OK = {"chat_answers"}  # one matrix product per block of questions and documents
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,8 @@ def test_query_matches_oracle(spark, duck, key):
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - STREAMING))
 def test_plan_has_no_python_and_no_stray_nested_loops(spark, key):
     plan = QUERIES[key](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    if key in PYTHON_OK:
+        return
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     if key not in NESTED_LOOP_OK:
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
