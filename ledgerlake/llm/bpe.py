@@ -1,15 +1,7 @@
-"""Byte-level BPE of whole texts with the tokenizers library, once per distinct piece.
-
-The vocabulary's pre-tokenizer never joins text across a space that follows a character other
-than white space, so a text can be cut before such spaces and the pieces encoded apart. Each
-worker keeps the ids of the pieces it has met (at most MEMO, then it starts anew), so common
-words are encoded once and not once per place. A test holds this against whole-text encoding.
-"""
+"""The byte-level vocabulary, and batches cut by bytes (piece_ids encodes)."""
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,69 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 600_000
-SPACE = re.compile(r"\s")
-RUN = re.compile(r"\s ")
-CUT = re.compile(r"(?<=\S) ")
 WIDTH = 4  # bytes of an id, little-endian
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        line = self.ids_of(["\n"])[0]
-        self.line = line[0] if len(line) == 1 else None
-
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: dict[str, str]) -> None:
-        """Fills the memo for new, texts by key. Texts that hold no white space but a leading space
-        are encoded as lines of one text: a line end is a token of its own between them."""
-        joint = {k: t for k, t in new.items() if t.strip(" ") and not SPACE.search(t, 1)} if self.line is not None else {}
-        if joint:
-            ids = np.asarray(self.ids_of(["\n".join(joint.values())])[0], dtype="<u4")
-            cut = np.flatnonzero(ids == self.line)
-            if len(cut) == len(joint) - 1:
-                raw, ends = ids.tobytes(), [-1, *cut.tolist(), len(ids)]
-                for k, key in enumerate(joint):
-                    self.memo[key] = raw[WIDTH * (ends[k] + 1) : WIDTH * ends[k + 1]]
-            else:
-                joint = {}
-        rest = {k: t for k, t in new.items() if k not in joint}
-        for key, ids in zip(rest, self.ids_of(list(rest.values())), strict=True):
-            self.memo[key] = np.asarray(ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        head, *tail = CUT.split(text) if RUN.search(text) else text.split(" ")
-        first = "\0" + head  # apart from the same piece after a space
-        memo = self.memo
-        found = [memo.get(first), *map(memo.get, tail)]
-        if None in found:
-            new = {p: " " + p for p, ids in zip(tail, found[1:], strict=True) if ids is None}
-            if len(memo) + len(new) >= MEMO:
-                memo.clear()
-                new = {p: " " + p for p in tail}
-            self.learn({first: head, **new})
-            found = [memo[first], *map(memo.__getitem__, tail)]
-        return b"".join(found)
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def vocabulary(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import WIDTH, encoder, slices, vocabulary
+from ledgerlake.llm.bpe import WIDTH, slices, vocabulary
+from ledgerlake.llm.piece_ids import byte_encoder
 from ledgerlake.llm.store import join_counted, stored
 
 SIZE, END = 2048, 0
@@ -41,13 +42,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, encoded = TaskContext.get().partitionId(), Counter(), encoder(where)
+        part, seen, encoded = TaskContext.get().partitionId(), Counter(), byte_encoder(where)
         names = ["part", "nth", "doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text"):
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = encoded(text or "") + tail
+            ids, starts, stops = encoded(b.column("text"))
+            ids = ids.astype("<u4")
+            for doc, first, last in zip(b.column("doc_id").to_pylist(), starts.tolist(), stops.tolist(), strict=True):
+                raw = ids[first:last].tobytes() + tail
                 for k, (s, n) in enumerate(cuts(len(raw) // WIDTH, size)):
                     rows.append((part, seen[n], doc, k, s, n, zlib.crc32(raw[s * WIDTH : (s + n) * WIDTH])))
                     seen[n] += 1

@@ -121,11 +121,91 @@ class WordEncoder:
         return ids, upto[ends - ends[0]]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+#: White space followed by a space, in RE2's terms: Python's \s.
+SPACE_RUN = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] ")
+CUT = re.compile(r"(?<=\S) ")
+SPACE = re.compile(r"\s")
+HEAD = "\0"  # marks a text's first piece, which no space stands before
 
 
-def word_encoder(path: str) -> WordEncoder:
+class ByteEncoder:
+    """A byte-level tokenizer whose splitter never joins text across a space that follows a character
+    other than white space: texts are cut before such spaces.
+
+    New pieces without white space but the leading space are encoded many to a text, as lines: a
+    line end is a token of its own between them. Others, and lines that don't add up, go one by one."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        line = self._ids(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else None
+        self.pieces = Pieces(self._encode)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+    def _encode(self, keys: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        texts = {k: k[1:] if k[:1] == HEAD else " " + k for k in keys}
+        plain = [k for k, t in texts.items() if t.strip(" ") and not SPACE.search(t, 1)] if self.line is not None else []
+        known = set(plain)
+        order, out, alone = [], [], [k for k in keys if k not in known]
+        for i in range(0, len(plain), LINE):
+            some = plain[i : i + LINE]
+            ids, _ = self._ids(["\n".join([texts[k] for k in some])])
+            cut = np.flatnonzero(ids == self.line)
+            if len(cut) == len(some) - 1:
+                order += some
+                out.append((np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1))
+            else:
+                alone += some
+        order += alone
+        out.append(self._ids([texts[k] for k in alone]))
+        return order, np.concatenate([a for a, _ in out]), np.concatenate([n for _, n in out])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, stops): text i's ids are ids[starts[i]:stops[i]]; null is empty."""
+        texts = pc.fill_null(texts, "")
+        runs = pc.match_substring_regex(texts, SPACE_RUN)
+        lists = [pc.split_pattern(texts.filter(pc.invert(runs)), " "),
+                 pa.array([CUT.split(t) for t in texts.filter(runs).to_pylist()], pa.list_(pa.string()))]
+        lists = pa.concat_arrays([x.cast(pa.list_(pa.string())) for x in lists])
+        order = np.argsort(runs.to_numpy(zero_copy_only=False), kind="stable")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        flat = lists.flatten()
+        codes = flat.dictionary_encode()
+        heads = [HEAD + h for h in flat.take(pa.array(ends[:-1])).to_pylist()]
+        words = codes.dictionary.to_pylist()
+        some = list(dict.fromkeys(heads))
+        rows = self.pieces.rows(words + some)
+        at = dict(zip(some, rows[len(words) :].tolist(), strict=True))
+        where = rows[codes.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        where[ends[:-1]] = [at[h] for h in heads]
+        ids, upto = self.pieces.gather(where)
+        upto = upto[ends]
+        starts, stops = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], stops[order] = upto[:-1], upto[1:]
+        return ids, starts, stops
+
+
+_ENCODERS: dict[tuple, WordEncoder | ByteEncoder] = {}
+
+
+def _kept(kind: type, path: str) -> WordEncoder | ByteEncoder:
     """One per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    return _ENCODERS[kind, path]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    return _kept(WordEncoder, path)
+
+
+def byte_encoder(path: str) -> ByteEncoder:
+    return _kept(ByteEncoder, path)

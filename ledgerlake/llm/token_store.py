@@ -15,11 +15,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import WIDTH, encoder, slices, vocabulary
+from ledgerlake.llm.bpe import WIDTH, slices, vocabulary
+from ledgerlake.llm.piece_ids import byte_encoder
 from ledgerlake.llm.store import shared
 
 END = 2
@@ -27,31 +29,32 @@ STRIPE, INDEX_STRIDE = 16 << 20, 1000
 FILE_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 
 
-def id_lists(raw: list[bytes]) -> pa.Array:
-    import numpy as np
-
-    ends = np.cumsum([0] + [len(x) // WIDTH for x in raw], dtype="int32")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+def with_end(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray, end: int) -> pa.Array:
+    """The texts' ids as lists, each with the end id."""
+    sizes = stops - starts
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(ends[-1], end, np.int32)
+    at = np.repeat(ends[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    out[at] = ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """docs(doc_id, text) as ORC files of FILE_SCHEMA under path."""
-    where, tail = vocabulary(tokenizer), end.to_bytes(WIDTH, "little")
+    where = vocabulary(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encoded = TaskContext.get().partitionId(), 0, encoder(where)
-        for b in slices(batches, "text", 2_000_000):
-            raw = [encoded(t or "") + tail for t in b.column("text").to_pylist()]
-            sizes = [len(x) // WIDTH for x in raw]
-            starts = []
-            for n in sizes:
-                starts.append(at)
-                at += n
+        part, at, encoded = TaskContext.get().partitionId(), 0, byte_encoder(where)
+        for b in slices(batches, "text"):
+            ids, starts, stops = encoded(b.column("text"))
+            sizes = stops - starts + 1
+            first = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(raw), pa.int32()), b.column("doc_id"), pa.array(starts, pa.int64()),
-                 pa.array(sizes, pa.int64()), id_lists(raw)],
+                [pa.array(np.full(len(sizes), part, np.int32)), b.column("doc_id"), pa.array(first), pa.array(sizes),
+                 with_end(ids, starts, stops, end)],
                 ["part", "doc_id", "part_start", "n_tokens", "ids"],
             )
 
