@@ -52,6 +52,8 @@ HINTS = re.compile(
     r"consent|gdpr|notices?|popup|modal|newsletter|subscri\w+|share|sharing|social|comments?|commentlist|replies|reply|disqus|related|recommend\w*|"
     r"widgets?|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
+#: Names that say what is beside or around an element, not what it is.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)-\S+")
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
@@ -62,31 +64,65 @@ def hash64(*parts: str) -> int:
 
 
 class Element:
-    __slots__ = ("name", "path", "token", "dropped", "main")
+    __slots__ = ("name", "path", "token", "dropped", "main", "at", "named", "closed", "above")
 
-    def __init__(self, name: str, path: str, dropped: bool, main: bool):
+    def __init__(self, name: str, path: str, dropped: bool, main: bool, at: int, named: bool, closed: bool, above: Element | None):
+        """named and closed: what drops it itself, a name that a wrapper may bear too (a hint, a form) or
+        anything else; at: where its tag begins."""
         self.name, self.path, self.dropped, self.main = name, path, dropped, main
+        self.at, self.named, self.closed, self.above = at, named, closed, above
         self.token = hash64(path)
 
 
-def opened(name: str, rest: str, above: Element | None) -> Element:
-    """The element a start tag opens; class names in its path stand without digits."""
-    dropped, main, mark = name in DROP, name in MAIN, ""
+def opened(name: str, rest: str, above: Element | None, at_place: int = 0, wrappers: frozenset[int] = frozenset()) -> Element:
+    """The element a start tag opens; class names in its path stand without digits. `wrappers` are the
+    places of elements that their name doesn't drop."""
+    closed, main, mark = name in DROP and name != "form", name in MAIN, ""
+    named = name == "form"
     if rest and "=" in rest or "hidden" in rest:
         at = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
         names = f"{at.get('class', '')} {at.get('id', '')}".strip()
         role = at.get("role", "").lower()
         main = main or role in ("main", "article") or "articlebody" in at.get("itemprop", "").lower()
-        if names and name not in ("html", "body", "main"):
-            dropped = dropped or bool((COMMENTS if name == "article" else HINTS).search(names))
-        dropped = dropped or role in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
+        if names and name == "article":
+            closed = closed or bool(COMMENTS.search(names))
+        elif names and name not in ("html", "body", "main"):
+            named = named or bool(HINTS.search(MODIFIER.sub(" ", names)))
+        closed = closed or role in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
         mark = re.sub(r"\d+", "0", names)
     path = f"{above.path}/{name}.{mark}" if above else f"{name}.{mark}"
-    return Element(name, path, dropped or bool(above and above.dropped), main or bool(above and above.main))
+    dropped = closed or named and at_place not in wrappers
+    return Element(name, path, dropped or bool(above and above.dropped), main or bool(above and above.main), at_place, named, closed, above)
 
 
 def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
-    """(blocks, elements): each text block with the structural elements around it, and all structural elements."""
+    """(blocks, elements): each text block with the structural elements around it, and all structural elements.
+
+    A name that drops an element (a hint among its classes, a form) doesn't drop a wrapper of the page:
+    one around an article or main of a page that shows none elsewhere, or around all its text."""
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        found, elements = parsed(page, wrappers)
+        inside = [e for e in elements if e.named and not e.closed and e.at not in wrappers]
+        if not inside or any(e.main and not e.dropped for e in elements):
+            return found, elements
+        hold: set[int] = set()
+        for e in elements:
+            if e.main and not (e.above and e.above.main):
+                chain, up = set(), e.above
+                while up is not None and not up.closed:
+                    chain |= {up.at} if up.named else set()
+                    up = up.above
+                hold |= chain if up is None and not e.closed else set()
+        if not hold - wrappers and not found:
+            hold = {e.at for e in inside if e.above is None or not e.above.dropped}
+        if not hold - wrappers:
+            return found, elements
+        wrappers |= hold
+
+
+def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
+    """blocks, with given wrappers."""
     stack: list[Element] = []
     out: list[tuple[str, list[Element]]] = []
     elements: list[Element] = []
@@ -133,7 +169,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
                     break
                 if stack[i].name in WALL:
                     break
-            e = opened(name, m["rest"], stack[-1] if stack else None)
+            e = opened(name, m["rest"], stack[-1] if stack else None, m.start(), wrappers)
             if name in WALL or e.dropped or e.main and not (stack and stack[-1].main):
                 if e.dropped and not (stack and stack[-1].dropped):
                     flush()
@@ -145,6 +181,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
                 above = stack[-1] if stack else None
                 small.name, small.path = name, above.path if above else ""
                 small.token, small.dropped, small.main = (above.token, above.dropped, above.main) if above else (0, False, False)
+                small.at, small.named, small.closed, small.above = m.start(), False, False, above
                 stack.append(small)
     flush()
     return out, elements
