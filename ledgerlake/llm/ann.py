@@ -11,7 +11,8 @@ keeps the k best over all.
 
 Nulls and edge cases: a vector that is null, zero, or holds a null or non-finite component takes
 no part, neither does a null id; vectors of different lengths never meet; equal vectors collide
-equally, so ties are whole and go to smaller ids; repeated rows of an id count once; an empty
+equally, so ties are whole and go to smaller ids; of several vectors under an id the smallest,
+component by component, counts; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -108,7 +109,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, name: str = "vec_id", vec
     def search(key: tuple, g: pa.Table) -> pa.Table:
         ids, asks = g.column("id").to_numpy(), g.column("q").to_numpy().astype(bool)
         v = g.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        side = lambda on: (lambda u, at: (u, v[on][at]))(*np.unique(ids[on], return_index=True))
+
+        def side(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            one, w = ids[on], v[on]
+            found, at = np.unique(one, return_index=True)
+            if len(found) < len(one):  # several vectors under one id
+                order = np.lexsort((*w.T[::-1], one))
+                at = order[np.searchsorted(one[order], found)]
+            return found, w[at]
+
         found = search_block(side(~asks), side(asks), k) if asks.any() and not asks.all() else []
         cols = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})

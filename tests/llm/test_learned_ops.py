@@ -333,3 +333,12 @@ def test_tokens_are_ascii_white_space_words():
 
     codes, ends, words = tokens(pa.array([" a\tb ", None, "", "\x1cA x　", "b"]), lower=True)
     assert [[words[c] for c in codes[a:z]] for a, z in zip(ends, ends[1:], strict=False)] == [["a", "b"], [], [], ["\x1ca x　"], ["b"]]
+
+
+def test_one_vector_counts_of_several_under_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 5.0]), (1, [0.5, 9.0]), (1, [0.5, 2.0]), (2, [0.0, 1.0])]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        got = {r.vec_id: r.score for r in ann.nearest(df, df.filter("vec_id = 0"), 2).collect()}
+        assert abs(got[1] - 0.5 / (0.25 + 4) ** 0.5) < 1e-12 and got[2] == 0
