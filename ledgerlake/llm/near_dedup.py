@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import slices
 from ledgerlake.llm.components import components
-from ledgerlake.llm.store import join_counted, stored
+from ledgerlake.llm.store import join_counted, lean, stored
 from ledgerlake.llm.words import grams, mixed, owners, tokens, word_hashes
 
 REPEATS, BUCKETS, MANTISSA = 16, 8, 10
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(sketch), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -111,7 +111,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(build), "doc_id long, items array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(share, "a long, b long").distinct(), "links")
+    return stored(both.mapInArrow(lean(share), "a long, b long").distinct(), "links")
 
 
 def star_pairs(crowd: DataFrame, reps: DataFrame, t: float) -> DataFrame:
@@ -168,7 +168,7 @@ def star_pairs(crowd: DataFrame, reps: DataFrame, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok)), x.column("b").filter(pa.array(ok))], ["a", "b"])
 
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "ra", "rb")
-    return stored(joined.mapInArrow(near, "a long, b long").distinct(), "star-pairs")
+    return stored(joined.mapInArrow(lean(near), "a long, b long").distinct(), "star-pairs")
 
 
 def overlaps(one: np.ndarray, items: np.ndarray, ends: np.ndarray) -> np.ndarray:

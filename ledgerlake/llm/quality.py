@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import slices
-from ledgerlake.llm.store import stored
+from ledgerlake.llm.store import lean, stored
 from ledgerlake.llm.words import owners, tokens, word_hashes
 
 SAMPLE = 12_000
@@ -35,6 +35,7 @@ WORD_BITS, SHAPES = 17, 256
 SIZE = (1 << WORD_BITS) + SHAPES + 1
 GRADES = 3
 RIDGE = 1.0
+RATED = 2_000_000  # bytes of text rated at once: a word takes some 100 bytes of columns
 SHAPE_SCALE = 4.0
 STEMS = (4, 5)
 ROUNDS = 30
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = ids.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two integers
-    train = stored(rows.select("grade", "text").mapInArrow(build, "grade int, cols array<int>, vals array<double>"), "features")
+    train = stored(rows.select("grade", "text").mapInArrow(lean(build), "grade int, cols array<int>, vals array<double>"), "features")
     counts = {r.grade: r.n for r in train.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -219,14 +220,14 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
                            T.StructField("_keep", T.BooleanType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", RATED):
             c, v, ends = features(b.column("text"))
             value = np.bincount(owners(ends), v * model.weights[c], b.num_rows)
             above = probabilities(value, model.cuts)
             cols = [pa.array(above.sum(1)), pa.array(above[:, -1]), pa.array(above[:, -1] >= keep)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "_expected", "_tail", "_keep"])
 
-    return docs.mapInArrow(rate, schema)
+    return docs.mapInArrow(lean(rate), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:

@@ -72,3 +72,15 @@ def test_pipeline_of_odd_rows(spark, odd):
     twice = corpus_pipeline.drop_near_copies(spark, docs.unionAll(docs).filter("doc_id = 9"), SF01)
     assert twice.count() == 1
     assert corpus_pipeline.STAGES[1][1](spark, docs.limit(0), SF01).count() == 0
+
+
+def test_leaks_without_or_under_a_shared_doc_id(spark):
+    """Every leaking row goes and no other, whatever its doc_id."""
+    item = corpus_pipeline.table(spark, SF01, "benchmark").first().text
+    rows = [(None, f"before {item} after"), (None, "nothing of the kind"), (4, f"x {item}"), (4, "another text"), (4, "another text"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, _source string")
+    left = corpus_pipeline.drop_leaks(spark, docs, SF01)
+    assert left.columns == docs.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in left.collect()])) == sorted(map(str, [r for r in rows if item not in (r[1] or "")]))
+    near = corpus_pipeline.drop_near_copies(spark, docs.filter("doc_id = 4"), SF01)
+    assert sorted(r.text for r in near.collect()) == sorted({t for d, t in rows if d == 4})
