@@ -23,22 +23,25 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest doc_id.
-    Rows that repeat a doc_id are one document and leave one row; those without a doc_id stay."""
+    Rows that repeat a doc_id and its text are one document and leave one row; different texts under one
+    doc_id are told apart by nothing else and share its fate; rows without a doc_id stay."""
     found = near_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
     out = stored(found.filter("not kept").select("doc_id").distinct(), "dropped")
     kept = join_counted(docs, out, ["doc_id"], "left_anti")
     twice = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if twice.isEmpty():
         return kept
-    once = join_counted(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    once = join_counted(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return join_counted(kept, twice, ["doc_id"], "left_anti").unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    out = stored(found.select("doc_id").distinct(), "leaking")
-    return join_counted(docs, out, ["doc_id"], "left_anti")
+    """Documents that hold no benchmark item. Rows are keyed by a hash of doc_id and text, so those without a
+    doc_id, and different texts under one, are judged one by one."""
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    out = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
+    return join_counted(docs.withColumn("_row", row), out, ["_row"], "left_anti").select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
