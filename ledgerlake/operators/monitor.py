@@ -28,11 +28,18 @@ SUMMARY_SCHEMA = ("file string, run_date date, emails_found int, inserted bigint
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log files read whole, lines numbered in file order."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", "\n$", "")  # a final newline ends the last line, it adds none
-    return raw.select("file", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(
-        "file", F.col("line_no").cast("bigint"), F.regexp_replace("line", "\r$", "").alias("line"))
+    """Log files line by line, numbered from 0 in file order; a large file is read by many tasks.
+
+    A scan cuts files into splits at byte offsets and reads each split in order within one task, so a
+    line's place in its split is its row id less the split's first. The splits' counts (one row a
+    split) give the lines before each. A final newline adds no line, an empty file has none."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"),
+        F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    earlier = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    splits = splits.select("file", "__at", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__add"))
+    return raw.join(splits, ["file", "__at"]).select("file", (F.col("__id") + F.col("__add")).alias("line_no"), "line")
 
 
 def run_blocks(log: DataFrame, block_size: int = 1 << 16) -> DataFrame:

@@ -244,6 +244,19 @@ def q_run_summary(spark, sf):
     return MO.daily_summary(run_log_lines(table(spark, sf, "events")), block_size=LOG_BLOCK)
 
 
+@register("run_log_files", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + "\nSELECT * FROM s")
+def q_run_log_files(spark, sf):
+    """The same summaries from log files on disk, each read by as many tasks as it has splits."""
+    from ledgerlake.streaming.ingest import run_dir
+
+    path = run_dir(spark, "run_log")
+    lines = run_log_lines(table(spark, sf, "events")).select("file", "line_no", "line")
+    (lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
+     .write.partitionBy("file").text(path))
+    log = MO.read_run_log(spark, path).withColumn("file", F.regexp_extract("file", "/file=([^/]+)/", 1))
+    return MO.daily_summary(log, block_size=LOG_BLOCK)
+
+
 @register("summary_message", "WITH x AS (SELECT 1)" + _SUMMARY_SQL + f"""
 SELECT file, run_date,
        CASE WHEN error_found THEN '❌ ERROR' ELSE '✅ SUCCESS' END || ' | {MO.SUBJECT_PREFIX} | ' || strftime(run_date, '%Y-%m-%d') AS subject,

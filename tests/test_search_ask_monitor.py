@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -165,3 +166,28 @@ def test_words_of_any_script_and_large_amounts(spark):
     recs = spark.createDataFrame([("h", None, None, None, Decimal("9999999999.50"), None)],
                                  "hashcode string, txn_date date, category string, txn_type string, amount decimal(18,2), paid_to string")
     assert SE.clean_metadata(recs).first().amount == 9999999999
+
+
+def test_log_lines_are_numbered_over_splits(spark, tmpdir_path):
+    """Files cut into many splits, with lines of all lengths, blank ones, CRLF ends and none at the end."""
+    import random
+
+    rnd = random.Random(5)
+    texts = {f"{n}.log": [rnd.choice(["", "x" * rnd.randrange(300), "é漢", "a\rb"]) for _ in range(400)] for n in range(3)}
+    for k, (name, lines) in enumerate(texts.items()):
+        with open(os.path.join(tmpdir_path, name), "w", newline="") as f:
+            f.write(("\r\n" if k else "\n").join(lines) + ("" if k == 2 else "\n"))
+    open(os.path.join(tmpdir_path, "empty.log"), "w").close()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        log = MO.read_run_log(spark, tmpdir_path)
+        assert spark.read.text(tmpdir_path).rdd.getNumPartitions() > 20
+        got: dict = {}
+        for r in log.collect():
+            got.setdefault(os.path.basename(r.file), {})[r.line_no] = r.line
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    if texts["2.log"][-1] == "":
+        texts["2.log"].pop()  # nothing after the last line end
+    assert got == {name: dict(enumerate(lines)) for name, lines in texts.items()}
