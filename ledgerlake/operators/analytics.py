@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import TOTAL
-from ledgerlake.plans.ordered import running_sum
 
 DEBIT = "Debit"
 CREDIT = "Credit"
@@ -185,56 +184,73 @@ def weekday_spend(df: DataFrame) -> DataFrame:
     )
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+BUCKETS = 64  # per doubling of the amount
+
+
+def amount_bucket(amount: Column) -> Column:
+    """A whole number that does not fall as the amount rises: BUCKETS per doubling, at most 64 * BUCKETS on each side."""
+    a = amount.cast("double")
+    return (F.signum(a) * F.floor(F.log2(F.abs(a) + 1) * BUCKETS)).cast("bigint")
+
+
+def exact_quartiles(base: DataFrame) -> DataFrame:
+    """category, n and the quartiles (linear interpolation) of base(category, amount), by narrowing.
+
+    One pass counts amounts by log-scale bucket: a table bounded by the categories. The ranks that
+    the quartiles need lie in at most six buckets of a category; a second pass counts the distinct
+    amounts of those buckets alone, where the ranks are found."""
+    counts = base.groupBy("category", amount_bucket(F.col("amount")).alias("bucket")).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("category").orderBy("bucket")  # bounded by the number of buckets
+    counts = counts.select("category", "bucket", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(upto).alias("until"),
+                           F.sum("c").over(Window.partitionBy("category")).alias("n"))
+    place = {k: (F.col("n") - 1) * F.lit(p) for k, p in QUARTILES.items()}
+    ranks = [r.cast("bigint") for x in place.values() for r in (F.floor(x), F.ceil(x))]
+    inside = F.lit(False)
+    for r in ranks:
+        inside = inside | ((F.col("before") <= r) & (r < F.col("until")))
+    wanted = counts.filter(inside).select("category", "bucket", "before", "n")
+    some = base.withColumn("bucket", amount_bucket(F.col("amount"))).join(wanted, ["category", "bucket"])
+    some = some.groupBy("category", "bucket", "amount").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    within = Window.partitionBy("category", "bucket").orderBy("amount")
+    some = some.withColumn("until", F.col("before") + F.sum("c").over(within)).withColumn("from", F.col("until") - F.col("c"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("until")), F.col("amount").cast("double")))
+
+    found = some.groupBy("category").agg(F.first("n").alias("n"), *[
+        f(x).alias(f"{k}_{side}") for k, x in place.items() for side, f in (("lo", lambda x: value_at(F.floor(x))), ("hi", lambda x: value_at(F.ceil(x))))])
+    part = lambda k: place[k] - F.floor(place[k])
+    return found.select("category", "n", *[
+        (F.col(f"{k}_lo") + part(k) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k) for k in QUARTILES])
+
+
 def box_stats(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per-category quartiles (linear interpolation), 1.5-IQR whiskers and outlier count of debits.
 
-    Exact mode never gathers a category's rows: it first counts each distinct amount
-    (partial aggregation), then finds the rank positions on that histogram with a two-level
-    running count (plans.ordered.running_sum).
-    """
-    base = df.filter(is_debit() & F.col("category").isNotNull() & F.col("amount").isNotNull())
+    Never gathers a category's rows: quartiles come from counts (exact_quartiles, or
+    percentile_approx), whiskers from one more aggregate that knows the fences."""
+    base = df.filter(is_debit() & F.col("category").isNotNull() & F.col("amount").isNotNull()).select("category", "amount")
     if approx:
         q = base.groupBy("category").agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col("amount").cast("double"), [0.25, 0.5, 0.75], accuracy).alias("qs"),
-        ).select("category", "n", *[F.col("qs")[i].alias(k) for i, k in enumerate(["q1", "median", "q3"])])
-        hist = base.groupBy("category", "amount").agg(F.count(F.lit(1)).alias("c"))
+            F.percentile_approx(F.col("amount").cast("double"), list(QUARTILES.values()), accuracy).alias("qs"),
+        ).select("category", "n", *[F.col("qs")[i].alias(k) for i, k in enumerate(QUARTILES)])
     else:
-        hist = base.groupBy("category", "amount").agg(F.count(F.lit(1)).alias("c"))
-        # Cumulative counts in two levels: within log-scale amount blocks (64 per doubling),
-        # then over one summary row per block, so no task holds a whole category.
-        a = F.col("amount").cast("double")
-        blk = (F.signum(a) * F.floor(F.log2(F.abs(a) + 1) * 64)).cast("bigint")
-        # |blk| <= 64 * 64 for any amount below 2**64, so one level is provably bounded
-        ranked = running_sum(hist.withColumn("__blk", blk), ["category"], "__blk", ["amount"], "c",
-                             "hi_rank", total_out="n", levels=1).withColumn("lo_rank", F.col("hi_rank") - F.col("c"))
-
-        def value_at(k: Column) -> Column:
-            # amount whose 0-based rank range [lo_rank, hi_rank) holds k
-            return F.max(F.when((F.col("lo_rank") <= k) & (k < F.col("hi_rank")), F.col("amount").cast("double")))
-
-        aggs = [F.first("n").alias("n")]
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-            pos = (F.col("n") - 1) * F.lit(p)
-            aggs += [value_at(F.floor(pos)).alias(f"{name}_lo"), value_at(F.ceil(pos)).alias(f"{name}_hi"),
-                     F.first(pos - F.floor(pos)).alias(f"{name}_f")]
-        q = ranked.groupBy("category").agg(*aggs).select(
-            "category", "n",
-            *[(F.col(f"{k}_lo") + F.col(f"{k}_f") * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))).alias(k)
-              for k in ("q1", "median", "q3")],
-        )
+        q = exact_quartiles(base)
     iqr = F.col("q3") - F.col("q1")
-    lo_fence, hi_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    fences = q.withColumns({"low": F.col("q1") - 1.5 * iqr, "high": F.col("q3") + 1.5 * iqr})
     a = F.col("amount").cast("double")
-    whiskers = hist.join(q, "category").groupBy("category").agg(
-        F.min(F.when(a >= lo_fence, a)).alias("lower_whisker"),
-        F.max(F.when(a <= hi_fence, a)).alias("upper_whisker"),
-        F.coalesce(F.sum(F.when((a < lo_fence) | (a > hi_fence), F.col("c"))), F.lit(0)).cast("bigint").alias("n_outliers"),
+    whole = base.join(fences, "category").groupBy("category").agg(
+        *[F.first(c).alias(c) for c in ("n", *QUARTILES)],
+        F.min(F.when(a >= F.col("low"), a)).alias("lower_whisker"),
+        F.max(F.when(a <= F.col("high"), a)).alias("upper_whisker"),
+        F.count_if((a < F.col("low")) | (a > F.col("high"))).alias("n_outliers"),
         F.min(a).alias("min_amount"),
         F.max(a).alias("max_amount"),
     )
     r = lambda c: F.round(F.col(c), 4).alias(c)
-    return q.join(whiskers, "category").select(
+    return whole.select(
         "category", F.col("n").cast("bigint").alias("n"), r("q1"), r("median"), r("q3"),
         r("lower_whisker"), r("upper_whisker"), "n_outliers", r("min_amount"), r("max_amount"),
     )

@@ -1,6 +1,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
+
 from ledgerlake.operators import analytics as A
 from ledgerlake.operators import budget as B
 
@@ -93,3 +95,24 @@ def test_box_stats_random_against_numpy(spark):
         inside = a[(a >= np.percentile(a, 25) - 1.5 * iqr) & (a <= np.percentile(a, 75) + 1.5 * iqr)]
         assert r.lower_whisker == round(float(inside.min()), 4) and r.upper_whisker == round(float(inside.max()), 4)
         assert r.n_outliers == len(vs) - len(inside)
+
+
+def test_box_stats_signs_ties_and_hot_values(spark):
+    """Negative, zero, tiny and equal amounts, one value holding most rows, one row; no persisted table."""
+    import random
+
+    rnd = random.Random(4)
+    sets = {"neg": [rnd.randrange(-10**6, 10**6) / 100 for _ in range(301)], "hot": [5.0] * 400 + [rnd.randrange(1, 10**7) / 100 for _ in range(99)],
+            "one": [-3.25], "two": [0.0, 10.0], "same": [7.77] * 10, "wide": [10.0 ** (k % 13) for k in range(57)]}
+    rows = [(c, v) for c, vs in sets.items() for v in vs]
+    df = spark.createDataFrame(rows, "category string, v double").selectExpr(
+        "category", "cast(v as decimal(18,2)) amount", "'Debit' txn_type", "'p' paid_to", "date'2024-01-01' txn_date")
+    got = {r.category: r for r in A.box_stats(df).collect()}
+    for c, vs in sets.items():
+        q1, q2, q3 = np.percentile(vs, [25, 50, 75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        want = [len(vs), q1, q2, q3, min(v for v in vs if v >= low), max(v for v in vs if v <= high), sum(v < low or v > high for v in vs), min(vs), max(vs)]
+        r = got[c]
+        have = [r.n, r.q1, r.median, r.q3, r.lower_whisker, r.upper_whisker, r.n_outliers, r.min_amount, r.max_amount]
+        assert all(abs(x - round(y, 4)) < 2e-4 for x, y in zip(have, want)), (c, have, want)
+    assert "InMemoryTableScan" not in A.box_stats(df)._jdf.queryExecution().executedPlan().toString()
