@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ledgerlake.functions.text import fingerprint
 from ledgerlake.session import path_exists
 
-# Chosen key list (the source's config file is not shipped).
+# Chosen key list, where no file gives one (load_hash_keys).
 HASH_KEYS = ["amount", "paid_to", "reference_no", "txn_date", "txn_type"]
 
 
@@ -27,6 +27,19 @@ def add_fingerprint(df: DataFrame, keys: list[str] = HASH_KEYS, out_col: str = "
     return df.withColumn(out_col, fingerprint(keys))
 
 
+def load_hash_keys(spark: SparkSession, path: str) -> list[str]:
+    """The fingerprint's fields from an INI file: section HASH, keys = field, field, ..."""
+    import configparser
+
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    config = configparser.ConfigParser()
+    config.read_string(text)
+    keys = [k.strip() for k in config.get("HASH", "keys").split(",") if k.strip()]
+    if not keys:
+        raise ValueError(f"no hash keys in {path}")
+    return keys
+
+
 def _numbered(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds __n: 1 for the first copy of its key; equal (key, order) rows are told apart by their other columns."""
     rest = [c for c in df.columns if c not in (key, order)]

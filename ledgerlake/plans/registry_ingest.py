@@ -91,6 +91,18 @@ def q_mail_day_filter(spark, sf):
     return M.alert_mails(landed_mails(table(spark, sf, "events")), MAIL_DAY)
 
 
+@register("mail_today", f"""
+WITH m AS ({_LANDED_SQL})
+SELECT mail_id, sender, body FROM m WHERE contains(lower(sender), '{M.BANK_SENDER}') AND regexp_matches(body, '{M.ALERT_WORDS_RE}')
+  AND received_at >= TIMESTAMP '{MAIL_DAY} 00:00:00' AND received_at < TIMESTAMP '{MAIL_DAY + dt.timedelta(days=1)} 00:00:00'""")
+def q_mail_today(spark, sf):
+    """Today's alerts, of mails moved so that the tables' mail day is today."""
+    today = dt.datetime.now(dt.timezone.utc).date()
+    mails = landed_mails(table(spark, sf, "events"))
+    moved = F.col("received_at") + F.expr(f"INTERVAL '{(today - MAIL_DAY).days}' DAY")
+    return M.todays_alert_mails(mails.withColumn("received_at", moved)).select("mail_id", "sender", "body")
+
+
 # ---------------------------------------------------------------- MIME and HTML
 def _b64url(c):
     # base64() may wrap long output in CRLF-separated lines; a mail payload keeps one line.
@@ -266,6 +278,20 @@ def q_fingerprint(spark, sf):
     return L.add_fingerprint(_records(spark, sf)).select("txn_id", "hashcode")
 
 
+KEY_FIELDS = ["txn_date", "amount"]
+
+
+@register("fingerprint_keys", _REC_SQL.rsplit("f AS (", 1)[0] + f"""f AS (SELECT txn_id, {sql_fingerprint(KEY_FIELDS)} AS hashcode FROM r)
+SELECT txn_id, hashcode FROM f""")
+def q_fingerprint_keys(spark, sf):
+    """The fingerprint over the fields that a configuration file names."""
+    from ledgerlake.streaming.ingest import run_dir
+
+    path = run_dir(spark, "hash_keys")
+    spark.createDataFrame([("[HASH]\nkeys = " + " , ".join(KEY_FIELDS) + "\n",)], "value string").coalesce(1).write.text(path)
+    return L.add_fingerprint(_records(spark, sf), L.load_hash_keys(spark, path)).select("txn_id", "hashcode")
+
+
 @register("dedup_first", """
 SELECT doc_id, hashcode FROM (
   SELECT doc_id, sha256(text) AS hashcode, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn
