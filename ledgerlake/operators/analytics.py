@@ -129,7 +129,11 @@ def per_category(df: DataFrame) -> DataFrame:
 
 def kpis(df: DataFrame) -> DataFrame:
     """Spent, received, net, count, mean amount and top debit category ('N/A' if none)."""
-    g = per_category(df)
+    return headline(per_category(df))
+
+
+def headline(g: DataFrame) -> DataFrame:
+    """The key figures from per_category's rows."""
     spent = _total(F.col("spent"))
     received = _total(F.col("received"))
     top_key = F.when((F.col("n_debit") > 0) & F.col("category").isNotNull(),

@@ -1,15 +1,17 @@
-"""Registered question queries: full intents by entity linking, and routed answers."""
+"""Registered question queries (full intents by entity linking, routed answers) and the stored dashboard cube."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import analytics as A
 from ledgerlake.operators import ask as Q
 from ledgerlake.operators import chat as CH
+from ledgerlake.operators import cube as CU
 from ledgerlake.operators import entities as EN
 from ledgerlake.operators import search as SE
-from ledgerlake.plans.registry import register, sql_str
+from ledgerlake.plans.registry import ORACLE, register, sql_str
 from ledgerlake.plans.registry_more import _route_sql, _vec_docs, _VEC_SQL
 from ledgerlake.plans.views import TRANSACTIONS_SQL, transactions
 from ledgerlake.session import table
@@ -151,3 +153,24 @@ def q_chat_answers(spark, sf):
     SE.append_index(SE.embed_digest(_vec_docs(spark, sf)), path, "b1")
     index = spark.read.parquet(path)
     return CH.answers(questions(spark, sf), transactions(spark, sf), index, ["conv_id", "turn"])
+
+
+# ---------------------------------------------------------------- S12: the stored cube
+def _cube(spark, sf) -> DataFrame:
+    """The cube after two batches, the second added twice."""
+    from ledgerlake.streaming.ingest import run_dir
+
+    path, tx = run_dir(spark, "cube"), transactions(spark, sf)
+    for batch, odd in (("b1", 0), ("b2", 1), ("b2", 1)):
+        CU.add_batch(tx.filter(F.col("txn_id") % 2 == odd), path, batch)
+    return CU.dashboard_cells(spark, path)
+
+
+@register("cube_kpis", ORACLE["kpis"])
+def q_cube_kpis(spark, sf):
+    return CU.kpis(_cube(spark, sf))
+
+
+@register("cube_month_type", ORACLE["month_type_sum"])
+def q_cube_month_type(spark, sf):
+    return A.month_type_sum(_cube(spark, sf))
