@@ -38,7 +38,7 @@ from ledgerlake.llm.words import mixed, tokens, word_hashes
 PASSAGE, STRIDE = 64, 32
 BITS, RANK, SKETCH = 13, 96, 64
 BENCH = 20.0
-MEMO = 500_000
+MEMO = 200_000  # words a worker keeps the hashes of, some 40 MB
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.7
 # PARAPHRASE times the worst share of a piece that one passage holds (0.75, as a piece as long as a
 # passage may stand half a stride beside the nearest one) is 0.41 of its words, and less of its
