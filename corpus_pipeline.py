@@ -15,8 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: a batch of texts is held by Spark and by its Python worker at once, in every task.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier keeps."""
+    bounded(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter("_keep").select(*docs.columns)
 
@@ -25,6 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest doc_id.
     Rows that repeat a doc_id and its text are one document and leave one row; different texts under one
     doc_id are told apart by nothing else and share its fate; rows without a doc_id stay."""
+    bounded(spark)
     found = near_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
     out = stored(found.filter("not kept").select("doc_id").distinct(), "dropped")
     kept = join_counted(docs, out, ["doc_id"], "left_anti")
@@ -38,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Rows are keyed by a hash of doc_id and text, so those without a
     doc_id, and different texts under one, are judged one by one."""
+    bounded(spark)
     row = F.xxhash64("doc_id", "text")
     found = decontaminate.leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     out = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "leaking")
@@ -54,6 +65,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document left, packed into sequences."""
+    bounded(spark)
     return packing.pack(docs)
 
 
