@@ -55,6 +55,11 @@ BARE = re.compile(r"[^\w]+")
 _HASHES: dict[str, int] = {}
 
 
+def forget() -> None:
+    """A worker's hashes end with its task."""
+    _HASHES.clear()
+
+
 def bare(word: str) -> str:
     low = word.lower()
     return low if low.isalnum() else BARE.sub("", low)
@@ -135,7 +140,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         bounds = np.append(np.arange(len(at) + 1) * (SKETCH + 1), len(at) * (SKETCH + 1) + 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.ListArray.from_arrays(pa.array(bounds), flat)], ["term", "row"])
 
-    parts = docs.select("text").mapInArrow(lean(fold), "term long, row array<double>")
+    parts = docs.select("text").mapInArrow(lean(fold, forget), "term long, row array<double>")
     rows = parts.groupBy("term").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
     out, total = np.zeros((size, SKETCH + 1)), 0
     for r in rows:
@@ -294,7 +299,7 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["doc_id", "item_id", "share"])
 
-    return docs.mapInArrow(lean(find), "doc_id long, item_id long, share double")
+    return docs.mapInArrow(lean(find, forget), "doc_id long, item_id long, share double")
 
 
 def standing(passage, piece, term, ends, text, starts, inside, most) -> tuple[np.ndarray, np.ndarray]:

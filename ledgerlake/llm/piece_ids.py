@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 400_000  # distinct pieces a worker keeps; it starts anew beyond them
+MEMO = 250_000  # distinct pieces a worker keeps; it starts anew beyond them
 
 
 class Pieces:

@@ -49,14 +49,16 @@ def trim() -> None:
         pass
 
 
-def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A mapInArrow function that trims its worker when a task ends: workers outlive their stage, and what
-    an idle one holds is missing in the next."""
+def lean(work: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that trims its worker when a task ends, after forget(): workers outlive their
+    stage, and what an idle one holds is missing in the next."""
 
     def run(batches: Iterator) -> Iterator:
         try:
             yield from work(batches)
         finally:
+            if forget:
+                forget()
             trim()
 
     return run
