@@ -117,45 +117,47 @@ def _deeper_than(node: Column, depth: int) -> Column:
     return F.exists(F.coalesce(_parts(node), F.array().cast("array<variant>")), lambda p: _deeper_than(p, depth - 1))
 
 
-_RECURSIVE_SQL = """
-WITH RECURSIVE nodes(mail_id, path, node, container) AS (
-  SELECT mail_id, CAST(array() AS array<int>), v, true FROM {m}
-  UNION ALL
-  SELECT n.mail_id, concat(n.path, array(CAST(p.pos AS INT))), p.value,
-         variant_get(p.value, '$.parts') IS NOT NULL
-  FROM nodes n, LATERAL variant_explode(variant_get(n.node, '$.parts')) AS p
-),
-cands AS (
-  SELECT mail_id, path AS k, try_variant_get(node, '$.body.data', 'string') AS d FROM nodes
-  WHERE size(path) > 0 AND try_variant_get(node, '$.mimeType', 'string') = 'text/html'
-  UNION ALL
-  SELECT mail_id, concat(path, array(2147483647)), try_variant_get(node, '$.body.data', 'string') FROM nodes
-  WHERE container
-)
-SELECT mail_id, min_by(d, k) AS data FROM cands WHERE length(d) > 0 GROUP BY mail_id
-"""
+def _first_body(root: Column, levels: Column) -> Column:
+    """The smallest of _candidates' entries at any depth: one step per level of the tree, `levels` at
+    least as many as it has (steps below its last level see no nodes)."""
+    none = F.lit(None).cast("struct<k:array<int>,d:string>")
+    has_data = lambda v: F.coalesce(F.length(_data(v)), F.lit(0)) > 0
+
+    def step(acc: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(acc["nodes"], lambda n: F.transform(
+            _parts(n["v"]), lambda p, i: F.struct(F.concat(n["k"], F.array(i.cast("int"))).alias("k"), p.alias("v")))))
+
+        def seen(kids: Column) -> Column:
+            html = F.transform(F.filter(kids, lambda n: (_mime(n["v"]) == "text/html") & has_data(n["v"])),
+                               lambda n: F.struct(n["k"].alias("k"), _data(n["v"]).alias("d")))
+            inner = F.filter(kids, lambda n: _parts(n["v"]).isNotNull())
+            own = F.transform(F.filter(inner, lambda n: has_data(n["v"])),
+                              lambda n: F.struct(F.concat(n["k"], F.array(F.lit(_MAX))).alias("k"), _data(n["v"]).alias("d")))
+            return F.struct(inner.alias("nodes"), F.array_min(F.concat(F.array(acc["best"]), html, own)).alias("best"))
+
+        return F.get(F.transform(F.array(below), seen), F.lit(0))  # bound once, used several times
+
+    top = F.array(F.struct(F.array().cast("array<int>").alias("k"), root.alias("v")))
+    best = F.when(has_data(root), F.struct(F.array(F.lit(_MAX)).alias("k"), _data(root).alias("d"))).otherwise(none)
+    start = F.struct(F.filter(top, lambda n: _parts(n["v"]).isNotNull()).alias("nodes"), best.alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), levels), start, step)["best"]
 
 
-def mime_body(mails: DataFrame, id_col: str = "mail_id", payload_col: str = "payload",
-              depth: int = UNROLL_DEPTH) -> DataFrame:
+def mime_body(mails: DataFrame, payload_col: str = "payload", depth: int = UNROLL_DEPTH) -> DataFrame:
     """Adds `body`: the first text/html part in depth-first order, else the nearest container's
     own body, decoded from URL-safe base64; '' when there is none.
 
-    Trees up to `depth` levels are resolved by a per-row expression (no shuffle); the rare
-    deeper trees go through a recursive CTE with the same ordering rule.
+    Trees up to `depth` levels are resolved by an unrolled expression, the rare deeper ones by a
+    loop over their levels with the same ordering rule; either is per row, so mails are read once.
     """
     v = F.try_parse_json(F.col(payload_col))  # null for a payload that is no JSON: no body
-    keyed = with_fields_once(mails, {"__v": v}).withColumn("__deep", F.coalesce(_deeper_than(F.col("__v"), depth), F.lit(False)))
-    shallow = keyed.filter(~F.col("__deep")).withColumn(
-        "__pick", F.array_min(_candidates(F.col("__v"), F.array().cast("array<int>"), depth))
-    ).withColumn("body", F.coalesce(urlsafe_b64_text(F.col("__pick.d")), F.lit(""))).drop("__v", "__deep", "__pick")
-    deep = keyed.filter(F.col("__deep"))
-    spark = mails.sparkSession
-    picked = spark.sql(_RECURSIVE_SQL, m=deep.select(F.col(id_col).alias("mail_id"), F.col("__v").alias("v")))
-    deep_out = deep.drop("__v", "__deep").join(
-        picked.withColumnRenamed("mail_id", id_col), id_col, "left"
-    ).withColumn("body", F.coalesce(urlsafe_b64_text(F.col("data")), F.lit(""))).drop("data")
-    return shallow.unionByName(deep_out)
+    keyed = with_fields_once(mails, {"__v": v})
+    # every level of a tree opens a list
+    levels = F.greatest(F.length(payload_col) - F.length(F.replace(F.col(payload_col), F.lit("["))), F.lit(1))
+    deep = F.coalesce(_deeper_than(F.col("__v"), depth), F.lit(False))
+    pick = F.when(deep, _first_body(F.col("__v"), levels)).otherwise(
+        F.array_min(_candidates(F.col("__v"), F.array().cast("array<int>"), depth)))
+    return keyed.withColumn("body", F.coalesce(urlsafe_b64_text(pick["d"]), F.lit(""))).drop("__v")
 
 
 def mail_text(mails: DataFrame, html_col: str = "body") -> DataFrame:
