@@ -7,6 +7,7 @@ flagship: that chain over alerts rendered from lineitem x part, then budget vs a
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,7 +137,7 @@ def load_statements(lines: DataFrame, rules: DataFrame, base: str, batch_id: str
     what could not be read (see statement.routed_records); good rows go on from there. With a
     learner, the rules are kept under base/rules as in run_mail_batch. Returns the rows written."""
     from ledgerlake.operators import statement as S
-    from ledgerlake.sources.statement import good_and_bad_pages
+    from ledgerlake.sources.statement import flag_pages, good_and_bad_pages
 
     def keep(df: DataFrame, part: str, *by: str) -> DataFrame:
         (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -145,9 +146,11 @@ def load_statements(lines: DataFrame, rules: DataFrame, base: str, batch_id: str
                                *[f for f in df.schema if f.name in by]])
         return df.sparkSession.read.schema(schema).parquet(f"{base}/{part}").filter(F.col("batch_id") == batch_id)
 
-    pages, bad = good_and_bad_pages(lines)
+    flagged = flag_pages(lines).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and cut into lines once
+    pages, bad = good_and_bad_pages(flagged)
     keep(bad, "quarantine_pages")
     rows = keep(S.routed_records(pages, ("doc_id", "page_no", "txn_no")), "rows", "status")  # routed and written in one pass
+    flagged.unpersist()
     good = rows.filter("status = 'good'").drop("batch_id", "status", *S.RAW_TEXTS)
     cat, learned = categorise_and_learn(good, rules, base, batch_id, learner)
     records = _statement_records(cat).drop("ingest_seq").withColumn("ingest_seq", F.col("source_id"))

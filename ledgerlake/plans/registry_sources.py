@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,6 +192,7 @@ def q_statement_load(spark, sf):
 
     lines = statement_lines(table(spark, sf, "events"))
     pages = lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("page"))
+    pages = pages.persist(StorageLevel.MEMORY_AND_DISK)  # read for its gaps and its texts, by both loads
     gaps = pages.groupBy("doc_id").agg(F.max("page_no").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page_no"))
     texts = gaps.join(pages, ["doc_id", "page_no"], "left").groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("page", F.lit("")).alias("page")))), lambda x: x.page), "\f").alias("text"))

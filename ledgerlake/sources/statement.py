@@ -6,7 +6,7 @@ must stay < 2 GB); files are spread over tasks, so many statements read in paral
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,16 @@ def read_statement_text(spark: SparkSession, path: str) -> DataFrame:
     return text_to_lines(raw)
 
 
+def flag_pages(lines: DataFrame) -> DataFrame:
+    """Adds __bad to every line: some line of its page could not be decoded (contains U+FFFD). Lines
+    without a document or page are no page."""
+    page = ["doc_id", "page_no"]
+    broken = F.coalesce(F.max(F.col("line").contains("\ufffd")).over(Window.partitionBy(*page)), F.lit(False))
+    return lines.withColumn("__bad", broken & F.col("doc_id").isNotNull() & F.col("page_no").isNotNull())
+
+
 def good_and_bad_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A page whose text could not be decoded (contains U+FFFD) goes to quarantine, the rest
-    is kept -- instead of silently skipping it."""
-    bad_pages = lines.filter(F.col("line").contains("�")).select("doc_id", "page_no").distinct()
-    good = lines.join(bad_pages, ["doc_id", "page_no"], "left_anti")
-    bad = lines.join(bad_pages, ["doc_id", "page_no"], "left_semi")
-    return good, bad
+    is kept -- instead of silently skipping it. Lines may have their flag_pages already."""
+    flagged = lines if "__bad" in lines.columns else flag_pages(lines)
+    return flagged.filter(~F.col("__bad")).drop("__bad"), flagged.filter("__bad").drop("__bad")

@@ -114,3 +114,15 @@ def test_ordered_helpers_multi_level(spark):
                 acc += r[3]
                 assert prev[r[2]] == ((ordered[j - 1][3] if j else None), j == 0), levels
                 assert run[r[2]] == (acc, tot), levels
+
+
+def test_bad_pages_are_told_in_one_pass(spark):
+    from ledgerlake.sources.statement import flag_pages, good_and_bad_pages
+
+    rows = [(1, 0, 0, "a"), (1, 0, 1, "b �"), (1, 1, 0, "c"), (2, 0, 0, None), (None, 0, 0, "�"), (3, None, 0, "�"), (2, 0, 1, "d")]
+    lines = spark.createDataFrame(rows, "doc_id int, page_no int, line_no int, line string")
+    for given in (lines, flag_pages(lines)):
+        good, bad = good_and_bad_pages(given)
+        assert sorted(map(str, map(tuple, bad.collect()))) == sorted(map(str, rows[:2]))  # lines without a document or page are no page
+        assert sorted(map(str, map(tuple, good.collect()))) == sorted(map(str, rows[2:]))
+        assert "Join" not in good._jdf.queryExecution().executedPlan().toString()
