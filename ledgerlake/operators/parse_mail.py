@@ -32,17 +32,15 @@ def txn_type(text: Column) -> Column:
 def parse_alert(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds amount_text, amount decimal(18,2), paid_to, txn_type, reference_no, date_text, txn_date."""
     t = F.col(text_col)
-    amount_text = regex_group(t, AMOUNT_RE)
-    date_text = regex_group(t, DATE_RE)
-    return with_fields_once(df, {
-        "amount_text": amount_text,
+    texts = with_fields_once(df, {
+        "amount_text": regex_group(t, AMOUNT_RE),
         "paid_to": strip(regex_group(t, PAYEE_RE)),
         "txn_type": txn_type(t),
         "reference_no": regex_group(t, REFERENCE_RE),
-        "date_text": date_text,
-        "amount": money(amount_text),
-        "txn_date": day_month_year(date_text),
+        "date_text": regex_group(t, DATE_RE),
     })
+    # read from the found texts: written into one step, each use would search the mail again
+    return with_fields_once(texts, {"amount": money(F.col("amount_text")), "txn_date": day_month_year(F.col("date_text"))})
 
 
 def with_reference(parsed: DataFrame) -> DataFrame:

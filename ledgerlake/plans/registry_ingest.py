@@ -107,7 +107,7 @@ def q_mail_today(spark, sf):
 def _b64url(c):
     # base64() may wrap long output in CRLF-separated lines; a mail payload keeps one line.
     b = F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "[\r\n]", "")
-    return F.regexp_replace(F.translate(b, "+/", "-_"), "=+$", "")
+    return F.rtrim(F.replace(F.replace(b, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_")), F.lit("="))
 
 
 def mime_payloads(pages: DataFrame) -> DataFrame:
