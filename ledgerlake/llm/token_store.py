@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import WIDTH, slices, vocabulary
 from ledgerlake.llm.piece_ids import byte_encoder
-from ledgerlake.llm.store import shared
+from ledgerlake.llm.store import lean, shared, small_batches
 
 END = 2
 STRIPE, INDEX_STRIDE = 16 << 20, 1000
@@ -60,10 +60,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    (ordered.mapInArrow(encode, FILE_SCHEMA).write.format("orc")
-     .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
-     .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_STRIDE))
-     .option("orc.stripe.size", str(STRIPE)).save(path))
+    with small_batches(docs.sparkSession):
+        (ordered.mapInArrow(lean(encode), FILE_SCHEMA).write.format("orc")
+         .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
+         .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_STRIDE))
+         .option("orc.stripe.size", str(STRIPE)).save(path))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
