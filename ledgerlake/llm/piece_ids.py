@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 400_000  # distinct pieces a worker keeps; beyond them the half used least is forgotten
+MEMO = 340_000  # distinct pieces a worker keeps; beyond them the half used least is forgotten
 
 
 class Pieces:
@@ -25,7 +25,7 @@ class Pieces:
         self.encode, self.most = encode, most
         self.row: dict[str, int] = {}  # pieces in the order of their rows
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def _add(self, new: list[str]) -> None:
         order, ids, sizes = self.encode(new)
@@ -253,8 +253,8 @@ class ByteEncoder(Encoder):
 
     def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         plain = [p for p in pieces if PLAIN.fullmatch(p)] if self.line is not None else []
-        known = set(plain)
-        order, out, alone = [], [], [p for p in pieces if p not in known]
+        known = set(plain) if len(plain) < len(pieces) else None
+        order, out, alone = [], [], [p for p in pieces if p not in known] if known is not None else []
         for i in range(0, len(plain), LINE):
             some = plain[i : i + LINE]
             ids, _ = self._ids(["\n".join(some)])
@@ -279,16 +279,17 @@ class ByteEncoder(Encoder):
 _ENCODERS: dict[tuple, WordEncoder | ByteEncoder] = {}
 
 
-def _kept(kind: type, path: str) -> WordEncoder | ByteEncoder:
-    """One per worker process and vocabulary."""
+def _kept(kind: type, path: str, most: int) -> WordEncoder | ByteEncoder:
+    """One per worker process and vocabulary; it keeps `most` pieces from now on."""
     if (kind, path) not in _ENCODERS:
         _ENCODERS[kind, path] = kind(path)
+    _ENCODERS[kind, path].pieces.most = most
     return _ENCODERS[kind, path]
 
 
-def word_encoder(path: str) -> WordEncoder:
-    return _kept(WordEncoder, path)
+def word_encoder(path: str, most: int = MEMO) -> WordEncoder:
+    return _kept(WordEncoder, path, most)
 
 
-def byte_encoder(path: str) -> ByteEncoder:
-    return _kept(ByteEncoder, path)
+def byte_encoder(path: str, most: int = MEMO) -> ByteEncoder:
+    return _kept(ByteEncoder, path, most)

@@ -25,6 +25,7 @@ from ledgerlake.llm.piece_ids import byte_encoder
 from ledgerlake.llm.store import lean, shared, small_batches
 
 END = 2
+PIECES = 500_000  # distinct pieces a worker keeps
 STRIPE, INDEX_STRIDE = 16 << 20, 1000
 FILE_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 
@@ -46,7 +47,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encoded = TaskContext.get().partitionId(), 0, byte_encoder(where)
+        part, at, encoded = TaskContext.get().partitionId(), 0, byte_encoder(where, PIECES)
         for b in slices(batches, "text"):
             ids, starts, stops = encoded(b.column("text"))
             sizes = stops - starts + 1
