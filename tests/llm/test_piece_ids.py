@@ -60,3 +60,11 @@ def test_batch_limits_hold_within_only(spark):
     with store.small_batches(spark):
         assert {k: spark.conf.get(k) for k in store.BATCH} == store.BATCH
     assert {k: spark.conf.get(k, None) for k in store.BATCH} == before
+
+
+def test_case_and_kind_of_white_space_make_no_new_word():
+    encoder = WordEncoder(PATHS[WordEncoder])
+    texts = ["so The the\tTHE\nthe tHE", "so <|endoftext|> The", "so <|EndOfText|> THE"]
+    assert pieced(encoder, pa.array(texts[:1])) == whole(WordEncoder, texts[:1])
+    assert len(encoder.pieces.row) == 2
+    assert pieced(encoder, pa.array(texts)) == whole(WordEncoder, texts)
