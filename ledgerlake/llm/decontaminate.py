@@ -33,12 +33,11 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.bpe import slices
 from ledgerlake.llm.store import lean
-from ledgerlake.llm.words import mixed, tokens, word_hashes
+from ledgerlake.llm.words import MIX, mixed
 
 PASSAGE, STRIDE = 64, 32
 BITS, RANK, SKETCH = 13, 96, 64
 BENCH = 20.0
-MEMO = 200_000  # words a worker keeps the hashes of, some 40 MB
 VERBATIM, PARAPHRASE, ANSWER = 0.7, 0.55, 0.7
 # PARAPHRASE times the worst share of a piece that one passage holds (0.75, as a piece as long as a
 # passage may stand half a stride beside the nearest one) is 0.41 of its words, and less of its
@@ -50,38 +49,64 @@ WIDER = 1.75
 ITEMS = 4096  # pieces of items searched in one pass, about; more go in further passes
 SEED = 3
 BARE = re.compile(r"[^\w]+")
-
-
-_HASHES: dict[str, int] = {}
-
-
-def forget() -> None:
-    """A worker's hashes end with its task."""
-    _HASHES.clear()
-
-
-def bare(word: str) -> str:
-    low = word.lower()
-    return low if low.isalnum() else BARE.sub("", low)
+SIGNS, WORD = re.compile(r"[^\w\n]+"), re.compile(r"[^\x20\x09-\x0D]+")
+#: ASCII characters on the way to bare words: A-Z become a-z, white space a space; what \w doesn't match is dropped.
+PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+DROPPED = bytes(c for c in range(128) if not (chr(c).isalnum() or c in b"_ \t\n\v\f\r"))
+SIGMA = "Σ".encode()  # the one letter whose lower case depends on the signs around it
+CHUNK = 1 << 17  # bytes hashed at a time, so that their numbers stay in cache
+BASE, RING = int(MIX), 1 << 64
+LETTER = np.random.default_rng(SEED).integers(0, RING, 256, np.uint64)
+POWER, INVERSE = (np.cumprod(np.append(np.uint64(1), np.full(CHUNK - 1, b, np.uint64))) for b in (BASE, pow(BASE, -1, RING)))
+
+
+def spelled(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, stops) of a text's words, its runs of bytes above 32; its last byte is no word's.
+    A hash sums a number per byte times BASE to the byte's place in its word: differences of one running sum."""
+    data, at, parts = np.frombuffer(text, np.uint8), 0, []
+    while at < len(text):
+        to = min(at + CHUNK, len(text))
+        if to < len(text):
+            to = max(text.rfind(b" ", at, to), text.rfind(b"\n", at, to)) + 1
+        if to:
+            part = data[at:to]
+            gap = np.append(True, part <= 32)
+            edges = np.flatnonzero(gap[1:] != gap[:-1])
+            total = np.append(np.uint64(0), np.cumsum(LETTER[part] * POWER[: len(part)]))[edges]
+            parts.append(((total[1::2] - total[::2]) * INVERSE[edges[::2]], edges[::2] + at, edges[1::2] + at))
+        else:  # a word longer than a chunk
+            to = min(i for i in (text.find(b" ", at), text.find(b"\n", at)) if i >= 0)
+            sums = (int((LETTER[data[i : min(i + CHUNK, to)]] * POWER[: min(CHUNK, to - i)]).sum()) * pow(BASE, i - at, RING) for i in range(at, to, CHUNK))
+            parts.append((np.array([sum(sums) % RING], np.uint64), np.array([at]), np.array([to])))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends) of each text's words: lower case, without punctuation. A worker keeps the
-    hashes of words it has met (at most MEMO, then it starts anew); 0 marks a word of signs alone."""
-    codes, ends, words = tokens(texts)
-    found = list(map(_HASHES.get, words))
-    if None in found:
-        if len(_HASHES) > MEMO:
-            _HASHES.clear()
-        new = [w for w, h in zip(words, found, strict=True) if h is None]
-        plain = [bare(w) for w in new]
-        _HASHES.update(zip(new, (h if w else 0 for w, h in zip(plain, word_hashes(plain).tolist(), strict=True)), strict=True))
-        found = [_HASHES[w] if h is None else h for w, h in zip(words, found, strict=True)]
-    hashes = np.array(found, np.uint64)[codes] if words else np.zeros(0, np.uint64)
-    keep = hashes != 0
+    """(hashes, ends) of each text's words [^\\x20\\x09-\\x0D]+: lower case, without punctuation; words of
+    signs alone are left out. Only distinct words that are not ASCII become Python strings."""
+    rows = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    rows = [WORD.sub(lambda w: w[0].lower(), t.decode()).encode() if SIGMA in t else t for t in rows]
+    text = b"".join([t.translate(PLAIN, DROPPED) + b"\n" for t in rows])
+    hashes, starts, stops = spelled(text)
+    data = np.frombuffer(text, np.uint8)
+    ends = np.append(0, np.searchsorted(starts, np.flatnonzero(data == 10)))
+    if text.isascii() or not len(starts):
+        return hashes, ends
+    foreign = np.flatnonzero(np.maximum.reduceat(data, starts) > 127)
+    _, first, which = np.unique(hashes[foreign], return_index=True, return_inverse=True)
+    words = [text[a:z] for a, z in zip(starts[foreign[first]].tolist(), stops[foreign[first]].tolist(), strict=True)]
+    plain = SIGNS.sub("", (b"\n".join(words) + b"\n").decode().lower()).encode()
+    found, at, _ = spelled(plain)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(plain, np.uint8) == 10), at)
+    value, there = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+    value[line], there[line] = found, True
+    hashes[foreign] = value[which]
+    keep = np.ones(len(hashes), bool)
+    keep[foreign] = there[which]
     if keep.all():
         return hashes, ends
-    return hashes[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+    return hashes[keep], np.append(0, np.cumsum(keep))[ends]
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -140,7 +165,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         bounds = np.append(np.arange(len(at) + 1) * (SKETCH + 1), len(at) * (SKETCH + 1) + 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.ListArray.from_arrays(pa.array(bounds), flat)], ["term", "row"])
 
-    parts = docs.select("text").mapInArrow(lean(fold, forget), "term long, row array<double>")
+    parts = docs.select("text").mapInArrow(lean(fold), "term long, row array<double>")
     rows = parts.groupBy("term").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
     out, total = np.zeros((size, SKETCH + 1)), 0
     for r in rows:
@@ -299,7 +324,7 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["doc_id", "item_id", "share"])
 
-    return docs.mapInArrow(lean(find, forget), "doc_id long, item_id long, share double")
+    return docs.mapInArrow(lean(find), "doc_id long, item_id long, share double")
 
 
 def standing(passage, piece, term, ends, text, starts, inside, most) -> tuple[np.ndarray, np.ndarray]:

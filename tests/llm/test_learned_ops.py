@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,40 @@ def test_common_subsequence():
         assert decontaminate.common(decontaminate.masks_of(np.array(a)), len(a), b) == in_order(a, b)
 
 
+def test_word_hashes_of_leaks(monkeypatch):
+    """Words hash alike where they are alike without signs and case, whatever the letters and the chunks' borders."""
+    rnd, seen = random.Random(1), {}
+    letters = [*"aAbzZ09_.,;'’“-—!:\x00\x1c\x7f\x85\u00a0\u3000éÉñßİIΣσςΑα的。\u0301ǅ٣😀", *" \n\t\r\v\f" * 4]
+    for k in range(200):
+        texts = [None, *("".join(rnd.choices(letters, k=rnd.choice([0, 1, 3, 30, 300]))) for _ in range(rnd.randrange(20)))]
+        monkeypatch.setattr(decontaminate, "CHUNK", (3, 7, 50, 1 << 17)[k % 4])
+        want = [[b for w in decontaminate.WORD.findall(t or "") if (b := decontaminate.BARE.sub("", w.lower()))] for t in texts]
+        hashes, ends = decontaminate.coded(pa.array(["left", *texts]).slice(1))
+        assert np.diff(ends).tolist() == [len(w) for w in want]
+        for w, h in zip((w for x in want for w in x), hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 1000
+    monkeypatch.undo()
+    long = "x" * (3 * decontaminate.CHUNK + 5)
+    hashes, ends = decontaminate.coded(pa.array([f"a {long} b", long.upper() + "!", long + "y"]))
+    assert ends.tolist() == [0, 3, 4, 5] and hashes[1] == hashes[3] != hashes[4] and len(decontaminate.coded(pa.array([], pa.string()))[0]) == 0
+
+
+def test_words_of_leaks_cost_less_than_a_string_each():
+    """Hashing cost more than plain Python would on words that are met once."""
+    rnd = random.Random(2)
+    text = " ".join(f"Word{rnd.getrandbits(48):x}," for _ in range(200_000))
+    texts, spent = pa.array([text]), []
+    for work in (lambda: decontaminate.coded(texts), lambda: [decontaminate.BARE.sub("", w.lower()) for w in text.split()]):
+        runs = []
+        for _ in range(3):
+            at = time.process_time()
+            work()
+            runs.append(time.process_time() - at)
+        spent.append(min(runs))
+    assert spent[0] < 0.7 * spent[1], spent
+
+
 def test_leaks(spark, none):
     docs, bench = registry.documents(spark, SF01), registry.table(spark, SF01, "benchmark")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
