@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 WIDTH = 4  # bytes of an id, little-endian
+SLICE = 1_000_000  # bytes of text at once where a word takes some 100 bytes of columns
 
 
 def vocabulary(path: str | None = None) -> str:

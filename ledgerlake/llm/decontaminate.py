@@ -31,7 +31,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import slices
+from ledgerlake.llm.bpe import SLICE, slices
 from ledgerlake.llm.store import lean
 from ledgerlake.llm.words import MIX, mixed
 
@@ -146,7 +146,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
         random = np.random.default_rng([SEED, TaskContext.get().partitionId()])
         out, total = np.zeros((size, SKETCH + 1)), 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text"):  # the signs drawn go by these slices
             hashes, ends = coded(b.column("text"))
             starts, _, _ = halves(ends)
             if not len(starts):
@@ -289,7 +289,7 @@ def search(docs: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
         times = [{w: m.bit_count() for w, m in x.items()} for x in masks]
         answers = [masks_of(w) for w in items.answers]
         step = max(64, min(8192, 8192 * ITEMS // len(most)))
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             hashes, ends = coded(b.column("text"))
             term = terms(hashes)
             y, text, starts = latent(term, ends, basis)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import slices
+from ledgerlake.llm.bpe import SLICE, slices
 from ledgerlake.llm.components import components
 from ledgerlake.llm.store import join_counted, lean, stored
 from ledgerlake.llm.words import grams, mixed, owners, tokens, word_hashes
@@ -90,7 +90,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             hashes, ends = shingle_sets(b.column("text"), n)
             bands = registers(hashes, ends).view(np.int64)
             digests = [xxhash.xxh3_128_digest(hashes[a:z].tobytes()) for a, z in zip(ends, ends[1:], strict=False)]
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             hashes, ends = shingle_sets(b.column("text"), n)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "items"])

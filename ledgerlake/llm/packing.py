@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import WIDTH, slices, vocabulary
+from ledgerlake.llm.bpe import SLICE, WIDTH, slices, vocabulary
 from ledgerlake.llm.piece_ids import byte_encoder
 from ledgerlake.llm.store import join_counted, lean, stored
 
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
         part, seen, encoded = TaskContext.get().partitionId(), Counter(), byte_encoder(where)
         names = ["part", "nth", "doc_id", "piece", "start", "length", "ids_crc32"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        for b in slices(batches, "text", 2_000_000):
+        for b in slices(batches, "text", SLICE):
             rows = []
             ids, starts, stops = encoded(b.column("text"))
             ids = ids.astype("<u4")
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encode), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encode, keeps=True), PIECES)
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:

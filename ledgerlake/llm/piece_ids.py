@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerlake.llm.store import KEPT, trim
+
 MEMO = 340_000  # distinct pieces a worker keeps; beyond them the half used least is forgotten
 
 
@@ -279,6 +281,16 @@ class ByteEncoder(Encoder):
 _ENCODERS: dict[tuple, WordEncoder | ByteEncoder] = {}
 
 
+def forget() -> None:
+    """Drops this worker's encoders and gives their memory back."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        trim()
+
+
+KEPT.append(forget)
+
+
 def _kept(kind: type, path: str, most: int) -> WordEncoder | ByteEncoder:
     """One per worker process and vocabulary; it keeps `most` pieces from now on."""
     if (kind, path) not in _ENCODERS:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.bpe import slices
+from ledgerlake.llm.bpe import SLICE, slices
 from ledgerlake.llm.store import lean, stored
 from ledgerlake.llm.words import owners, tokens, word_hashes
 
@@ -35,7 +35,6 @@ WORD_BITS, SHAPES = 17, 256
 SIZE = (1 << WORD_BITS) + SHAPES + 1
 GRADES = 3
 RIDGE = 1.0
-RATED = 2_000_000  # bytes of text rated at once: a word takes some 100 bytes of columns
 SHAPE_SCALE = 4.0
 STEMS = (4, 5)
 ROUNDS = 30
@@ -185,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     chosen = stored(chosen, "label-sample")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             c, v, ends = features(b.column("text"))
             ends = pa.array(ends.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -220,7 +219,7 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
                            T.StructField("_keep", T.BooleanType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", RATED):
+        for b in slices(batches, "text", SLICE):
             c, v, ends = features(b.column("text"))
             value = np.bincount(owners(ends), v * model.weights[c], b.num_rows)
             above = probabilities(value, model.cuts)

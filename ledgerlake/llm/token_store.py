@@ -62,7 +62,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     with small_batches(docs.sparkSession):
-        (ordered.mapInArrow(lean(encode), FILE_SCHEMA).write.format("orc")
+        (ordered.mapInArrow(lean(encode, keeps=True), FILE_SCHEMA).write.format("orc")
          .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
          .option("orc.create.index", "true").option("orc.row.index.stride", str(INDEX_STRIDE))
          .option("orc.stripe.size", str(STRIPE)).save(path))
