@@ -261,7 +261,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").dropDuplicates()
-    out = spark.createDataFrame([], "doc_id long, item_id long, share double")
+    # Of no rows, and without Python: rows sent from the driver would take workers of their own beside the others.
+    none = {"doc_id": "long", "item_id": "long", "share": "double"}
+    out = spark.range(0).select([F.lit(None).cast(t).alias(c) for c, t in none.items()])
     words = F.size(F.split("text", r"\s+"))
     pieces = bench.agg(F.sum(F.ceil(words / PASSAGE))).first()[0] or 0
     blocks = -(-pieces // ITEMS)

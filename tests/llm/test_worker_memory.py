@@ -50,6 +50,15 @@ def test_texts_are_worked_on_a_million_bytes_at_a_time(spark, monkeypatch, modul
     assert max(size for _, size in seen) <= 1_010_000
 
 
+def test_leaks_need_no_python_rows_beside_the_search(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    items = spark.range(1).select(F.col("id").alias("item_id"), F.lit("what stands here is an item").alias("text"))
+    for bench in (items, items.limit(0)):
+        out = decontaminate.leaks(docs, bench)
+        assert out.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("share", "double")] and not out.count()
+        assert "ExistingRDD" not in out._jdf.queryExecution().toString()
+
+
 def test_every_stage_reads_and_sends_few_rows_at_a_time(spark, tmp_path):
     keys = ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"]
     session = spark.newSession()
